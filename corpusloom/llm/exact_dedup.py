@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import documents, materialize, own_name, scratch_path
 
 SPACES = "\t\n\x0b\x0c\r "
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; it writes changes only, and takes no disk in advance, as each partition has a store of its own.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalized(text: Column) -> Column:
@@ -42,9 +47,9 @@ def run_state(spark: SparkSession, arrivals_path: str, schema, max_files: int |
     out, state = scratch_path(spark, "dedup-state-out"), scratch_path(spark, "dedup-state")
     reader = spark.readStream.schema(schema)
     stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(arrivals_path)
-    kept = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(kept, None)
-    spark.conf.set(kept, STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = (
             _best(stream, "digest").writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", state)
@@ -53,7 +58,8 @@ def run_state(spark: SparkSession, arrivals_path: str, schema, max_files: int |
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(kept, before) if before else spark.conf.unset(kept)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     states = "digest string, group_size long, best_points int, keep_id long, batch long, part int"
     if not query.recentProgress or all(p["batchId"] < 0 or p["numInputRows"] == 0 for p in query.recentProgress):
         return spark.createDataFrame([], states).drop("batch", "part")
