@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, sharding
+from corpusloom.llm import exact_dedup, language, licenses, lm, packing, pieces, quality, sharding, simhash
 from corpusloom.llm.common import documents
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1_query,
+        "op2_licenses": licenses.op2_query,
+        "op3_packing": packing.op3_query,
+        "op4_language": language.op4_query,
         "op5_sharding": lambda spark, sf_dir: sharding.op5_query(documents(spark, sf_dir)),
+        "op6_pieces": pieces.op6_query,
+        "op8_lm": lm.op8_query,
+        "op9_quality": quality.op9_query,
         "op10_exact_dedup": exact_dedup.op10_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_licenses": licenses.op2_sql(),
         "op5_sharding": sharding.op5_sql(),
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
