@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import doc_fold, documents, own_name
 
-#: Units each way, bytes in a window, labelled rows that the network is fitted on (the only bound; prediction reads whole texts), passes.
-UNITS, WINDOW, SAMPLE, EPOCHS, BATCH, RATE = 8, 64, 8192, 5, 256, 0.02
-#: Windows that are run together, and the code that pads the last window of a text.
-BLOCK, PAD = 4096, 256
+#: Units each way, bytes in a window, labelled rows that the network is fitted on (the only bound; prediction reads whole texts), training steps.
+UNITS, WINDOW, SAMPLE, STEPS, BATCH, RATE = 6, 64, 8192, 400, 256, 0.02
+#: Windows that are run together, and the byte that pads the last window of a text (no UTF-8 text holds it).
+BLOCK, PAD = 4096, 255
 UNDEFINED = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _soft(x: np.ndarray) -> np.ndarray:
+    """``x / (1 + |x|)`` in place: the squashing function of gates and candidates, whose slope is ``(1 - |y|) ** 2``."""
+    room = np.abs(x)
+    room += 1
+    x /= room
+    return x
 
 
 class ByteGru:
@@ -50,12 +54,13 @@ class ByteGru:
             a, s = table[:, codes[t]], rec @ h
             gates = a[: 2 * u]
             gates += s[: 2 * u]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
+            _soft(gates)
             gates *= 0.5
             gates += 0.5
             z, r = gates[:u], gates[u:]
-            c = np.tanh(a[2 * u :] + r * s[2 * u :])
+            c = r * s[2 * u :]
+            c += a[2 * u :]
+            _soft(c)
             new = states[t]
             np.subtract(h, c, out=new)
             new *= z
@@ -96,8 +101,9 @@ class ByteGru:
             dh = np.zeros((u, n), np.float32)
             for t, before, z, r, c, s in reversed(kept[way]):
                 dh = dh + down[t, way * u : (way + 1) * u]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz, dr = dh * (before - c) * z * (1 - z), dc * s * r * (1 - r)
+                dc = dh * (1 - z) * (1 - np.abs(c)) ** 2
+                # a gate g is (1 + y) / 2 of a squashed y, so its slope is (1 - |2g - 1|) ** 2 / 2
+                dz, dr = dh * (before - c) * (1 - np.abs(2 * z - 1)) ** 2 / 2, dc * s * (1 - np.abs(2 * r - 1)) ** 2 / 2
                 ds = np.concatenate([dz, dr, dc * r])
                 inputs[t] = np.concatenate([dz, dr, dc])
                 grad_rec += ds @ before.T
@@ -107,56 +113,45 @@ class ByteGru:
             grads[f"rec{way}"] = grad_rec
         return grads
 
-    def fit(self, codes: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> ByteGru:
+    def fit(self, codes: np.ndarray, target: np.ndarray, steps: int = STEPS, seed: int = 7) -> ByteGru:
         """Adam over shuffled batches; ``codes`` (positions, windows)."""
-        rng, step = np.random.default_rng(seed), 0
+        rng, order = np.random.default_rng(seed), np.zeros(0, np.int64)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        total = epochs * -(-codes.shape[1] // BATCH)
-        for _ in range(epochs):
-            order = rng.permutation(codes.shape[1])
-            for at in range(0, len(order), BATCH):
-                pick = order[at : at + BATCH]
-                grads, step = self.gradients(codes[:, pick], target[pick]), step + 1
-                rate = RATE * (1 - 0.9 * step / total)
-                for k, g in grads.items():
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.99 * second[k] + 0.01 * g * g
-                    self.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        for step in range(1, steps + 1):
+            if not len(order):
+                order = rng.permutation(codes.shape[1])
+            pick, order = order[:BATCH], order[BATCH:]
+            rate = RATE * (1 - 0.9 * step / steps)
+            for k, g in self.gradients(codes[:, pick], target[pick]).items():
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.99 * second[k] + 0.01 * g * g
+                self.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities over the positions of each whole text: (texts, languages); zeros for an empty one."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        total, joined = np.zeros((len(texts), len(self.langs))), np.frombuffer(b"".join(texts), np.uint8)
-        of, start = windows(sizes)
-        starts = np.cumsum(sizes) - sizes
+        total = np.zeros((len(texts), len(self.langs)))
+        codes, of = windows(texts, sizes)
         for at in range(0, len(of), BLOCK):
-            doc, off = of[at : at + BLOCK], start[at : at + BLOCK]
-            place = off[None, :] + np.arange(WINDOW)[:, None]
-            inside = place < sizes[doc][None, :]
-            codes = np.where(inside, joined[np.minimum(starts[doc][None, :] + place, len(joined) - 1)], PAD)
-            prob = (self.probabilities(codes) * inside[None]).sum(1)
+            some, doc = np.ascontiguousarray(codes[at : at + BLOCK].T), of[at : at + BLOCK]
+            prob = np.einsum("ltn,tn->ln", self.probabilities(some), (some != PAD).astype(np.float32))
             for k in range(len(self.langs)):
                 total[:, k] += np.bincount(doc, prob[k], len(texts))
         return total / np.maximum(sizes, 1)[:, None]
 
     def labels(self, text: bytes) -> np.ndarray:
         """The index of the likeliest language at every byte of a text."""
-        of, start = windows(np.array([len(text)]))
-        codes = np.full((WINDOW, len(of)), PAD)
-        raw = np.frombuffer(text, np.uint8)
-        for k, a in enumerate(start):
-            part = raw[a : a + WINDOW]
-            codes[: len(part), k] = part
-        return self.probabilities(codes).argmax(0).T.ravel()[: len(text)] if len(of) else np.zeros(0, np.int64)
-
-
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text and offset of each window of all texts; a text of no bytes has none."""
-    count = -(-sizes // WINDOW)
-    of = np.repeat(np.arange(len(sizes)), count)
-    return of, (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+        codes, of = windows([text], np.array([len(text)]))
+        return self.probabilities(np.ascontiguousarray(codes.T)).argmax(0).T.ravel()[: len(text)] if len(of) else np.zeros(0, np.int64)
+
+
+def windows(texts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of all texts (windows, positions), and the text of each; a text of no bytes has none."""
+    pad = bytes([PAD])
+    joined = b"".join([x + pad * (-len(x) % WINDOW) for x in texts])
+    return np.frombuffer(joined, np.uint8).reshape(-1, WINDOW), np.repeat(np.arange(len(texts)), -(-sizes // WINDOW))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> ByteGru | None:
