@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, language, licenses, lm, packing, pieces, quality, sharding, simhash
+from corpusloom.llm import exact_dedup, language, licenses, lm, packing, pieces, quality, sharding, simhash, suffix_dedup
 from corpusloom.llm.common import documents
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op4_language": language.op4_query,
         "op5_sharding": lambda spark, sf_dir: sharding.op5_query(documents(spark, sf_dir)),
         "op6_pieces": pieces.op6_query,
+        "op7_suffix_dedup": suffix_dedup.op7_query,
         "op8_lm": lm.op8_query,
         "op9_quality": quality.op9_query,
         "op10_exact_dedup": exact_dedup.op10_query,
