@@ -25,26 +25,57 @@ SHINGLE, BUDGET, HEAVY = 4, 4, 200_000
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint as a signed number; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hash of every run of ``shingle`` words (a shorter text: of all its words; none: nothing), A-Z in lower case."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= shingle:
-        return int(np.array(xxhash.xxh64_intdigest(line, SEED), np.uint64).view(np.int64))
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, len(starts))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):  # bits of a block of hashes, most significant first
-        part = h[at : at + (1 << 16)].byteswap().view(np.uint8)
-        ones += np.unpackbits(part).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """Bits that are set in over half of the hashes in each row of ``h``, as one number a row.
+
+    Every eighth bit is counted in the byte lanes of a word, 255 hashes at a time, so that no lane overflows.
+    """
+    rows, n = h.shape
+    chunks = -(-n // 255)
+    padded = np.zeros((rows, chunks * 255), np.uint64)
+    padded[:, :n] = h
+    lanes, out = np.uint64(0x0101010101010101), np.zeros(rows, np.uint64)
+    place = np.arange(8, dtype=np.uint64) * np.uint64(8)
+    for j in range(8):
+        counts = ((padded >> np.uint64(j)) & lanes).reshape(rows, chunks, 255).sum(2, dtype=np.uint64)
+        set_bits = counts.view(np.uint8).reshape(rows, chunks, 8).sum(1, dtype=np.int64) * 2 > n
+        out |= (set_bits.astype(np.uint64) << (place + np.uint64(j))).sum(1, dtype=np.uint64)
+    return out
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint as a signed number; 0 for a text without words."""
+    h = shingle_hashes(text, shingle)
+    return int(majority(h[None]).view(np.int64)[0]) if len(h) else 0
+
+
+def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
+    """``words`` independent fingerprints of 64 bits, one after the other."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return bytes(8 * words)
+    odd = np.arange(1, 2 * words, 2, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        x = (h[None] ^ (h[None] >> np.uint64(31))) * odd
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return majority(x ^ (x >> np.uint64(32))).tobytes()
 
 
 def fingerprints(docs: DataFrame, col: str = "fp", shingle: int = SHINGLE) -> DataFrame:
@@ -65,10 +96,11 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
 
 
 class _Forest:
-    """Smallest-index labels of linked positions."""
+    """Smallest-index labels of linked positions, and the links that joined two components when they came."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.links: list[np.ndarray] = []
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         label = self.label
@@ -76,76 +108,96 @@ class _Forest:
             x, y = label[a], label[b]
             apart = x != y
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            if len(a):
+                joins = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1, return_index=True)[1]
+                self.links.append(np.stack([a[joins], b[joins]]))
             np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
             while not np.array_equal(up := label[label], label):
                 label = up
         self.label = label
 
 
-def trie_links(keys: np.ndarray, budget: int = BUDGET, chunk: int = 1 << 18) -> np.ndarray:
-    """For sorted, distinct ``keys`` (columns: group, 64-bit value; pairs only within a group) the label of each position's linked component.
+def trie_links(group: np.ndarray, value: np.ndarray, budget: int = BUDGET, bits: int = 64, near=None, chunk: int = 1 << 18) -> np.ndarray:
+    """For positions sorted by group and 64-bit value, links (two rows of positions) that span each linked component within its group.
 
-    Nodes are ranges of positions that agree in their first ``depth`` bits.  A node pair is skipped once all
-    its positions are known to be in one component.
+    Nodes are ranges of positions that agree in their first ``depth`` bits.  Differing bits count in the first ``bits``
+    bits; further ones only part the positions.  Two leaves are linked if they are within the budget and ``near``, given their positions,
+    agrees.  A node pair is skipped once all its positions are known to be in one component.
     """
-    group, value = keys["group"], keys["value"]
     n = len(value)
     forest = _Forest(n)
     if n < 2:
-        return forest.label
+        return np.zeros((2, 0), np.int64)
     cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.r_[cuts[1:], n]
     many = ends - cuts > 1
-    # splits[depth] would be the first position in a range whose bit is 1; found by counting ones before a position
     stack = [(0, np.stack([cuts[many], ends[many], cuts[many], ends[many], np.zeros(many.sum(), np.int64)]))]
     ones: dict[int, np.ndarray] = {}
+    mask = np.uint64((1 << 64) - (1 << (64 - bits)))
 
     def split(lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
+        """The first position of each range whose next bit is 1: ranges are sorted, so their ones stand last."""
         if depth not in ones:
-            ones.clear() if len(ones) > 8 else None
-            bit = (value >> np.uint64(63 - depth)) & np.uint64(1)
-            ones[depth] = np.r_[0, np.cumsum(bit.astype(np.int64))]
+            if len(ones) > 8:
+                ones.clear()
+            ones[depth] = np.r_[0, np.cumsum((value >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)]
         return hi - (ones[depth][hi] - ones[depth][lo])
 
+    def compare(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> None:
+        width = y1 - y0
+        count = (x1 - x0) * width
+        of = np.repeat(np.arange(len(count)), count)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        i, j = x0[of] + k // width[of], y0[of] + k % width[of]
+        some = (i != j) & (np.bitwise_count((value[i] ^ value[j]) & mask) <= budget)
+        i, j = i[some], j[some]
+        if near is not None and len(i):
+            some = near(i, j)
+            i, j = i[some], j[some]
+        forest.link(i, j)
+
     while stack:
         depth, pairs = stack.pop()
         if pairs.shape[1] > chunk:
             stack.append((depth, pairs[:, chunk:]))
             pairs = pairs[:, :chunk]
-        a0, a1, b0, b1, bits = pairs
-        # few enough leaves: compare the values
-        leaves = (a1 - a0) * (b1 - b0) <= 16
-        if leaves.any():
-            x0, x1, y0, y1 = a0[leaves], a1[leaves], b0[leaves], b1[leaves]
-            width = y1 - y0
-            count = (x1 - x0) * width
-            of = np.repeat(np.arange(len(count)), count)
-            k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            i, j = x0[of] + k // width[of], y0[of] + k % width[of]
-            near = (i != j) & (np.bitwise_count(value[i] ^ value[j]) <= budget)
-            forest.link(i[near], j[near])
-            rest = ~leaves
-            a0, a1, b0, b1, bits = a0[rest], a1[rest], b0[rest], b1[rest], bits[rest]
-        if not len(a0) or depth == 64:
-            continue
-        # ranges that are one component already
         label = forest.label
         changes = np.r_[0, np.cumsum(label[1:] != label[:-1])]
+        a0, a1, b0, b1, _ = pairs
         done = (label[a0] == label[b0]) & (changes[a1 - 1] == changes[a0]) & (changes[b1 - 1] == changes[b0])
-        a0, a1, b0, b1, bits = a0[~done], a1[~done], b0[~done], b1[~done], bits[~done]
+        a0, a1, b0, b1, off = pairs[:, ~done]
+        leaves = (a1 - a0) * (b1 - b0) <= 16
+        compare(a0[leaves], a1[leaves], b0[leaves], b1[leaves])
+        a0, a1, b0, b1, off = a0[~leaves], a1[~leaves], b0[~leaves], b1[~leaves], off[~leaves]
+        if not len(a0):
+            continue
+        if depth == 64:  # equal values: each one of the left with all of the right
+            for w, x, y, z in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist()):
+                for i in range(w, x):
+                    compare(*(np.array([v]) for v in (i, i + 1, y, z)))
+            continue
         am, bm = split(a0, a1, depth), split(b0, b1, depth)
-        same = a0 == b0
+        same, more = a0 == b0, int(depth < bits)
         children = [
-            np.stack([a0, am, b0, bm, bits]),
-            np.stack([am, a1, bm, b1, bits]),
-            np.stack([a0, am, bm, b1, bits + 1]),
-            np.stack([am, a1, b0, bm, bits + 1])[:, ~same],
+            np.stack([a0, am, b0, bm, off]),
+            np.stack([am, a1, bm, b1, off]),
+            np.stack([a0, am, bm, b1, off + more]),
+            np.stack([am, a1, b0, bm, off + more])[:, ~same],
         ]
         nxt = np.concatenate(children, 1)
         alive = (nxt[1] > nxt[0]) & (nxt[3] > nxt[2]) & (nxt[4] <= budget) & ((nxt[0] != nxt[2]) | (nxt[1] - nxt[0] > 1))
         if alive.any():
             stack.append((depth + 1, nxt[:, alive]))
-    return forest.label
+    return np.concatenate([np.zeros((2, 0), np.int64), *forest.links], 1)
+
+
+def _deal(dealt: DataFrame, key: list[str], node: str, heavy: int) -> DataFrame:
+    """Rows with the pair of parts (``p``, ``q``) of their group to meet in: groups of more than ``heavy`` rows are met part by part."""
+    large = dealt.groupBy(*key).count().where(F.col("count") > heavy).select(*key, F.ceil(F.col("count") / heavy).cast("int").alias("parts"))
+    dealt = dealt.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    mine = F.pmod(F.xxhash64(node), F.col("parts")).cast("int")
+    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).drop("parts", "mine", "other")
 
 
 def links(prints: DataFrame, budget: int = BUDGET, heavy: int = HEAVY) -> DataFrame:
@@ -161,11 +213,7 @@ def links(prints: DataFrame, budget: int = BUDGET, heavy: int = HEAVY) -> DataFr
         for i, (at, width) in enumerate(_blocks(budget))
     ]
     dealt = prints.select("fp", F.explode(F.array(*turned)).alias("k")).select("fp", "k.block", "k.front")
-    large = dealt.groupBy("block", "front").count().where(F.col("count") > heavy).select("block", "front", F.ceil(F.col("count") / heavy).cast("int").alias("parts"))
-    dealt = dealt.join(large, ["block", "front"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("fp", "block", "front", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    dealt = _deal(dealt, ["block", "front"], "fp", heavy)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,12 +227,9 @@ def links(prints: DataFrame, budget: int = BUDGET, heavy: int = HEAVY) -> DataFr
         back = (np.uint64(64) - at) % np.uint64(64)
         value = np.where(at == 0, fp, (fp << at) | (fp >> back))
         order = np.lexsort((value, group))
-        keys = np.zeros(len(f), [("group", np.int64), ("value", np.uint64)])
-        keys["group"], keys["value"] = group[order], value[order]
-        label = trie_links(keys, budget)
+        a, b = trie_links(group[order], value[order], budget)
         fp = fp[order].view(np.int64)
-        other = label != np.arange(len(label))
-        yield pd.DataFrame({"a": fp[other], "b": fp[label[other]]})
+        yield pd.DataFrame({"a": fp[a], "b": fp[b]})
 
     met = dealt.repartition(n, "block", "front", "p", "q").mapInPandas(join, "a long, b long")
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -242,14 +287,93 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest id.
+#: Similar texts: words in a shingle, and the Jaccard similarity of their sets that links.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Candidates among fingerprints of so many words of 64 bits: a byte in front is equal and at most so many of the other bits of its 32-bit block differ (two
+#: bytes of each block take the front in turn), and at most so many of the first 128 bits; at a similarity of 0.8 about 15 of 100 bits differ.
+WIDE_WORDS, BLOCK_BUDGET, CHECK_BYTES, CHECK_BUDGET = 8, 3, 16, 34
+
+
+def wide_candidates(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """Pairs (``a``, ``b``) of rows ``node, wide`` that may be similar, enough to span every group of such pairs.
+
+    A pair at a similarity of 0.8 meets the block condition in one of 16 blocks in 98 of 100 cases.
+    """
+    blocks = 2 * WIDE_WORDS
+    dealt = prints.select("node", "wide", F.explode(F.sequence(F.lit(0), F.lit(2 * blocks - 1))).alias("k"))
+    own = F.substring(F.col("wide"), (F.floor(F.col("k") / 2) * 4 + 1).cast("int"), F.lit(4))
+    # byte 0 or 2 of a block of four bytes in front
+    dealt = dealt.select("node", "k", own.alias("own"), F.substring(own, (2 * (F.col("k") % 2) + 1).cast("int"), F.lit(1)).alias("front"), F.substring("wide", 1, CHECK_BYTES).alias("check"))
+    dealt = _deal(dealt, ["k", "front"], "node", heavy)
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        node, k = t["node"].to_numpy(), t["k"].to_numpy().astype(np.int64)
+        check = np.frombuffer(b"".join(t["check"].to_pylist()), np.uint64).reshape(len(node), -1)
+        block = np.frombuffer(b"".join(t["own"].to_pylist()), np.uint8).reshape(-1, 4)
+        first, row = 2 * (k % 2), np.arange(len(node))
+        key = (block[row, first].astype(np.int64) | k << 8) << 40 ^ (t["p"].to_numpy().astype(np.int64) << 20 | t["q"].to_numpy())
+        b = [block[row, (first + i) % 4].astype(np.uint64) for i in (1, 2, 3)]
+        value = b[0] << np.uint64(56) | b[1] << np.uint64(48) | b[2] << np.uint64(40) | check[:, 0] >> np.uint64(24)
+        order = np.lexsort((value, key))
+        check, node = check[order], node[order]
+        a, b = trie_links(key[order], value[order], BLOCK_BUDGET, 24, lambda i, j: np.bitwise_count(check[i] ^ check[j]).sum(1, dtype=np.int64) <= CHECK_BUDGET)
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    met = dealt.repartition(n, "k", "front", "p", "q").mapInArrow(join, "a long, b long")
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` over links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidate pairs come from the trie self-join and are compared by their whole texts.
+    """
+
+    @F.arrow_udf("binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array((wide_fingerprint(x.as_py(), WIDE_SHINGLE, WIDE_WORDS) for x in texts), pa.binary())
+
+    @F.arrow_udf("boolean")
+    def similar(one: pa.Array, two: pa.Array) -> pa.Array:
+        sets = ([np.unique(shingle_hashes(x.as_py(), WIDE_SHINGLE)) for x in side] for side in (one, two))
+        return pa.array([jaccard(a, b) >= SIMILARITY for a, b in zip(*sets)], pa.bool_())
+
+    prints = materialize(docs.select("doc_id", of(F.col("text")).alias("wide")).withColumn("node", F.xxhash64("wide")), "wide-prints")
+    own = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"))
+    pairs = materialize(wide_candidates(own.select("node", "wide")), "wide-pairs")
+    # the text of one document for each node that has a pair
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own.select("node", "least"), "node")
+    texts = materialize(docs.join(ends, docs["doc_id"].eqNullSafe(ends["least"])).dropDuplicates(["node"]).select("node", "text"), "wide-texts")
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    links = pairs.join(left, "a").join(right, "b").where(similar("text_a", "text_b")).select("a", "b")
+    roots = components(links)
+    placed = own.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each group of similar texts the one with the smallest id.
 
-    Rows that repeat this id stay together; so do rows of a component without any id.
+    Null, empty and wordless texts are alike.  Rows that repeat the smallest id stay together; so do the rows of a group without any id.
+    An empty table gives an empty result.
     """
-    groups = near_duplicates(docs, budget, shingle)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own_name(docs, "keep_id"))).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep[keep.columns[0]]), "left_semi")
+    groups = similar_groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    gone = own_name(docs, "gone_id")
+    goes = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(goes, docs["doc_id"].eqNullSafe(goes[gone]), "left_anti")
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
