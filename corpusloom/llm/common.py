@@ -33,10 +33,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
+
+    Spark deletes the shuffle files of a finished job when the driver's JVM collects its garbage, which may not come before
+    the next step has filled the disk with its own; so it is asked to.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

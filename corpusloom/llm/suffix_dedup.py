@@ -146,10 +146,17 @@ def shared_anchors(keyed: DataFrame) -> DataFrame:
             low, high, doc, th, place = (np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*got.pop(k)), ("<u4", "<u2", np.int64, np.int64, "<u4")))
             h = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
             order = np.argsort(h)
-            h, d = h[order], doc[order]
+            h = h[order]
             cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            some = np.minimum.reduceat(d, cuts) != np.maximum.reduceat(d, cuts)
+            t = th[order]
+            some = np.minimum.reduceat(t, cuts) != np.maximum.reduceat(t, cuts)
             keep = order[np.repeat(some, np.diff(np.r_[cuts, len(h)]))]
+            # of equal texts the one of the smallest id stands for all
+            sorted_t = np.lexsort((doc, th))
+            heads = np.flatnonzero(np.r_[True, th[sorted_t][1:] != th[sorted_t][:-1]])
+            least = np.empty(len(doc), np.int64)
+            least[sorted_t] = np.repeat(doc[sorted_t][heads], np.diff(np.r_[heads, len(doc)]))
+            keep = keep[doc[keep] == least[keep]]
             if len(keep):
                 keep = keep[np.lexsort((th[keep], doc[keep]))]
                 d, t = doc[keep], th[keep]
@@ -266,6 +273,13 @@ def repeated_windows(unique: DataFrame) -> DataFrame:
         if not got:
             return
         f = pd.concat(got, ignore_index=True)
+        # the only snippet of its anchor has no windows in common with others
+        lone = ~f["anchor"].duplicated(keep=False) & (f["most"] > f["least"])
+        alone = f[lone]
+        yield pd.DataFrame({"anchor": alone["anchor"], "sh": alone["sh"], "lo": 0, "hi": alone["snippet"].map(len) - LENGTH + 1, "first": alone["least"]})
+        f = f[f["anchor"].duplicated(keep=False)].reset_index(drop=True)
+        if not len(f):
+            return
         first, count = first_documents(f["snippet"].tolist(), f["least"].to_numpy())
         owner = np.repeat(np.arange(len(f)), count)
         cuts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (first[1:] != first[:-1])])
@@ -315,6 +329,11 @@ def removals(docs: DataFrame) -> DataFrame:
     return found.select("doc", "th", "raw").join(spans, ["doc", "th"]).mapInArrow(run, "doc long, th long, kept binary, n_removed long, n_spans long")
 
 
+def _first_of_text(keys: DataFrame) -> DataFrame:
+    """Rows ``doc, th, ...`` with ``copy``: whether an equal text has a smaller id; all of such a text goes, if it is long enough."""
+    return keys.join(keys.groupBy("th").agg(F.min("doc").alias("least")), "th").withColumn("copy", (F.col("doc") > F.col("least")) & (F.col("n_bytes") >= LENGTH)).drop("least")
+
+
 def removal_report(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
@@ -325,9 +344,12 @@ def removal_report(docs: DataFrame) -> DataFrame:
     own = own_name(docs, "doc_id_given")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("doc_id").alias(own), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    out = base.join(gone, ["doc", "th"], "left")
-    zero = F.lit(0).cast("long")
-    return out.select(F.col(own).alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    out = _first_of_text(materialize(base, "suffix-base")).join(gone, ["doc", "th"], "left")
+    zero, copy = F.lit(0).cast("long"), F.col("copy")
+    return out.select(
+        F.col(own).alias("doc_id"), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(copy, zero + 1).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"), F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
+    )
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -340,9 +362,12 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         return raw.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
 
     doc, th, kept = own_name(docs, "key_doc"), own_name(docs, "key_th"), own_name(docs, "kept_text")
-    gone = removals(docs).select(F.col("doc").alias(doc), F.col("th").alias(th), F.pandas_udf(plain, "string")("kept").alias(kept))
-    gone = materialize(gone, "suffix-kept")
-    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), th: F.xxhash64(F.coalesce("text", F.lit("")))})
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), F.octet_length(text).alias("n_bytes")).distinct()
+    copies = _first_of_text(keys).where("copy").select("doc", "th", F.lit("").alias(kept))
+    gone = removals(docs).select("doc", "th", F.pandas_udf(plain, "string")("kept").alias(kept))
+    gone = materialize(gone.unionByName(copies).select(F.col("doc").alias(doc), F.col("th").alias(th), kept), "suffix-kept")
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), th: F.xxhash64(text)})
     changes: dict[str, Column] = {"text": F.coalesce(F.col(kept), F.col("text"))}
     if "n_chars" in docs.columns:
         changes["n_chars"] = F.coalesce(F.length(kept).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
