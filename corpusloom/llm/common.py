@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +60,26 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(run):
+    """For generators that run in Python workers: at a task's end the worker gives its free memory back, as it stays for later tasks beside the JVM."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: nothing to give back by hand
+                pass
+
+    return wrapped
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have yet, so that extra columns cannot clash."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import doc_fold, documents, own_name
+from corpusloom.llm.common import doc_fold, documents, own_name, tidy
 
 #: Units each way, bytes in a window, labelled rows that the network is fitted on (the only bound; prediction reads whole texts), training steps.
 UNITS, WINDOW, SAMPLE, STEPS, BATCH, RATE = 6, 64, 8192, 400, 256, 0.02
@@ -179,6 +179,7 @@ def predict(docs: DataFrame, model: ByteGru | None, text_col: str = "text", col:
     """
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             plain = [x if x and model and any(map(str.isalpha, x)) else "" for x in texts]

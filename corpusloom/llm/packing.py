@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.llm.common import documents, materialize
+from corpusloom.llm.common import documents, materialize, tidy
 
 CAPACITY, END_ID = 2048, 0
 #: Words that a Python worker keeps with their ids.
-MEMO = 500_000
+MEMO = 250_000
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -106,6 +106,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = N
     path = ranks_path or tokenizer_paths()[1]
     end = np.array([END_ID], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(path).encode
         for batch in batches:

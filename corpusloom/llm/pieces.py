@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents, own_name
+from corpusloom.llm.common import documents, own_name, tidy
 
 SPACE = "▁"
 #: Score of a character without a piece, below the lowest score; words that a worker keeps; positions between tries to commit.
-UNKNOWN, MEMO, EVERY = 10.0, 400_000, 32
+UNKNOWN, MEMO, EVERY = 10.0, 250_000, 32
 
 
 def vocabulary_path() -> str:
@@ -141,6 +141,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", path: str | None = No
     path = path or vocabulary_path()
 
     @F.arrow_udf("struct<ids: array<int>, n_ids: int, exact: boolean>")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = load(path)
         for texts in batches:
@@ -162,6 +163,7 @@ def decode_pieces(docs: DataFrame, ids_col: str = "ids", path: str | None = None
     path = path or vocabulary_path()
 
     @F.arrow_udf("string")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = load(path)
         for lists in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, documents, materialize, own_name
+from corpusloom.llm.common import discard, documents, materialize, own_name, tidy
 
 #: Words in a shingle, differing bits that still link, and fingerprints of one block value that may meet in one task.
 SHINGLE, BUDGET, HEAVY = 4, 4, 200_000
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, col: str = "fp", shingle: int = SHINGLE) -> Da
     """``docs`` with a long column of fingerprints; whole texts, null counts as empty."""
 
     @F.arrow_udf("long")
+    @tidy
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array((fingerprint(x.as_py(), shingle) for x in texts), pa.int64())
@@ -216,6 +217,7 @@ def links(prints: DataFrame, budget: int = BUDGET, heavy: int = HEAVY) -> DataFr
     dealt = _deal(dealt, ["block", "front"], "fp", heavy)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @tidy
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [f for f in frames if len(f)]
         if not got:
@@ -307,6 +309,7 @@ def wide_candidates(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
     dealt = _deal(dealt, ["k", "front"], "node", heavy)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -341,6 +344,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """
 
     @F.arrow_udf("binary")
+    @tidy
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array((wide_fingerprint(x.as_py(), WIDE_SHINGLE, WIDE_WORDS) for x in texts), pa.binary())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents, materialize, own_name
+from corpusloom.llm.common import documents, materialize, own_name, tidy
 
 #: Bytes of a repeated string and of an anchor; anchors of a window.
 LENGTH, ANCHOR = 50, 16
@@ -120,6 +120,7 @@ def shared_anchors(keyed: DataFrame) -> DataFrame:
     """
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th = batch["doc"].to_numpy(), batch["th"].to_numpy()
@@ -137,6 +138,7 @@ def shared_anchors(keyed: DataFrame) -> DataFrame:
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["range", "low", "high", "doc", "th", "place"])
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list[list[bytes]]] = {}
         for batch in batches:
@@ -171,6 +173,7 @@ def shared_anchors(keyed: DataFrame) -> DataFrame:
 def snippets(found: DataFrame) -> DataFrame:
     """From ``doc, th, raw, places`` (an array of packed places) the snippets ``doc, th, start, anchor, sh, snippet``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -268,6 +271,7 @@ def repeated_windows(unique: DataFrame) -> DataFrame:
     """From distinct snippets (``anchor, snippet, sh, least, most``) the runs of windows with their first document: ``anchor, sh, lo, hi, first``."""
     n = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [f for f in frames if len(f)]
         if not got:
@@ -319,6 +323,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """``doc, th, kept`` (bytes)``, n_removed, n_spans`` of the texts that lose bytes; a row for each id and text."""
     found, spans = _span_table(docs)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [_cut(raw, s) for raw, s in zip(batch["raw"].to_pylist(), batch["spans"].to_pylist())]
