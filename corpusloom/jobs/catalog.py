@@ -1,8 +1,8 @@
 """All registered queries of the library's own operators and the SQL that gives the same rows."""
 
-from corpusloom.jobs import retrieval
+from corpusloom.jobs import extraction, retrieval
 
-MODULES = [retrieval]
+MODULES = [retrieval, extraction]
 
 
 def queries() -> dict:
