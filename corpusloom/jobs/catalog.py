@@ -1,8 +1,8 @@
 """All registered queries of the library's own operators and the SQL that gives the same rows."""
 
-from corpusloom.jobs import extraction, retrieval
+from corpusloom.jobs import answering, extraction, retrieval, website
 
-MODULES = [retrieval, extraction]
+MODULES = [retrieval, extraction, answering, website]
 
 
 def queries() -> dict:

@@ -283,10 +283,10 @@ def _found_sql(pattern: str, kind: str, subject: str, confidence: float, safe: b
 SELECT input_id, n, '{kind}' AS fact_type, '{subject}' AS subject, 'value' AS predicate, {P.strip('v')} AS object, title AS qualifier, {confidence}::DOUBLE AS confidence, substr({_sentence('text', '(instr(text, v) - 1)')}, 1, 1200) AS fact_text FROM e"""
 
 
-_ENTS = f"ents AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({P.word_safe('text')}, '{G.ENTITY}'), lambda e: {P.strip('e')}), lambda e: length(e) > 2))) AS es FROM chunks)"
+_ENTS = f"gents AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({P.word_safe('text')}, '{G.ENTITY}'), lambda e: {P.strip('e')}), lambda e: length(e) > 2))) AS es FROM chunks)"
 _TYPE = "CASE " + " ".join(f"WHEN {any_of('lower(entity)', w)}" + (f" OR len(string_split({P.squeeze('entity')}, ' ')) IN (2, 3)" if t == "Person" else "") + f" THEN '{t}'" for t, w in G.TYPES) + " ELSE 'Entity' END"
-_NODES = f"nodes AS (SELECT dataset_id, entity, weight, rank, {_TYPE} AS type FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY weight DESC, entity) AS rank FROM (SELECT dataset_id, entity, count(*) AS weight FROM (SELECT dataset_id, unnest(es) AS entity FROM ents) GROUP BY 1, 2)) WHERE rank <= 30)"
-_EDGES = """p0 AS (SELECT dataset_id, es[:10] AS es FROM ents), p1 AS (SELECT dataset_id, es, unnest(range(1, len(es) + 1)) AS i FROM p0), p2 AS (SELECT dataset_id, es[i] AS source, unnest(es[i + 1:]) AS target FROM p1),
+_NODES = f"nodes AS (SELECT dataset_id, entity, weight, rank, {_TYPE} AS type FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY weight DESC, entity) AS rank FROM (SELECT dataset_id, entity, count(*) AS weight FROM (SELECT dataset_id, unnest(es) AS entity FROM gents) GROUP BY 1, 2)) WHERE rank <= 30)"
+_EDGES = """p0 AS (SELECT dataset_id, es[:10] AS es FROM gents), p1 AS (SELECT dataset_id, es, unnest(range(1, len(es) + 1)) AS i FROM p0), p2 AS (SELECT dataset_id, es[i] AS source, unnest(es[i + 1:]) AS target FROM p1),
 edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY weight DESC, source, target) AS rank FROM (SELECT dataset_id, source, target, count(*) AS weight FROM p2 GROUP BY ALL)
   WHERE (dataset_id, source) IN (SELECT (dataset_id, entity) FROM nodes) AND (dataset_id, target) IN (SELECT (dataset_id, entity) FROM nodes)) WHERE rank <= 60)"""
 GRAPH = f"{P.DOC_CHUNKS}, {_ENTS}, {_NODES}, {_EDGES}"
@@ -322,7 +322,7 @@ SELECT input_id, n, 'role' AS fact_type, CASE lower(role) WHEN 'hod' THEN 'head
     "dataset_vocabulary": f"""WITH {SEG}, m AS (SELECT *, regexp_extract_all(text, '{FA.CONTACT}') AS ms FROM seg), every AS (SELECT dataset_id, 0 AS g, input_id, title AS t FROM seg
 UNION ALL SELECT dataset_id, 1, input_id, unnest(list_concat(ms, ['contact', title])) FROM m WHERE len(ms) > 0)
 SELECT dataset_id, {P.strip('t')} AS term, (min([g, input_id]))[1]::INTEGER AS g, (min([g, input_id]))[2] AS first_input FROM every WHERE length({P.strip('t')}) > 2 GROUP BY ALL""",
-    "chunk_entities": f"WITH RECURSIVE {P.DOC_CHUNKS}, {_ENTS} SELECT input_id, chunk_ord, len(es) AS n, array_to_string(es, '|') AS entities FROM ents",
+    "chunk_entities": f"WITH RECURSIVE {P.DOC_CHUNKS}, {_ENTS} SELECT input_id, chunk_ord, len(es) AS n, array_to_string(es, '|') AS entities FROM gents",
     "entity_nodes": f"WITH RECURSIVE {GRAPH} SELECT * FROM nodes",
     "cooccurrence_edges": f"WITH RECURSIVE {GRAPH} SELECT * FROM edges",
     "entity_type_counts": f"WITH RECURSIVE {GRAPH} SELECT dataset_id, type, count(*) AS n FROM nodes GROUP BY ALL",
