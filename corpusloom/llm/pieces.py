@@ -51,28 +51,39 @@ class Pieces:
         self.longest = max(map(len, self.score))
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN
         self.splits_at_words = all(SPACE not in p.lstrip(SPACE) for p in self.score)
+        # every prefix of a piece, with the piece's score and id if it is one itself: a search ends where no piece goes on
+        self.reach: dict[str, tuple] = {p[:k]: () for p in self.score for k in range(1, len(p))}
+        self.reach.update(self.score)
         self._memo: dict[str, bytes] = {}
 
-    def stream(self, text: str, start: int = 0) -> Iterator[int]:
+    def stream(self, text: str) -> Iterator[int]:
         """Ids of one normalised text, committed as soon as all surviving paths agree."""
-        score, longest = self.score, self.longest
-        base = 0  # the boundary up to which ids are committed
-        best, back = [0.0], [(0, -1)]
-        for end in range(1, len(text) + 1):
-            top, via = None, (0, -1)
-            for begin in range(max(base, end - longest), end):
-                found = score.get(text[begin:end])
-                if found is None:
-                    if begin < end - 1:
-                        continue
-                    found = (self.unknown, -1)
-                total = best[begin - base] + found[0]
-                if top is None or total > top:
-                    top, via = total, (begin, found[1])
-            best.append(top)
-            back.append(via)
-            if end - base > longest and end % EVERY == 0:
-                alive = set(range(max(base, end - longest + 1), end + 1))
+        reach, longest, n = self.reach, self.longest, len(text)
+        base = 0  # the boundary up to which ids are committed; lists begin there
+        best: list = [0.0] + [None] * longest
+        back: list = [None] * (longest + 1)
+        for begin in range(n):
+            at = begin - base
+            own = best[at]
+            if own is not None:
+                single = False
+                for end in range(begin + 1, min(n, begin + longest) + 1):
+                    found = reach.get(text[begin:end])
+                    if found is None:
+                        break
+                    if found:
+                        single |= end == begin + 1
+                        k, total = end - base, own + found[0]
+                        if best[k] is None or total > best[k]:
+                            best[k], back[k] = total, (begin, found[1])
+                if not single:  # no piece for this character alone
+                    k, total = at + 1, own + self.unknown
+                    if best[k] is None or total > best[k]:
+                        best[k], back[k] = total, (begin, -1)
+            best.append(None)
+            back.append(None)
+            if at > longest and begin % EVERY == 0:
+                alive = {p for p in range(begin + 1, min(n, begin + longest) + 1) if best[p - base] is not None}
                 while len(alive) > 1:
                     last = max(alive)
                     alive.discard(last)
@@ -81,8 +92,8 @@ class Pieces:
                 if meet > base:
                     yield from self._path(text, back, base, meet)
                     zero = best[meet - base]
-                    best, back, base = [x - zero for x in best[meet - base :]], back[meet - base :], meet
-        yield from self._path(text, back, base, len(text))
+                    best, back, base = [None if x is None else x - zero for x in best[meet - base :]], back[meet - base :], meet
+        yield from self._path(text, back, base, n)
 
     def _path(self, text: str, back: list, base: int, end: int) -> list[int]:
         out: list[int] = []
@@ -119,7 +130,7 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         text = self.text
-        raw = b"".join([text[i] for i in ids.tolist()])
+        raw = b"".join(map(text.__getitem__, ids.tolist()))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
