@@ -1,0 +1,346 @@
+"""Operators against brute force on small data, and their defined results for odd rows and empty tables."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from compare import same_rows
+from pyspark.sql import functions as F
+
+from corpusloom.llm import exact_dedup, language, licenses, lm, packing, pieces, quality, queries, sharding, simhash, suffix_dedup
+from corpusloom.llm.common import doc_fold
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    assert same_rows(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF) > 0
+
+
+def stripped(text):
+    return "".join(c for c in text or "" if c not in exact_dedup.SPACES)
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: F.lit("one"), lambda c: F.substring(F.md5(c.cast("binary")), 1, 1)])
+def test_exact_groups(odd_docs, digest):
+    """Also with digests that collide: whole texts decide."""
+    got = rows(exact_dedup.exact_groups(odd_docs, digest=digest))
+    given = [(r.doc_id, r.text or "") for r in odd_docs.collect()]
+    groups = {}
+    for i, t in given:
+        groups.setdefault(stripped(t), []).append((-len(t), i is None, i or 0, i))
+    want = Counter()
+    for key, members in groups.items():
+        keep = sorted(members)[0]
+        for k, m in enumerate(sorted(members)):
+            want[m[3], keep[3], len(members), k == 0, hashlib.sha256(key.encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+
+
+def test_exact_dedup(odd_docs, no_docs):
+    kept = exact_dedup.exact_dedup(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted(stripped(r.text) for r in kept.collect()) == sorted({stripped(r.text) for r in odd_docs.collect()})
+    assert exact_dedup.exact_dedup(no_docs).count() == 0
+
+
+def test_exact_dedup_state_over_batches(spark, odd_docs, tmp_path):
+    """The state carries over from one micro-batch to the next."""
+    path = str(tmp_path / "in")
+    odd_docs.repartition(6).select("doc_id", F.length("text").alias("n_points"), F.coalesce("text", F.lit("")).alias("digest"), F.lit(1).cast("long").alias("copies")).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    one, many = (sorted(map(tuple, exact_dedup.run_state(spark, path, schema, n).collect()), key=str) for n in (None, 1))
+    assert one == many
+
+
+def simhash_of(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(odd_docs, no_docs):
+    got = rows(simhash.near_duplicates(odd_docs))
+    given = odd_docs.collect()
+    assert len(got) == len(given)
+    prints = [(r.doc_id, simhash_of(r.text)) for r in given]
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in got) == Counter((i, f"{p:016x}") for i, p in prints)
+    values = sorted({p for _, p in prints})
+    root = {v: v for v in values}
+    for _ in values:
+        for a in values:
+            for b in values:
+                if (a ^ b).bit_count() <= 4:
+                    root[a] = root[b] = min(root[a], root[b])
+    least = {}
+    for i, p in prints:
+        if i is not None:
+            least[root[p]] = min(i, least.get(root[p], i))
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, least.get(root[p])) for i, p in prints}
+    assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_trie_join_is_whole():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, 30).astype(np.uint64)
+    values = [c ^ np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 7)).tolist()))) for c in centres for _ in range(20)]
+    values = np.unique(np.array(values, np.uint64))
+    a, b = simhash.trie_links(np.zeros(len(values), np.int64), values, 4, chunk=64)
+    label = np.arange(len(values))
+
+    def spread(pairs):
+        label = np.arange(len(values))
+        for _ in range(len(values)):
+            before = label.copy()
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+            if (label == before).all():
+                return label
+        return label
+
+    near = [(i, j) for i in range(len(values)) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 4]
+    assert all(int(values[i] ^ values[j]).bit_count() <= 4 for i, j in zip(a, b))
+    assert (spread(list(zip(a, b))) == spread(near)).all()
+    assert label is not None
+
+
+def test_heavy_blocks_meet_in_parts(spark):
+    """Groups above the limit are met part by part and lose no link."""
+    values = [(5 << 40) ^ (1 << k) for k in range(40)]
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    roots = simhash.components(simhash.links(prints, 4, heavy=7)).collect()
+    assert {r.root for r in roots} == {min(values)} and len(roots) == len(values) - 1
+
+
+def test_near_dedup(odd_docs, no_docs):
+    kept = simhash.near_dedup(odd_docs)
+    assert kept.columns == odd_docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert 1 in ids and not {2, 3, 4} & set(ids)
+    assert {100 + i for i in range(20)} <= set(ids) and simhash.near_dedup(no_docs).count() == 0
+
+
+def test_licenses(odd_docs, no_docs):
+    got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(odd_docs))}
+    assert (got[9]["n_words"], got[9]["n_base"], got[9]["base_labels"], got[9]["first_word"], got[9]["last_word"]) == (10, 3, "apache,gpl,mit", 1, 7)
+    assert got[6]["n_words"] == 0 and got[6]["labels"] == "" and got[6]["first_word"] is None
+    assert licenses.scan_licenses(odd_docs).count() == odd_docs.count() and licenses.scan_licenses(no_docs).count() == 0
+
+
+def test_license_spans(spark):
+    """A template with words added and left out is one span; a few words of it are none."""
+    text = licenses.TEMPLATES[0][0].split()
+    changed = " ".join([*"some words before".split(), *text[:20], "added", *text[20:30], *text[32:]])
+    docs = spark.createDataFrame([(1, changed), (2, " ".join(text[:8]))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(docs))}
+    assert got[1]["labels"] == "mit-text" and got[1]["spans"][0]["first"] == 3 and len(got[1]["spans"]) == 1 and got[2]["labels"] == ""
+
+
+def test_packing(odd_docs, no_docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    tokenizer.encode_special_tokens = True
+    got = rows(packing.pack(odd_docs))
+    want = Counter()
+    for r in odd_docs.collect():
+        ids = np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
+        n, first = len(ids), len(ids) % 2048 or min(len(ids), 2048)
+        for k, (a, b) in enumerate(zip([0, *range(first, n, 2048)], [*range(first, n, 2048), n])):
+            want[r.doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert packing.pack(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a  b", "  x", "it's  we'll\n\n done ", "\x1c a  b", "tab\t x <|endoftext|>", "é" * 50 + " 12 345"])
+def test_byte_bpe_like_the_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    tokenizer.encode_special_tokens = True
+    assert np.frombuffer(packing.byte_bpe(packing.tokenizer_paths()[1]).encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_plan_uses_few_sequences():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 100, 5000)
+    counts = np.bincount(lengths, minlength=101)
+    made = packing.plan(counts, 100)
+    assert made[:, 2].sum() == 5000
+    assert (made[:, 3] + (made[:, 2] - 1) // made[:, 4]).max() + 1 <= 1.02 * -(-lengths.sum() // 100)
+
+
+def test_pieces(odd_docs, no_docs):
+    vocabulary = pieces.Pieces(pieces.vocabulary_path())
+
+    def best(text):
+        score, back = [0.0] + [None] * len(text), [None] * (len(text) + 1)
+        for end in range(1, len(text) + 1):
+            for begin in range(max(0, end - vocabulary.longest), end):
+                found = vocabulary.score.get(text[begin:end]) or ((vocabulary.unknown, -1) if begin == end - 1 else None)
+                if found and (score[end] is None or score[begin] + found[0] > score[end]):
+                    score[end], back[end] = score[begin] + found[0], (begin, found[1])
+        return vocabulary._path(text, back, 0, len(text))
+
+    for r in pieces.encode_pieces(odd_docs, col="p").select("text", "p.*").collect():
+        text = r.text or ""
+        assert r.exact and r.n_ids == len(r.ids)
+        if len(text) < 2000:
+            assert list(r.ids) == (best(pieces.SPACE + text.replace(" ", pieces.SPACE)) if text else [])
+    long = "abcdefgh" * 400
+    assert list(vocabulary.stream(long)) == best(long)
+    back = pieces.decode_pieces(pieces.encode_pieces(odd_docs, col="p").select("text", "p.ids"))
+    assert all(r.decoded == (r.text or "") for r in back.collect())
+    assert pieces.encode_pieces(no_docs).count() == 0
+
+
+def test_suffix_dedup(odd_docs, no_docs):
+    given = odd_docs.collect()
+    first = {}
+    for r in given:
+        raw, i = (r.text or "").encode(), r.doc_id if r.doc_id is not None else suffix_dedup.NO_ID
+        for a in range(len(raw) - 49):
+            first[raw[a : a + 50]] = min(i, first.get(raw[a : a + 50], i))
+    want = Counter()
+    for r in given:
+        raw, i = (r.text or "").encode(), r.doc_id if r.doc_id is not None else suffix_dedup.NO_ID
+        gone = np.zeros(len(raw) + 1, bool)
+        for a in range(len(raw) - 49):
+            if first[raw[a : a + 50]] < i:
+                gone[a : a + 50] = True
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        want[r.doc_id, len(raw), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()] += 1
+    assert Counter(tuple(r.values()) for r in rows(suffix_dedup.removal_report(odd_docs))) == want
+    assert suffix_dedup.removal_report(no_docs).count() == 0
+    out = suffix_dedup.suffix_dedup(odd_docs)
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+
+
+def test_merged_shards_give_intervals():
+    """Merging many small shards gives the same intervals as comparing all strings."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 99, 70).astype(np.uint8)) for _ in range(12)]
+    snips = [words[k] for k in rng.integers(0, 12, 40)]
+    docs = rng.integers(0, 9, 40)
+    first, count = suffix_dedup.first_documents(snips, docs, shard=150)
+    least, want = {}, []
+    for s, d in zip(snips, docs):
+        for a in range(len(s) - 49):
+            least[s[a : a + 50]] = min(d, least.get(s[a : a + 50], d))
+    want = [least[s[a : a + 50]] for s in snips for a in range(len(s) - 49)]
+    assert first.tolist() == want and count.sum() == len(want)
+
+
+def test_language(spark, odd_docs, no_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs.where(doc_fold(F.col("doc_id")) != 0))
+    got = language.predict(docs.where(doc_fold(F.col("doc_id")) == 0), model).select("lang", "language.*").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)
+    odd = {r.doc_id: r for r in language.predict(odd_docs, model, col="l").select("doc_id", "l.*").collect()}
+    assert odd[6].lang_pred == odd[5].lang_pred == odd[12].lang_pred == "und" and all(0 <= r.score <= 1 for r in odd.values())
+    assert language.train(no_docs) is None
+    assert {r.language.lang_pred for r in language.predict(odd_docs.select("text"), None).collect()} == {"und"}
+    runs = language.label_positions(odd_docs.where("doc_id = 8"), model).first().runs
+    assert sum(r.length for r in runs) == len("kurz und gut")
+
+
+def test_lm(odd_docs, no_docs):
+    docs = odd_docs.select("doc_id", "text", (doc_fold(F.col("doc_id")) == 1).alias("held_out"))
+    got = rows(lm.score_texts(docs, docs.where("NOT held_out")))
+    given = docs.collect()
+    counts = Counter()
+    for r in given:
+        if not r.held_out:
+            counts.update([*lm.tokens(r.text), None])
+    total, types = sum(counts.values()), len(counts)
+    want = []
+    for r in given:
+        own = [*lm.tokens(r.text), None]
+        want.append((str(r.doc_id), len(own), sum(counts[t] > 0 for t in own), total, round(sum(np.log10((counts[t] + 0.5) / (total + 0.5 * (types + 1))) for t in own), 4)))
+    assert sorted(want) == sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got)
+    assert all(r["score"] < 0 for r in got)
+    assert lm.score_texts(no_docs.select("doc_id", "text", F.lit(True).alias("held_out")), no_docs).count() == 0
+
+
+def test_exchange_raises_likelihood():
+    rng = np.random.default_rng(2)
+    table = rng.poisson(np.kron(rng.random((4, 4)) * 8, np.ones((6, 6)))).astype(float)
+    table = np.pad(table, (0, 1), constant_values=1)
+
+    def gain(of):
+        one = np.eye(of.max() + 1)[of]
+        c = one.T @ table @ one
+        return sum((x * np.log(np.maximum(x, 1))).sum() * s for x, s in ((c, 1), (c.sum(0), -1), (c.sum(1), -1)))
+
+    assert gain(lm.exchange(table, 5)) > gain(np.r_[np.arange(24) % 4, 4])
+
+
+def base_counts(text):
+    words = (text or "").encode().split()
+    times = Counter(zip(words, words[1:], words[2:]))
+    covered = {i + k for i in range(len(words) - 2) if times[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    chars = sum(len(w.decode()) for w in words)
+    return len(words), chars, sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(odd_docs, no_docs):
+    got = rows(quality.quality_report(odd_docs, "verdict").select("text", "verdict.*"))
+    for r in got:
+        want = base_counts(r["text"])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r["base_failed"] and r["kept"])
+    assert quality.quality_filter(odd_docs).columns == odd_docs.columns
+    assert quality.quality_report(no_docs).count() == 0
+
+
+def test_quality_keeps_clean_texts(spark):
+    """Against the labels: no clean text is rejected by the histograms, and most of the poor ones are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality.quality_report(docs, "q").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("quality", "label"), "doc_id").where("NOT q.base_failed")
+    clean = got.where("label = 1")
+    assert clean.where("NOT q.kept").count() == 0
+    assert got.where("label = 0 AND NOT q.kept").count() > 0
+
+
+def test_js_distance():
+    p = np.array([0.5, 0.5, 0.0])
+    assert np.allclose(quality.js_distance(p, np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]])), [0, 1])
+
+
+def test_sharding(odd_docs, no_docs):
+    got = sharding.assign_shards(odd_docs)
+    assert got.count() == odd_docs.count() and got.where("slot IS NULL OR shard IS NULL").count() == 0
+    assert sharding.assign_shards(no_docs).count() == 0
+    table = sharding.lookup_table(sharding.shard_names(16), 2039)
+    assert max(Counter(table).values()) - min(Counter(table).values()) <= 1
+    fewer = sharding.lookup_table(sharding.shard_names(16)[:-1], 2039)
+    moved = sum(a != b for a, b in zip(table, fewer) if a != 15)
+    assert moved < 0.1 * 2039
+    with pytest.raises(ValueError):
+        sharding.lookup_table(["a"], 10)
+
+
+def test_write_shards(odd_docs, tmp_path, spark):
+    sharding.write_shards(odd_docs.drop("shard"), str(tmp_path / "s"), names=sharding.shard_names(4), size=101)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == odd_docs.count()
