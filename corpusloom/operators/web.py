@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusloom.functions.lineage import cut_lineage
 from corpusloom.functions.urls import canonical_host, is_crawlable, is_document, normalize_url, part
 
 #: Elements without text of their own, paths that sites often have, and words that start links inside of scripts.
@@ -124,7 +125,7 @@ def expand_sitemaps(roots: DataFrame, docs: DataFrame, max_pages: int, rounds: i
         named = frontier.join(docs, "url").select("site", loc.alias("u")).select("site", normalize_url(F.col("u")).alias("url")).distinct()
         pages = named.where(is_crawlable(F.col("url"), host) & ~is_document(F.col("url")))
         found = pages if found is None else found.unionByName(pages)
-        frontier = named.where(F.lower(part(F.col("url"), 3)).endswith(".xml")).join(seen, ["site", "url"], "left_anti")
+        frontier = cut_lineage(named.where(F.lower(part(F.col("url"), 3)).endswith(".xml")).join(seen, ["site", "url"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -139,7 +140,8 @@ def crawl(seeds: DataFrame, pages: DataFrame, links: DataFrame, sitemap: DataFra
     stored are not counted and lead nowhere; the cap cuts in this order.
     """
     max_pages = max(1, min(max_pages, MAX_PAGES))
-    stored = pages.select(normalize_url(F.col("url")).alias("url")).distinct()
+    stored = cut_lineage(pages.select(normalize_url(F.col("url")).alias("url")).distinct())
+    links = cut_lineage(links.where("kind = 'page'").select(normalize_url(F.col("src")).alias("url"), "dst").join(stored.withColumnRenamed("url", "dst"), "dst", "left_semi"))
     start = seeds.select("site", normalize_url(F.col("site")).alias("url"), F.lit(0).alias("depth"), F.lit(0).alias("g"), F.lit(0).alias("parent"))
     extra = [discovery_candidates(seeds).withColumn("g", F.lit(1))] + ([sitemap.withColumn("g", F.lit(0))] if sitemap is not None else [])
     waiting = extra[0] if len(extra) == 1 else extra[0].unionByName(extra[1])
@@ -153,8 +155,9 @@ def crawl(seeds: DataFrame, pages: DataFrame, links: DataFrame, sitemap: DataFra
             fresh = fresh.join(visited.select("site", "url"), ["site", "url"], "left_anti")
         first = fresh.groupBy("site", "url").agg(F.min(F.struct("g", "parent", "url")).alias("o")).withColumn("depth", F.lit(depth))
         ranked = first.withColumn("k", F.row_number().over(W.partitionBy("site").orderBy("o"))).select("site", "url", "depth", "k")
+        ranked = cut_lineage(ranked)
         visited = ranked if visited is None else visited.unionByName(ranked)
-        level = ranked.join(links.where("kind = 'page'").select(F.col("src").alias("url"), "dst"), "url").select("site", F.col("dst").alias("url"), F.lit(depth + 1).alias("depth"), F.lit(2).alias("g"), F.col("k").alias("parent"))
+        level = ranked.join(links, "url").select("site", F.col("dst").alias("url"), F.lit(depth + 1).alias("depth"), F.lit(2).alias("g"), F.col("k").alias("parent"))
     rank = F.row_number().over(W.partitionBy("site").orderBy("depth", "k"))
     return visited.withColumn("rank", rank).where(F.col("rank") <= max_pages).select("site", "url", "depth", "rank")
 
