@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.jobs import sql_parts as P
 from corpusloom.jobs.extraction import CLASSIFIED, GRAPH, SEG, _ANN, any_of, nodes_and_edges, quoted, whole
-from corpusloom.jobs.retrieval import corpus, questions
+from corpusloom.jobs.retrieval import _KEYWORD, corpus, questions
 from corpusloom.operators import analysis as D
 from corpusloom.operators import answers as N
 from corpusloom.operators import chunks as C
@@ -283,6 +283,11 @@ ch AS (SELECT dataset_id, (SELECT count(*) FROM documents d WHERE d.source = dat
  LEFT JOIN (SELECT dataset_id, count(*) AS ec FROM nodes GROUP BY 1) n USING (dataset_id) LEFT JOIN (SELECT dataset_id, count(*) AS rc FROM edges GROUP BY 1) e USING (dataset_id))"""
 _CHARS = _CHARS.replace("s.*, c.*", "s.* EXCLUDE (dataset_id), c.* EXCLUDE (dataset_id)")
 
+# the benchmark questions, understood and expanded without a vocabulary
+_BN = _NORM
+_WITH = "array_to_string(list_filter([n, " + ", ".join(rf"CASE WHEN regexp_matches(low, '\b{w}\b') THEN '{more}' END" for w, more in Q.EXPANSIONS) + "], lambda x: x IS NOT NULL), ' ')"
+_ASKED = f"u AS (SELECT *, {P.word_safe('lower(n)')} AS low FROM (SELECT *, {_BN} AS n FROM questions)), ax AS (SELECT question_id, {_WITH} AS expanded, {_TARGET} AS target FROM u), aq AS (SELECT question_id, list_distinct({P.keyword_tokens('expanded')}) AS qt, list_distinct({P.keyword_tokens('target')}) AS tt FROM ax)"
+
 SQL = {
     "normalize_questions": _Q + "n AS normalized FROM u",
     "casual_filter": _Q[:-2] + f" FROM u WHERE NOT {_CASUAL}",
@@ -309,5 +314,27 @@ SQL = {
     "dataset_characteristics": f"{_CHARS} SELECT *, true AS has_tables, true AS has_unstructured_text, false AS has_website_content, entity_count >= 3 AS has_graph FROM ch",
     "token_metrics": f"{_CHARS} SELECT dataset_id, greatest(1, (greatest(chunk_chars, segment_chars) + table_chars + 3) // 4)::BIGINT AS dataset_tokens, ((table_chars + 3) // 4)::BIGINT AS table_tokens, chunk_count FROM ch",
     "method_assignments": f"WITH {CLASSIFIED}, {_ANN} SELECT dataset_id, input_id, method AS \"primary\", array_to_string(secondary, '; ') AS secondary, confidence, 'heuristic' AS classifier FROM ann",
+    "select_strategy": f"""{_CHARS}, m AS (SELECT *, list_distinct(list_concat(list_filter([{', '.join(f"CASE WHEN {x}_segment_count > 0 THEN '{x}' END" for x in sorted(S.MODES))}], lambda x: x IS NOT NULL), list_filter(['sql', 'semantic', CASE WHEN entity_count >= 3 THEN 'graph' END], lambda x: x IS NOT NULL))) AS unordered FROM ch),
+o AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {x}_segment_count > 0 THEN '{x}' END" for x in sorted(S.MODES))}], lambda x: x IS NOT NULL) AS own, list_filter(['sql', 'semantic', CASE WHEN entity_count >= 3 THEN 'graph' END], lambda x: x IS NOT NULL) AS more FROM m),
+w AS (SELECT *, list_concat(own, list_filter(more, lambda x: NOT list_contains(own, x))) AS modes FROM o)
+SELECT dataset_id, array_to_string(modes, '; ') AS modes, CASE WHEN len(modes) >= 2 THEN 'hybrid' ELSE 'sql' END AS strategy, CASE WHEN len(modes) >= 2 THEN 0.91 ELSE 0.88 END::DOUBLE AS strategy_confidence,
+  concat_ws('; ', 'Structured tabular input was detected and loaded as tables.', 'Unstructured text chunks are available for semantic retrieval.', CASE WHEN keyword_segment_count > 0 THEN 'Keyword retrieval is active for exact names, acronyms, and institutional terms.' END,
+    CASE WHEN hierarchical_segment_count > 0 THEN 'Hierarchical retrieval is active for long sections that need parent context.' END, CASE WHEN entity_count >= 3 THEN 'Entity co-occurrences were extracted for graph-style inspection.' END) AS reasons,
+  concat_ws('; ', 'analyze_dataset; segment_dataset; select_strategy; build_pipeline; semantic_index; table_loader', CASE WHEN entity_count >= 3 THEN 'graph_layer' END, CASE WHEN keyword_segment_count > 0 THEN 'keyword_rag' END, CASE WHEN hierarchical_segment_count > 0 THEN 'hierarchical_rag' END) AS activated FROM w""",
+    "suggest_questions": f"""{_CHARS}, cl AS (SELECT dataset_id, string_agg(lower(array_to_string(columns, ' ')), ' ') AS c FROM cat GROUP BY 1), top AS (SELECT dataset_id, entity FROM nodes WHERE rank = 1), tt AS (SELECT dataset_id, min_by(title, input_id) AS title FROM seg GROUP BY 1),
+s AS (SELECT dataset_id, list_filter([CASE WHEN {any_of('c', ['ceo', 'cto', 'head', 'owner', 'contact'])} THEN 'Who are the key people or role owners in this data?' END, CASE WHEN contains(c, 'product') THEN 'How many active products are listed?' END,
+  CASE WHEN contains(c, 'speaker') THEN 'List the event speakers.' END, CASE WHEN contains(c, 'venue') THEN 'Where are the event venues?' END, CASE WHEN contains(c, 'endpoint') THEN 'Which API endpoints are listed?' END,
+  'Which systems or entities are connected to ' || entity || '?', CASE WHEN keyword_segment_count > 0 THEN 'What exact contacts, IDs, codes, or policy numbers are listed?' END, CASE WHEN hierarchical_segment_count > 0 THEN 'Summarize the longest policy or handbook section.' END,
+  'What are the main points in the ' || title || ' section?'], lambda x: x IS NOT NULL) AS qs FROM ch JOIN cl USING (dataset_id) LEFT JOIN top USING (dataset_id) LEFT JOIN tt USING (dataset_id))
+SELECT dataset_id, array_to_string(qs[:6], '; ') AS questions FROM s""",
+    "architecture": f"""{_CHARS} SELECT dataset_id, 'Hybrid Multi-RAG Architecture' AS name, concat_ws('; ', 'Semantic RAG', 'SQL RAG', CASE WHEN entity_count > 0 THEN 'Graph Layer' END, CASE WHEN keyword_segment_count > 0 THEN 'Keyword/BM25 RAG' END, CASE WHEN hierarchical_segment_count > 0 THEN 'Hierarchical RAG' END) AS modules,
+  concat_ws('; ', 'analyze_dataset; segment_dataset; select_strategy; build_pipeline; semantic_index; table_loader', CASE WHEN entity_count >= 3 THEN 'graph_layer' END, CASE WHEN keyword_segment_count > 0 THEN 'keyword_rag' END, CASE WHEN hierarchical_segment_count > 0 THEN 'hierarchical_rag' END, 'classify_query; route_query; synthesize_answer') AS workflow FROM ch""",
+    "rerank": f"""WITH RECURSIVE {_KEYWORD}, {_ASKED}, h AS (SELECT k.*, q.qt, q.tt, c.text, 'document ' || k.input_id AS title, concat_ws(':', k.input_id, k.seg_ord, k.chunk_ord) AS source_id FROM khits k JOIN aq q USING (question_id) JOIN chunks c ON c.dataset_id = k.dataset_id AND c.input_id = k.input_id AND c.chunk_ord = k.chunk_ord),
+t AS (SELECT *, list_distinct({P.keyword_tokens("title || ' ' || text")}) AS st FROM h),
+r AS (SELECT *, list_sort(list_filter(qt, lambda x: list_contains(st, x))) AS qs, list_sort(list_filter(tt, lambda x: list_contains(st, x))) AS ts, len(list_filter(tt, lambda w: instr(lower(text), w) > 0 AND len(list_filter([{quoted(N.CUES)}], lambda cue: contains(substr(lower(text), greatest(instr(lower(text), w) - 120, 1), least(instr(lower(text), w) - 1, 120) + 180), cue))) > 0)) > 0 AS near FROM t),
+s AS (SELECT question_id, source_id, text, rank AS ord, round(score + len(qs) * 1.2::DOUBLE + len(ts) * 2.4::DOUBLE + CASE WHEN near THEN 4.0 ELSE 0.0 END::DOUBLE, 4) AS score,
+  concat_ws('; ', CASE WHEN len(ts) > 0 THEN 'matched target terms: ' || array_to_string(ts[:4], ', ') END, CASE WHEN len(qs) > 0 THEN 'matched query terms: ' || array_to_string(qs[:5], ', ') END, CASE WHEN near THEN 'role/entity terms appear near each other' END) AS match_reason FROM r),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, source_id, substr(text, 1, 120) ORDER BY score DESC, ord) AS first FROM s) WHERE first = 1)
+SELECT question_id, source_id, score, match_reason, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ord, source_id) AS rank FROM f) WHERE rank <= 8""",
     "classifier_sources": "SELECT source AS dataset_id, 'heuristic' AS classifier, count(*) AS n FROM documents GROUP BY 1",
 }
