@@ -70,7 +70,7 @@ SQL = {
     "normalize_url": rf"""WITH p AS (SELECT page_id, url, regexp_replace(url || '/?a=1#top', '#.*$', '') AS u FROM pages),
 q AS (SELECT *, regexp_extract(u, '{_PARTS}', 1) AS s, regexp_extract(u, '{_PARTS}', 2) AS h, regexp_extract(u, '{_PARTS}', 3) AS p, regexp_extract(u, '{_PARTS}', 4) AS r FROM p)
 SELECT page_id, s || '://' || h || CASE WHEN p = '' THEN '/' WHEN p <> '/' THEN regexp_replace(p, '/$', '') ELSE p END || CASE WHEN r <> '' THEN '?' || r ELSE '' END AS normal, {_HOST} AS host,
-  NOT regexp_matches(lower({_PATH}), '\.({'|'.join(U.SKIPPED)}|xml)$') AND regexp_matches(url, '^https?:') AND NOT contains(url, '://www.www.') AS crawlable, regexp_matches(lower({_PATH}), '\.({'|'.join(U.DOCUMENTS)})$') AS document FROM q""",
+  NOT regexp_matches(lower({_PATH}), '\.({'|'.join(U.SKIPPED)}|xml)$') AND regexp_matches(url, '^https?:') AND NOT starts_with(lower(h), 'www.') AS crawlable, regexp_matches(lower({_PATH}), '\.({'|'.join(U.DOCUMENTS)})$') AS document FROM q""",
     "discovery_candidates": rf"""WITH {_SEEDS}, h AS (SELECT site, regexp_extract(site, '{_PARTS}', 1) AS s, regexp_extract(site, '{_PARTS}', 2) AS h FROM seeds), b AS (SELECT site, s, unnest([h, CASE WHEN starts_with(h, 'www.') THEN h[5:] ELSE 'www.' || h END]) AS h FROM h)
 SELECT DISTINCT site, s || '://' || h || p AS url FROM b, (SELECT unnest([{', '.join(f"'{p}'" for p in W.COMMON_PATHS)}]) AS p)""",
     "catalog_inputs": r"""WITH p AS (SELECT regexp_replace(url, '/$', '') || CASE page_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.csv' ELSE '.bin' END AS path, page_id % 3 AS k FROM pages)
