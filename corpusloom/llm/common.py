@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,12 +40,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
 
     Spark deletes the shuffle files of a finished job when the driver's JVM collects its garbage, which may not come before
-    the next step has filled the disk with its own; so it is asked to.
+    the next step has filled the disk with its own; so it is asked to, twice, as the first time only frees what holds them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -299,7 +299,7 @@ def repeated_windows(unique: DataFrame) -> DataFrame:
 def _span_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc, th, raw`` of texts with shared anchors, and ``doc, th, spans`` (arrays of window runs) of those that lose bytes."""
     keyed = _keyed(docs)
-    shared = shared_anchors(keyed).groupBy("doc", "th").agg(F.collect_list("places").alias("places"))
+    shared = materialize(shared_anchors(keyed).groupBy("doc", "th").agg(F.collect_list("places").alias("places")), "suffix-anchors")
     found = materialize(keyed.join(shared, ["doc", "th"]).dropDuplicates(["doc", "th"]), "suffix-texts")
     cut = snippets(found)
     unique = cut.groupBy("anchor", "snippet", "sh").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
