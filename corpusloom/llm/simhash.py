@@ -118,17 +118,39 @@ class _Forest:
         self.label = label
 
 
+class _Across:
+    """Fixed labels of positions, and all links between different labels since they were last taken."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = label
+        self.links: list[np.ndarray] = []
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.label[a] != self.label[b]
+        if apart.any():
+            self.links.append(np.stack([a[apart], b[apart]]))
+
+
 def trie_links(group: np.ndarray, value: np.ndarray, budget: int = BUDGET, bits: int = 64, near=None, chunk: int = 1 << 18) -> np.ndarray:
-    """For positions sorted by group and 64-bit value, links (two rows of positions) that span each linked component within its group.
+    """For positions sorted by group and 64-bit value, links (two rows of positions) that span each linked component within its group."""
+    return np.concatenate([np.zeros((2, 0), np.int64), *_traverse(group, value, _Forest(len(value)), budget, bits, near, chunk)], 1)
+
+
+def trie_pairs(group: np.ndarray, value: np.ndarray, label: np.ndarray, budget: int = BUDGET, bits: int = 64, near=None, chunk: int = 1 << 16) -> Iterator[np.ndarray]:
+    """As :func:`trie_links`, but every link between positions of different labels, a part at a time."""
+    return _traverse(group, value, _Across(label), budget, bits, near, chunk)
+
+
+def _traverse(group: np.ndarray, value: np.ndarray, forest: _Forest | _Across, budget: int, bits: int, near, chunk: int) -> Iterator[np.ndarray]:
+    """The links of ``forest`` as they are found.
 
     Nodes are ranges of positions that agree in their first ``depth`` bits.  Differing bits count in the first ``bits``
     bits; further ones only part the positions.  Two leaves are linked if they are within the budget and ``near``, given their positions,
-    agrees.  A node pair is skipped once all its positions are known to be in one component.
+    agrees.  A node pair is skipped once all its positions have one label.
     """
     n = len(value)
-    forest = _Forest(n)
     if n < 2:
-        return np.zeros((2, 0), np.int64)
+        return
     cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.r_[cuts[1:], n]
     many = ends - cuts > 1
@@ -169,6 +191,8 @@ def trie_links(group: np.ndarray, value: np.ndarray, budget: int = BUDGET, bits:
         a0, a1, b0, b1, off = pairs[:, ~done]
         leaves = (a1 - a0) * (b1 - b0) <= 16
         compare(a0[leaves], a1[leaves], b0[leaves], b1[leaves])
+        yield from forest.links
+        forest.links.clear()
         a0, a1, b0, b1, off = a0[~leaves], a1[~leaves], b0[~leaves], b1[~leaves], off[~leaves]
         if not len(a0):
             continue
@@ -176,6 +200,8 @@ def trie_links(group: np.ndarray, value: np.ndarray, budget: int = BUDGET, bits:
             for w, x, y, z in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist()):
                 for i in range(w, x):
                     compare(*(np.array([v]) for v in (i, i + 1, y, z)))
+                    yield from forest.links
+                    forest.links.clear()
             continue
         am, bm = split(a0, a1, depth), split(b0, b1, depth)
         same, more = a0 == b0, int(depth < bits)
@@ -189,7 +215,6 @@ def trie_links(group: np.ndarray, value: np.ndarray, budget: int = BUDGET, bits:
         alive = (nxt[1] > nxt[0]) & (nxt[3] > nxt[2]) & (nxt[4] <= budget) & ((nxt[0] != nxt[2]) | (nxt[1] - nxt[0] > 1))
         if alive.any():
             stack.append((depth + 1, nxt[:, alive]))
-    return np.concatenate([np.zeros((2, 0), np.int64), *forest.links], 1)
 
 
 def _deal(dealt: DataFrame, key: list[str], node: str, heavy: int) -> DataFrame:
@@ -297,15 +322,17 @@ WIDE_WORDS, BLOCK_BUDGET, CHECK_BYTES, CHECK_BUDGET = 8, 3, 16, 34
 
 
 def wide_candidates(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """Pairs (``a``, ``b``) of rows ``node, wide`` that may be similar, enough to span every group of such pairs.
+    """Pairs (``a``, ``b``) of rows ``node, wide`` that may be similar: enough to span every group of such pairs, or, if rows
+    have a ``root``, all pairs of different roots.
 
     A pair at a similarity of 0.8 meets the block condition in one of 16 blocks in 98 of 100 cases.
     """
     blocks = 2 * WIDE_WORDS
-    dealt = prints.select("node", "wide", F.explode(F.sequence(F.lit(0), F.lit(2 * blocks - 1))).alias("k"))
+    roots = ["root"] if "root" in prints.columns else []
+    dealt = prints.select("node", "wide", *roots, F.explode(F.sequence(F.lit(0), F.lit(2 * blocks - 1))).alias("k"))
     own = F.substring(F.col("wide"), (F.floor(F.col("k") / 2) * 4 + 1).cast("int"), F.lit(4))
     # byte 0 or 2 of a block of four bytes in front
-    dealt = dealt.select("node", "k", own.alias("own"), F.substring(own, (2 * (F.col("k") % 2) + 1).cast("int"), F.lit(1)).alias("front"), F.substring("wide", 1, CHECK_BYTES).alias("check"))
+    dealt = dealt.select("node", *roots, "k", own.alias("own"), F.substring(own, (2 * (F.col("k") % 2) + 1).cast("int"), F.lit(1)).alias("front"), F.substring("wide", 1, CHECK_BYTES).alias("check"))
     dealt = _deal(dealt, ["k", "front"], "node", heavy)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -324,8 +351,16 @@ def wide_candidates(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
         value = b[0] << np.uint64(56) | b[1] << np.uint64(48) | b[2] << np.uint64(40) | check[:, 0] >> np.uint64(24)
         order = np.lexsort((value, key))
         check, node = check[order], node[order]
-        a, b = trie_links(key[order], value[order], BLOCK_BUDGET, 24, lambda i, j: np.bitwise_count(check[i] ^ check[j]).sum(1, dtype=np.int64) <= CHECK_BUDGET)
-        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(check[i] ^ check[j]).sum(1, dtype=np.int64) <= CHECK_BUDGET
+
+        if roots:
+            found = trie_pairs(key[order], value[order], t["root"].to_numpy()[order], BLOCK_BUDGET, 24, near)
+        else:
+            found = [trie_links(key[order], value[order], BLOCK_BUDGET, 24, near)]
+        for a, b in found:
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     met = dealt.repartition(n, "k", "front", "p", "q").mapInArrow(join, "a long, b long")
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -340,7 +375,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def similar_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` over links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Candidate pairs come from the trie self-join and are compared by their whole texts.
+    Candidate pairs come from the trie self-join and are compared by their whole texts.  The first pairs only span the groups of
+    candidates; where some of them are not similar, all other candidate pairs between texts not yet joined by similar ones are compared too.
     """
 
     @F.arrow_udf("binary")
@@ -356,13 +392,26 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     prints = materialize(docs.select("doc_id", of(F.col("text")).alias("wide")).withColumn("node", F.xxhash64("wide")), "wide-prints")
     own = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"))
-    pairs = materialize(wide_candidates(own.select("node", "wide")), "wide-pairs")
-    # the text of one document for each node that has a pair
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own.select("node", "least"), "node")
-    texts = materialize(docs.join(ends, docs["doc_id"].eqNullSafe(ends["least"])).dropDuplicates(["node"]).select("node", "text"), "wide-texts")
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    links = pairs.join(left, "a").join(right, "b").where(similar("text_a", "text_b")).select("a", "b")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """``a, b, alike`` by the text of one document for each node that has a pair."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own.select("node", "least"), "node")
+        texts = materialize(docs.join(ends, docs["doc_id"].eqNullSafe(ends["least"])).dropDuplicates(["node"]).select("node", "text"), "wide-texts")
+        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", similar("text_a", "text_b").alias("alike")), "wide-compared")
+
+    first = compared(materialize(wide_candidates(own.select("node", "wide")), "wide-pairs"))
+    links = first.where("alike").select("a", "b")
     roots = components(links)
+    if not first.where("NOT alike").isEmpty():
+        # groups of candidates that similar pairs do not join into one; two nodes have no other pair
+        loose = components(first.select("a", "b")).withColumnRenamed("root", "family")
+        loose = loose.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = loose.groupBy("family").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("n > 2 AND x <> y")
+        left_open = materialize(loose.join(apart.select("family"), "family", "left_semi").join(own.select("node", "wide"), "node").select("node", "wide", "root"), "wide-open")
+        if not left_open.isEmpty():
+            more = wide_candidates(left_open).join(first.select("a", "b"), ["a", "b"], "left_anti")
+            roots = components(links.unionByName(compared(materialize(more, "wide-pairs")).where("alike").select("a", "b")))
     placed = own.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

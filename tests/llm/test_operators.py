@@ -131,6 +131,33 @@ def test_near_dedup(odd_docs, no_docs):
     assert {100 + i for i in range(20)} <= set(ids) and simhash.near_dedup(no_docs).count() == 0
 
 
+def test_near_dedup_in_a_family_of_less_similar_texts(spark):
+    """Candidates that fail the comparison must not hide the similar pairs beside them."""
+    rng = np.random.default_rng(5)
+
+    def changed(words, n, tag):
+        words = list(words)
+        for k, at in enumerate(rng.choice(len(words), n, replace=False)):
+            words[at] = f"{tag}x{k}"
+        return words
+
+    texts = {i: changed([f"w{k}" for k in range(400)], 6, f"f{i}") for i in range(120)}
+    texts |= {1000 + i: changed(texts[i], 4, f"g{i}") for i in range(0, 120, 4)}
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    sets = {i: np.unique(simhash.shingle_hashes(t, 5)) for i, t in texts.items()}
+    wide = {i: np.frombuffer(simhash.wide_fingerprint(t, 5, 8), np.uint8) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            off = np.bitwise_count(wide[a] ^ wide[b]).reshape(16, 4)
+            met = off[:4].sum() <= 34 and (((off[:, 0] == 0) | (off[:, 2] == 0)) & (off.sum(1) <= 3)).any()
+            if a < b and met and simhash.jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == set(root.values())
+
+
 def test_licenses(odd_docs, no_docs):
     got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(odd_docs))}
     assert (got[9]["n_words"], got[9]["n_base"], got[9]["base_labels"], got[9]["first_word"], got[9]["last_word"]) == (10, 3, "apache,gpl,mit", 1, 7)
