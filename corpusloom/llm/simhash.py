@@ -67,8 +67,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
-    """``words`` independent fingerprints of 64 bits, one after the other."""
-    h = shingle_hashes(text, shingle)
+    """``words`` independent fingerprints of 64 bits, one after the other, of the set of shingles: repeats do not vote again."""
+    h = np.unique(shingle_hashes(text, shingle))
     if not len(h):
         return bytes(8 * words)
     odd = np.arange(1, 2 * words, 2, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)

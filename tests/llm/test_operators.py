@@ -158,6 +158,14 @@ def test_near_dedup_in_a_family_of_less_similar_texts(spark):
     assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == set(root.values())
 
 
+def test_wide_fingerprint_is_of_the_set():
+    """A passage that repeats adds no shingle, so the fingerprint stays."""
+    words = [f"w{k}" for k in range(500)]
+    one, many = (" ".join(words[:100] + words[100:160] * n + words[100:104] + words[164:]) for n in (2, 9))
+    assert set(simhash.shingle_hashes(one, 5)) == set(simhash.shingle_hashes(many, 5))
+    assert simhash.wide_fingerprint(one, 5, 8) == simhash.wide_fingerprint(many, 5, 8)
+
+
 def test_licenses(odd_docs, no_docs):
     got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(odd_docs))}
     assert (got[9]["n_words"], got[9]["n_base"], got[9]["base_labels"], got[9]["first_word"], got[9]["last_word"]) == (10, 3, "apache,gpl,mit", 1, 7)
