@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import discard, documents, materialize, own_name, tidy
@@ -372,12 +372,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, component_id`` over links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-    Candidate pairs come from the trie self-join and are compared by their whole texts.  The first pairs only span the groups of
-    candidates; where some of them are not similar, all other candidate pairs between texts not yet joined by similar ones are compared too.
-    """
+def wide_node(text: Column) -> tuple[Column, Column]:
+    """The wide fingerprint of a text, and its hash, by which texts are told apart."""
 
     @F.arrow_udf("binary")
     @tidy
@@ -385,18 +381,32 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         for texts in batches:
             yield pa.array((wide_fingerprint(x.as_py(), WIDE_SHINGLE, WIDE_WORDS) for x in texts), pa.binary())
 
+    wide = of(text)
+    return wide, F.xxhash64(wide)
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, node, component_id`` (``node``: hash of the wide fingerprint) over links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidate pairs come from the trie self-join and are compared by their whole texts.  The first pairs only span the groups of
+    candidates; where some of them are not similar, all other candidate pairs between texts not yet joined by similar ones are compared too.
+    """
+
     @F.arrow_udf("boolean")
     def similar(one: pa.Array, two: pa.Array) -> pa.Array:
         sets = ([np.unique(shingle_hashes(x.as_py(), WIDE_SHINGLE)) for x in side] for side in (one, two))
         return pa.array([jaccard(a, b) >= SIMILARITY for a, b in zip(*sets)], pa.bool_())
 
-    prints = materialize(docs.select("doc_id", of(F.col("text")).alias("wide")).withColumn("node", F.xxhash64("wide")), "wide-prints")
+    prints = materialize(docs.select("doc_id", wide_node(F.col("text"))[0].alias("wide")).withColumn("node", F.xxhash64("wide")), "wide-prints")
     own = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """``a, b, alike`` by the text of one document for each node that has a pair."""
+        """``a, b, alike`` by the text of one row for each node that has a pair."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own.select("node", "least"), "node")
-        texts = materialize(docs.join(ends, docs["doc_id"].eqNullSafe(ends["least"])).dropDuplicates(["node"]).select("node", "text"), "wide-texts")
+        # an id may stand on several texts, so each row's own node decides
+        rows = docs.join(ends.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+        rows = rows.select("text", wide_node(F.col("text"))[1].alias("node"))
+        texts = materialize(rows.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "wide-texts")
         left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", similar("text_a", "text_b").alias("alike")), "wide-compared")
 
@@ -414,19 +424,25 @@ def similar_groups(docs: DataFrame) -> DataFrame:
             roots = components(links.unionByName(compared(materialize(more, "wide-pairs")).where("alike").select("a", "b")))
     placed = own.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group of similar texts the one with the smallest id.
 
-    Null, empty and wordless texts are alike.  Rows that repeat the smallest id stay together; so do the rows of a group without any id.
+    Null, empty and wordless texts are alike.  Each row goes or stays by its own text, also where an id is null or stands on several texts.  Rows that repeat the smallest id stay together; so do the rows of a group without any id.
     An empty table gives an empty result.
     """
     groups = similar_groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    gone = own_name(docs, "gone_id")
-    goes = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(goes, docs["doc_id"].eqNullSafe(goes[gone]), "left_anti")
+    gone, node, gone_node = (own_name(docs, c) for c in ("gone_id", "own_node", "gone_node"))
+    goes = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone), F.col("node").alias(gone_node)).distinct()
+    goes = materialize(goes, "wide-gone")
+    # only rows with an id of ``goes`` need their node; the others stay
+    ids = goes.select(gone).distinct()
+    marked = docs.join(ids.withColumn(gone_node, F.lit(True)), docs["doc_id"].cast("long").eqNullSafe(ids[gone]), "left").drop(gone)
+    marked = marked.withColumn(node, wide_node(F.when(F.col(gone_node), F.col("text")))[1]).drop(gone_node)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(gone)) & (F.col(node) == F.col(gone_node))
+    return marked.join(goes, same, "left_anti").select(*docs.columns)
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:

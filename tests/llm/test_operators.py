@@ -166,6 +166,15 @@ def test_wide_fingerprint_is_of_the_set():
     assert simhash.wide_fingerprint(one, 5, 8) == simhash.wide_fingerprint(many, 5, 8)
 
 
+def test_near_dedup_goes_by_row(spark):
+    """A clean text stays, though its id is null, or stands on a near copy as well."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(200)) for c in "abc")
+    given = [(1, one), (None, one + " more"), (None, two), (5, one + " end"), (5, three), (9, three + " end")]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in simhash.near_dedup(docs).collect()}
+    assert kept == {(1, one), (None, two), (5, three)}
+
+
 def test_licenses(odd_docs, no_docs):
     got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(odd_docs))}
     assert (got[9]["n_words"], got[9]["n_base"], got[9]["base_labels"], got[9]["first_word"], got[9]["last_word"]) == (10, 3, "apache,gpl,mit", 1, 7)
