@@ -25,6 +25,8 @@ from pyspark.sql import Window as W
 from corpusloom.llm.common import documents, materialize, tidy
 
 CAPACITY, END_ID = 2048, 0
+#: The tokenizer file's one added token, which it finds in texts before words are cut, and its id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: Words that a Python worker keeps with their ids.
 MEMO = 250_000
 
@@ -58,6 +60,12 @@ class ByteBpe:
         self._encode = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._memo: dict[str, bytes] = {}
 
+    def encode_whole(self, text: str) -> bytes:
+        """As the tokenizer file by default: the added token is one id wherever it stands, and what stands between is encoded by itself."""
+        if ADDED not in text:
+            return self.encode(text)
+        return np.array([ADDED_ID], "<u4").tobytes().join([self.encode(x) if x else b"" for x in text.split(ADDED)])
+
     def _plain(self, text: str) -> bytes:
         return np.array(self._encode(text), "<u4").tobytes()
 
@@ -108,7 +116,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = N
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(path).encode
+        encode = byte_bpe(path).encode_whole
         for batch in batches:
             out: list[tuple] = []
             for i, text in enumerate(batch["text"]):

@@ -225,6 +225,21 @@ def test_byte_bpe_like_the_tokenizer(text):
     assert np.frombuffer(packing.byte_bpe(packing.tokenizer_paths()[1]).encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+ADDED = ["end of one <|endoftext|> start", "<|endoftext|>", "<|endoftext|><|endoftext|> a", " a  <|endoftext|>\n b <|endoftext|>", "x<|endoftext|>y <|endoftext", "<|ENDOFTEXT|> <|endoftext|", "it's<|endoftext|>'s  é<|endoftext|>  \t"]
+
+
+def test_packing_finds_the_added_token(spark):
+    """By the tokenizer file as it is."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    assert tokenizer.encode(ADDED[0], add_special_tokens=False).ids.count(50256) == 1
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    want = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4") for i, t in enumerate(ADDED)}
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(docs).collect()}
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def test_plan_uses_few_sequences():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 100, 5000)
