@@ -127,7 +127,7 @@ def _profile(spark, sf_dir):
 
 def _expanded(spark, sf_dir):
     own = whole(spark, sf_dir)
-    return Q.expand_questions(_understood(spark, sf_dir), FA.dataset_vocabulary(own, FA.contact_facts(own))).select("question_id", "expanded")
+    return Q.expand_questions(_understood(spark, sf_dir), FA.dataset_vocabulary(own, FA.extract_facts(own))).select("question_id", "expanded")
 
 
 def _routed(spark, sf_dir):
@@ -187,7 +187,7 @@ def _extracts(variant):
 
 def _fact_matches(spark, sf_dir):
     own = whole(spark, sf_dir)
-    return N.match_facts(Q.expand_questions(_understood(spark, sf_dir)), FA.contact_facts(own)).select("question_id", "fact_input", "subject", "object", F.round("fact_score", 4).alias("fact_score"))
+    return N.match_facts(Q.expand_questions(_understood(spark, sf_dir)), FA.extract_facts(own)).select("question_id", "fact_input", "subject", "object", F.round("fact_score", 4).alias("fact_score"))
 
 
 def _budget(spark, sf_dir):
@@ -199,14 +199,14 @@ def _budget(spark, sf_dir):
 
 def _synthesized(spark, sf_dir):
     q, hits = _sources(spark, sf_dir)
-    best = N.match_facts(q, FA.contact_facts(whole(spark, sf_dir)))
+    best = N.match_facts(q, FA.extract_facts(whole(spark, sf_dir)))
     return N.synthesize(q, N.rerank(q, hits, best), best).select("question_id", "direct_answer", "answer", "confidence", "has_fact")
 
 
 def _validated(spark, sf_dir):
     """Answers of the keyword sources alone, with their status."""
     q, hits = _sources(spark, sf_dir)
-    sources, best = N.rerank(q, hits).persist(), N.match_facts(q, FA.contact_facts(whole(spark, sf_dir)))
+    sources, best = N.rerank(q, hits).persist(), N.match_facts(q, FA.extract_facts(whole(spark, sf_dir)))
     evidence = sources.where("rank <= 5").groupBy(*R.QUESTION).agg(F.array_join(F.collect_list("text"), " ").alias("evidence"))
     return N.validate(N.synthesize(q, sources, best).join(evidence, R.QUESTION, "left")).select("question_id", "status", "confidence")
 
