@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from test_operators import base_counts, stripped
+from test_llm_operators import base_counts, stripped
 
 SF = "/root/testdata/sf0.001"
 
