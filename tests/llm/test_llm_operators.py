@@ -273,28 +273,45 @@ def test_pieces(odd_docs, no_docs):
     assert pieces.encode_pieces(no_docs).count() == 0
 
 
-def test_suffix_dedup(odd_docs, no_docs):
-    given = odd_docs.collect()
+def suffix_brute_force(given):
     first = {}
-    for r in given:
-        raw, i = (r.text or "").encode(), r.doc_id if r.doc_id is not None else suffix_dedup.NO_ID
+    given = [(i, i if i is not None else suffix_dedup.NO_ID, (t or "").encode()) for i, t in given]
+    for _, i, raw in given:
         for a in range(len(raw) - 49):
             first[raw[a : a + 50]] = min(i, first.get(raw[a : a + 50], i))
     want = Counter()
-    for r in given:
-        raw, i = (r.text or "").encode(), r.doc_id if r.doc_id is not None else suffix_dedup.NO_ID
+    for doc_id, i, raw in given:
         gone = np.zeros(len(raw) + 1, bool)
         for a in range(len(raw) - 49):
             if first[raw[a : a + 50]] < i:
                 gone[a : a + 50] = True
         kept = bytes(b for b, g in zip(raw, gone) if not g)
-        want[r.doc_id, len(raw), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()] += 1
-    assert Counter(tuple(r.values()) for r in rows(suffix_dedup.removal_report(odd_docs))) == want
+        want[doc_id, len(raw), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()] += 1
+    return want
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_suffix_dedup(odd_docs, no_docs, hot):
+    want = suffix_brute_force((r.doc_id, r.text) for r in odd_docs.collect())
+    assert Counter(tuple(r.values()) for r in rows(suffix_dedup.removal_report(odd_docs, hot))) == want
     assert suffix_dedup.removal_report(no_docs).count() == 0
-    out = suffix_dedup.suffix_dedup(odd_docs)
+    out = suffix_dedup.suffix_dedup(odd_docs, hot)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
 
 
+def test_suffix_dedup_of_one_string_in_thousands_of_contexts(spark):
+    """Its windows are split, and those that repeat are found beside those that do not."""
+    rng = np.random.default_rng(9)
+    common = "a string that stands in all of them"
+    texts = [f"{rng.integers(1 << 40):x} before {common} after {rng.integers(1 << 40):x} and {k % 700} more" for k in range(5000)]
+    texts += [t[5:] for t in texts[:300]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = suffix_brute_force(enumerate(texts))
+    assert Counter(tuple(r.values()) for r in rows(suffix_dedup.removal_report(docs, 1000))) == want
+    kept = {r.doc_id: len(r.text) for r in suffix_dedup.suffix_dedup(docs, 1000).collect()}
+    assert kept == {i: n - gone for i, n, gone, _, _ in want}
+
+
 def test_merged_shards_give_intervals():
     """Merging many small shards gives the same intervals as comparing all strings."""
     rng = np.random.default_rng(5)
