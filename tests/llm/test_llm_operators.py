@@ -273,6 +273,15 @@ def test_pieces(odd_docs, no_docs):
     assert pieces.encode_pieces(no_docs).count() == 0
 
 
+def test_pieces_of_words_side_by_side():
+    """Searching many words at once finds what the streaming search finds for each, odd characters and leading spaces included."""
+    vocabulary = pieces.Pieces(pieces.vocabulary_path())
+    rng = np.random.default_rng(4)
+    letters = list("aeiourstnlk-'.,é😀ナ\x00\n\t▁")
+    words = ["", "x" * 60, *("".join(rng.choice(letters, rng.integers(1, 30))) for _ in range(3000))]
+    assert vocabulary.search(words) == {w: vocabulary._word(w) for w in words}
+
+
 def suffix_brute_force(given):
     first = {}
     given = [(i, i if i is not None else suffix_dedup.NO_ID, (t or "").encode()) for i, t in given]
