@@ -2,9 +2,10 @@
 
 All rolling word pairs of all texts are joined with the pairs of a small set of templates.  A pair at word ``p`` of
 a text and at word ``t`` of a template votes for diagonal ``p - t``.  Votes are counted by text, template and
-diagonal; diagonals that lie close to each other (words added or left out) are merged; a merged span is
-verified by the share of the template that it covers and by its length.  The three base phrases are templates
-too: such a phrase stands wherever its diagonal has all its votes.
+diagonal; diagonals that lie close to each other (words added or left out) are merged.  A merged span is verified place by
+place: each place of the template counts once, at the text's pair nearest to the strongest diagonal, and only if it comes after
+all places before it; what counts is the share of places that stand in order, and the span's length.  The three base phrases are
+templates too: such a phrase stands wherever its diagonal has all its votes.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ TEMPLATES = [
     ("this work is licensed under a creative commons attribution", "cc-text"),
 ]
 
-#: Diagonals at most so far apart are merged; a span must cover this share of the template's pairs and be at most so many times as long.
+#: Diagonals at most so far apart are merged; a span must hold this share of the template's pairs in order and be at most so many times as long
+#: (so its diagonals lie within half the template of the strongest one).
 BAND, COVER, STRETCH = 4, 0.6, 1.5
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,19 +74,37 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> Data
     own = own.select("rid", "doc_id", F.size("ws").cast("long").alias("n_words"), "ws")
     table = F.broadcast(template_pairs(spark, templates, phrases))
     each = pairs(own, "ws").alias("d").join(table.alias("t"), F.expr("d.gram = t.gram AND d.w0 = t.t0 AND d.w1 = t.t1"), "left")
+    # a diagonal holds each place of a template once at most
     votes = (
         each.groupBy("rid", "doc_id", "n_words", "template", "label", "is_phrase", "n_pairs", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
-        .agg(F.count("t_pos").alias("votes"), F.min("t_pos").alias("t_first"), F.max("t_pos").alias("t_last"))
+        .agg(F.collect_list("t_pos").alias("places")).withColumn("votes", F.size("places"))
     )
 
     # neighbouring diagonals of one text and template form a run; for phrases each diagonal stands alone
     order = W.partitionBy("rid", "template").orderBy("diagonal")
     gap = F.when(F.col("is_phrase"), F.lit(1)).otherwise((F.col("diagonal") - F.lag("diagonal").over(order) > BAND).cast("int"))
     runs = votes.withColumn("gap", F.coalesce(gap, F.lit(1))).withColumn("run", F.sum("gap").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    spans = runs.groupBy("rid", "doc_id", "n_words", "template", "label", "is_phrase", "n_pairs", "run").agg(
-        F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("t_first")).alias("first"), F.max(F.col("diagonal") + F.col("t_last") + 1).alias("last"), F.min("diagonal").alias("diagonal")
+    strongest = F.max(F.struct("votes", (-F.col("diagonal")).alias("neg"))).over(W.partitionBy("rid", "template", "run"))
+    off = F.col("diagonal") - F.col("peak")
+    runs = runs.withColumn("peak", -strongest["neg"]).where(F.col("template").isNull() | (F.abs(off) <= (STRETCH - 1) * (F.col("n_pairs") + 1)))
+    at = F.transform("places", lambda t: F.struct(t.alias("t"), F.abs(off).alias("off"), F.col("diagonal").alias("d")))
+    enough = ~F.col("is_phrase") & (F.sum("votes").over(W.partitionBy("rid", "template", "run")) >= COVER * F.col("n_pairs"))
+    spans = runs.withColumn("at", F.when(enough, at)).groupBy("rid", "doc_id", "n_words", "template", "label", "is_phrase", "n_pairs", "run").agg(
+        F.sum("votes").alias("votes"), F.min("diagonal").alias("diagonal"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at")
     )
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("n_pairs"))
+    # places in order; of those that are one place of the template the nearest to the strongest diagonal comes first
+    none = F.lit(-1).cast("int")
+    start = F.struct(none.alias("t"), none.alias("last"), F.lit(0).alias("n"), none.alias("first"))
+
+    def step(seen: Column, x: Column) -> Column:
+        word, new = (x["t"] + x["d"]).cast("int"), x["t"] > seen["t"]
+        counts = new & (word > seen["last"])
+        return F.struct(
+            x["t"].cast("int").alias("t"), F.when(counts, word).otherwise(seen["last"]).alias("last"), (seen["n"] + counts.cast("int")).alias("n"), F.when(counts & (seen["n"] == 0), word).otherwise(seen["first"]).alias("first")
+        )
+
+    spans = spans.withColumn("seen", F.aggregate("at", start, step)).withColumn("first", F.col("seen.first")).withColumn("last", F.col("seen.last") + 1)
+    cover = F.col("seen.n") / F.col("n_pairs")
     phrase = F.col("is_phrase") & (F.col("votes") == F.col("n_pairs"))
     span = ~F.col("is_phrase") & (cover >= COVER) & (F.col("last") - F.col("first") <= STRETCH * (F.col("n_pairs") + 1))
     found = F.when(phrase | span, F.col("label"))
@@ -112,14 +132,20 @@ WITH t AS (SELECT template, label, is_phrase, string_split(body, ' ') AS ws FROM
 tp AS (SELECT template, label, is_phrase, len(ws) - 1 AS n_pairs, unnest(range(0, len(ws) - 1)) AS t_pos, unnest(ws[:-2]) AS t0, unnest(ws[2:]) AS t1 FROM t),
 d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT rid, unnest(range(0, len(ws) - 1)) AS pos, unnest(ws[:-2]) AS w0, unnest(ws[2:]) AS w1 FROM d),
-votes AS (SELECT rid, template, label, is_phrase, n_pairs, pos - t_pos AS diagonal, count(*) AS votes, min(t_pos) AS t_first, max(t_pos) AS t_last FROM p JOIN tp ON w0 = t0 AND w1 = t1 GROUP BY ALL),
+hits AS (SELECT rid, template, label, is_phrase, n_pairs, pos, t_pos, pos - t_pos AS diagonal FROM p JOIN tp ON w0 = t0 AND w1 = t1),
+votes AS (SELECT rid, template, is_phrase, diagonal, count(*) AS votes FROM hits GROUP BY ALL),
 gaps AS (SELECT *, CASE WHEN is_phrase THEN 1 ELSE coalesce(CAST(diagonal - lag(diagonal) OVER w > {BAND} AS INTEGER), 1) END AS gap FROM votes WINDOW w AS (PARTITION BY rid, template ORDER BY diagonal)),
 runs AS (SELECT *, sum(gap) OVER (PARTITION BY rid, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
-spans AS (SELECT rid, template, label, is_phrase, n_pairs, sum(votes) AS votes, min(diagonal + t_first) AS first, max(diagonal + t_last + 1) AS last, min(diagonal) AS diagonal FROM runs GROUP BY rid, template, label, is_phrase, n_pairs, run),
-judged AS (SELECT *, is_phrase AND votes = n_pairs AS phrase, NOT is_phrase AND least(1.0, votes / n_pairs) >= {COVER} AND last - first <= {STRETCH} * (n_pairs + 1) AS span FROM spans),
+peaks AS (SELECT *, first_value(diagonal) OVER (PARTITION BY rid, template, run ORDER BY votes DESC, diagonal) AS peak FROM runs),
+-- for each place of the template the text's word nearest to the strongest diagonal, and whether it comes after all before it
+near AS (SELECT h.*, run, peak, row_number() OVER (PARTITION BY h.rid, h.template, run, t_pos ORDER BY abs(h.diagonal - peak), h.diagonal) AS k
+  FROM hits h JOIN peaks p ON h.rid = p.rid AND h.template = p.template AND h.diagonal = p.diagonal WHERE abs(h.diagonal - peak) <= {STRETCH - 1} * (n_pairs + 1)),
+ordered AS (SELECT *, pos > coalesce(max(pos) OVER (PARTITION BY rid, template, run ORDER BY t_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS counts FROM near WHERE k = 1),
+spans AS (SELECT rid, template, label, is_phrase, n_pairs, count(*) FILTER (counts) AS held, min(pos) FILTER (counts) AS first, max(pos) FILTER (counts) + 1 AS last, min(diagonal) AS diagonal FROM ordered GROUP BY rid, template, label, is_phrase, n_pairs, run),
+judged AS (SELECT *, is_phrase AND held = n_pairs AS phrase, NOT is_phrase AND held / n_pairs >= {COVER} AND last - first <= {STRETCH} * (n_pairs + 1) AS span FROM spans),
 found AS (SELECT rid, count(*) FILTER (phrase) AS n_base, min(diagonal) FILTER (phrase) AS first_word, max(diagonal) FILTER (phrase) AS last_word,
   coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (phrase OR span)), ','), '') AS labels,
-  round(coalesce(max(CASE WHEN phrase THEN 1.0::DOUBLE WHEN span THEN least(1.0, votes / n_pairs)::DOUBLE END), 0), 6) AS score FROM judged GROUP BY rid)
+  round(coalesce(max(CASE WHEN phrase THEN 1.0::DOUBLE WHEN span THEN (held / n_pairs)::DOUBLE END), 0), 6) AS score FROM judged GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN found USING (rid)"""

@@ -186,8 +186,12 @@ def test_license_spans(spark):
     """A template with words added and left out is one span; a few words of it are none."""
     text = licenses.TEMPLATES[0][0].split()
     changed = " ".join([*"some words before".split(), *text[:20], "added", *text[20:30], *text[32:]])
-    docs = spark.createDataFrame([(1, changed), (2, " ".join(text[:8]))], "doc_id long, text string")
+    junk = ["the software " * 30, "and the software or the software " * 12, "the software " * 3000, " ".join(reversed(text))]
+    after_junk = "the software " * 40 + " ".join(text)
+    docs = spark.createDataFrame([(1, changed), (2, " ".join(text[:8])), (3, after_junk), *((10 + k, x) for k, x in enumerate(junk))], "doc_id long, text string")
     got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(docs))}
+    assert all(got[10 + k]["labels"] == "" and got[10 + k]["score"] == 0 for k in range(len(junk)))
+    assert (got[3]["labels"], got[3]["score"]) == ("mit-text", 1.0) and got[3]["spans"][0]["first"] == 80
     assert got[1]["labels"] == "mit-text" and got[1]["spans"][0]["first"] == 3 and len(got[1]["spans"]) == 1 and got[2]["labels"] == ""
 
 
