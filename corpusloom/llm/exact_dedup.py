@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import documents, materialize, own_name, scratch_path
 
 SPACES = "\t\n\x0b\x0c\r "
+#: Rows of a group that meet the text that stays in one part.
+MEET = 1000
 #: State on disk; it writes changes only, and takes no disk in advance, as each partition has a store of its own.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,9 +36,9 @@ def sha256(text: Column) -> Column:
 
 def _best(rows: DataFrame, *by: str) -> DataFrame:
     """Per group: rows, and of the row that stays length and id (longest first, then smallest id, null last)."""
-    rank = F.struct(F.col("n_points").alias("n_points"), F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("neg_id"))
-    best = rows.groupBy(*by).agg(F.sum("copies").alias("group_size"), F.max(rank).alias("best"))
-    return best.select(*by, "group_size", F.col("best.n_points").alias("best_points"), (-F.col("best.neg_id")).alias("keep_id"))
+    rank = F.struct((-F.col("n_points")).alias("neg_points"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    best = rows.groupBy(*by).agg(F.sum("copies").alias("group_size"), F.min(rank).alias("best"))
+    return best.select(*by, "group_size", (-F.col("best.neg_points")).alias("best_points"), F.col("best.doc_id").alias("keep_id"))
 
 
 def run_state(spark: SparkSession, arrivals_path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -81,12 +83,15 @@ def _grouped(docs: DataFrame, max_files: int | None = None, digest=sha256) -> Da
         return spark.createDataFrame([], "doc_id long, n_points int, copies long, sha string, group_size long, keep_id long, stays boolean")
     state = materialize(state, "dedup-groups")
 
-    # hits: full bytes against the text at the locator; dealt by digest, hot ones are split by adaptive joins
+    # hits: full bytes against the text at the locator; a large group meets its text in parts, each with a copy of it
     hits = state.where("group_size > 1")
     found = texts.select("doc_id", F.length("text").alias("n_points"), norm.alias("norm")).withColumn("digest", digest(F.col("norm"))).join(hits, "digest")
     found = materialize(found, "dedup-hits")
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("best_points"))).groupBy("digest").agg(F.first("norm").alias("kept_norm"))
-    differ = found.join(stays, "digest").where(F.col("norm") != F.col("kept_norm")).select("digest").distinct()
+    parts = F.ceil(F.col("group_size") / MEET).cast("int")
+    stays = stays.join(hits.select("digest", "group_size"), "digest").select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = found.select("digest", "norm", F.pmod(F.xxhash64("doc_id", "norm"), parts).cast("int").alias("part"))
+    differ = dealt.join(stays, ["digest", "part"]).where(F.col("norm") != F.col("kept_norm")).select("digest").distinct()
     differ = materialize(differ, "dedup-collisions")
 
     clean = rows.join(state, "digest").join(differ, "digest", "left_anti")
