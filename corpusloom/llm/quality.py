@@ -20,8 +20,8 @@ from corpusloom.llm.common import documents, own_name, tidy
 
 #: A text is rejected beyond these distances, if it has so many code points in words, or so many words.
 MAX_CLASS, MAX_WORD, GUARD_CHARS, GUARD_WORDS = 0.3, 0.75, 150, 60
-#: Common words of a language: so many, of so many bytes at most, without ASCII punctuation at either end, lower case.
-COMMON, COMMON_BYTES = 24, 4
+#: Common words of a language: so many, without ASCII punctuation at either end, lower case; distinct words that a task counts before it hands them on.
+COMMON, HELD = 24, 300_000
 SYMBOLS = b"#*$%&|<>"
 _EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -44,8 +44,13 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a.sum(1) + b.sum(1)) / 2, 0, 1))
 
 
-def _short(words: list[bytes]) -> list[bytes]:
-    return [x for w in words if len(w) <= COMMON_BYTES + 2 and 0 < len(x := w.strip(_EDGES).lower()) <= COMMON_BYTES]
+def _bare(times: Counter) -> Counter:
+    """Counts of words without ASCII punctuation at either end, from counts of words as they stand."""
+    bare: Counter = Counter()
+    for w, n in times.items():
+        bare[w.strip(_EDGES).lower()] += n
+    del bare[b""]
+    return bare
 
 
 def language_references(docs: DataFrame) -> list[tuple[str, np.ndarray, list[bytes], np.ndarray]]:
@@ -65,16 +70,16 @@ def language_references(docs: DataFrame) -> list[tuple[str, np.ndarray, list[byt
                 classes += np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASS_ROWS
                 all_words = raw.split()
                 total[0] += len(all_words)
-                words.update(_short(all_words))
+                words.update(all_words)
             cells = sum(len(x[0]) for x in held.values())
-            if cells > 300_000:
+            if cells > HELD:
                 yield rows(held)
                 held = {}
         if held:
             yield rows(held)
 
     def rows(held: dict) -> pa.RecordBatch:
-        out = [(lang, "w", w.decode("latin-1"), float(n)) for lang, x in held.items() for w, n in x[0].items()]
+        out = [(lang, "w", w.decode("latin-1"), float(n)) for lang, x in held.items() for w, n in _bare(x[0]).items()]
         out += [(lang, "c", str(i), float(n)) for lang, x in held.items() for i, n in enumerate(x[1])] + [(lang, "n", "", float(x[2][0])) for lang, x in held.items()]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["lang", "kind", "key", "n"])
 
@@ -128,10 +133,10 @@ def measure(text: str | None, refs: list) -> tuple:
         p = counts @ _CLASS_ROWS
         near_class = float(js_distance(p / p.sum(), np.stack([r[1] for r in refs])).min())
     if refs and n >= GUARD_WORDS:
-        short = Counter(_short(words))
+        bare = _bare(Counter(words))
         near_word = 1.0
         for _, _, common, q in refs:
-            p = np.array([short.get(x, 0) for x in common] + [0.0])
+            p = np.array([bare[x] for x in common] + [0.0])
             p[-1] = n - p.sum()
             near_word = min(near_word, float(js_distance(p / n, q[None, :])[0]))
     return n, word_chars, int(counts[_SYMBOL].sum()), len(lines) - len(set(lines)), repeated, near_class, near_word
