@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import doc_fold, documents, own_name, tidy
 
 #: Units each way, bytes in a window, labelled rows that the network is fitted on (the only bound; prediction reads whole texts), training steps.
-UNITS, WINDOW, SAMPLE, STEPS, BATCH, RATE = 6, 64, 8192, 400, 256, 0.02
+UNITS, WINDOW, SAMPLE, STEPS, BATCH, RATE = 6, 64, 2048, 400, 256, 0.02
 #: Windows that are run together, and the byte that pads the last window of a text (no UTF-8 text holds it).
 BLOCK, PAD = 4096, 255
 UNDEFINED = "und"
@@ -113,17 +113,18 @@ class ByteGru:
             grads[f"rec{way}"] = grad_rec
         return grads
 
-    def fit(self, codes: np.ndarray, target: np.ndarray, steps: int = STEPS, seed: int = 7) -> ByteGru:
-        """Adam over shuffled batches; ``codes`` (positions, windows)."""
-        rng, order = np.random.default_rng(seed), np.zeros(0, np.int64)
+    def fit(self, codes: np.ndarray, target: np.ndarray, of: np.ndarray, steps: int = STEPS, seed: int = 7) -> ByteGru:
+        """Adam over batches of windows (windows, positions) of the texts ``of``: a text is drawn first, then one of its windows."""
+        rng = np.random.default_rng(seed)
+        begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        count = np.diff(np.r_[begin, len(of)])
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
-            if not len(order):
-                order = rng.permutation(codes.shape[1])
-            pick, order = order[:BATCH], order[BATCH:]
+            text = rng.integers(0, len(begin), BATCH)
+            pick = begin[text] + rng.integers(0, count[text])
             rate = RATE * (1 - 0.9 * step / steps)
-            for k, g in self.gradients(codes[:, pick], target[pick]).items():
+            for k, g in self.gradients(np.ascontiguousarray(codes[pick].T), target[pick]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 self.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -155,20 +156,23 @@ def windows(texts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> ByteGru | None:
-    """Fit on one window from each of at most ``sample`` rows with a language, those of the smallest hashes.  None if there is no such row."""
-    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample"))
-    length = F.length("text")
-    at = (F.pmod(h, F.greatest(length - WINDOW, F.lit(1)).cast("long")) + 1).cast("int")
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (length > 0))
-    rows = labelled.select(h.alias("h"), "lang", F.substring("text", at, F.lit(WINDOW)).alias("part")).orderBy("h", "lang", "part").limit(sample).collect()
+    """Fit on the whole texts of about ``sample`` rows with a language, those whose hash of id, language and text is small enough for that share of
+    the rows; each text counts as much, whatever its length.  None if there is no such row.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    n = labelled.count()
+    if not n:
+        return None
+    # the limit in numbers of 31 bits is set by the count, so that the rows that reach the driver do not grow with it
+    h = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "lang", "text"), F.lit(1 << 31))
+    rows = labelled.where(h <= min((1 << 31) - 1, (sample << 31) // n)).select("lang", "text").collect()
     if not rows:
         return None
-    langs = sorted({r["lang"] for r in rows})
-    codes = np.full((WINDOW, len(rows)), PAD)
-    for k, r in enumerate(rows):
-        part = np.frombuffer(r["part"].encode("utf-8", "surrogatepass"), np.uint8)[:WINDOW]
-        codes[: len(part), k] = part
-    return ByteGru(langs).fit(codes, np.array([langs.index(r["lang"]) for r in rows]))
+    rows = sorted((r["lang"], r["text"].encode("utf-8", "surrogatepass")) for r in rows)
+    langs = sorted({lang for lang, _ in rows})
+    texts = [x for _, x in rows]
+    codes, of = windows(texts, np.fromiter(map(len, texts), np.int64, len(texts)))
+    return ByteGru(langs).fit(codes, np.array([langs.index(lang) for lang, _ in rows])[of], of)
 
 
 def predict(docs: DataFrame, model: ByteGru | None, text_col: str = "text", col: str = "language") -> DataFrame:

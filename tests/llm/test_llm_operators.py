@@ -45,6 +45,15 @@ def test_exact_groups(odd_docs, digest):
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
 
 
+def test_exact_groups_of_extreme_ids_and_a_large_group(spark, monkeypatch):
+    """The smallest long is an id like any other; a large group is met in parts, also where digests collide."""
+    monkeypatch.setattr(exact_dedup, "MEET", 7)
+    docs = spark.createDataFrame([(-(1 << 63), "a b"), ((1 << 63) - 1, "ab"), *((i, "a  b" if i % 2 else "c") for i in range(60))], "doc_id long, text string")
+    for digest in (exact_dedup.sha256, lambda c: F.lit("one")):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows(exact_dedup.exact_groups(docs, digest=digest))}
+        assert got[-(1 << 63)] == got[(1 << 63) - 1] == got[3] == (1, 32) and got[4] == (0, 30)
+
+
 def test_exact_dedup(odd_docs, no_docs):
     kept = exact_dedup.exact_dedup(odd_docs)
     assert kept.columns == odd_docs.columns
