@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.jobs import sql_parts as P
-from corpusloom.jobs.extraction import CLASSIFIED, GRAPH, SEG, _ANN, any_of, nodes_and_edges, quoted, whole
+from corpusloom.jobs.extraction import CLASSIFIED, FACTS, GRAPH, SEG, VOCABULARY, _ANN, any_of, mixed, nodes_and_edges, quoted, whole
 from corpusloom.jobs.retrieval import _KEYWORD, corpus, questions
 from corpusloom.operators import analysis as D
 from corpusloom.operators import answers as N
@@ -25,6 +25,31 @@ def talk(spark, sf_dir):
     return df.select(F.concat(F.lit("src"), F.col("conv_id") % 20).alias("dataset_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
 
 
+#: Ids of questions to offices lie above those of messages and benchmark items.
+OFFICE_QUESTIONS = 1_000_000_000_000
+
+
+def office_questions(spark, sf_dir):
+    """Six questions of each supplier to the offices of its data set: by role, role and section, place, time, a role that nobody holds, and a list."""
+    key = F.col("s_suppkey")
+    said = [
+        F.lit("Who is the secretary?"), F.concat(F.lit("Who is the head of department of Section "), key % 7, F.lit("?")), F.lit("Where is the venue?"), F.lit("When is the date?"),
+        F.lit("Who is the treasurer?"), F.concat(F.lit("List the people of Hall "), key % 9),
+    ]
+    each = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key, F.posexplode(F.array(*said)).alias("k", "question"))
+    return each.select(F.concat(F.lit("src"), key % 20).alias("dataset_id"), (key * 10 + F.col("k") + OFFICE_QUESTIONS).alias("question_id"), "question")
+
+
+def messages(spark, sf_dir):
+    """Messages and questions to offices."""
+    return talk(spark, sf_dir).unionByName(office_questions(spark, sf_dir))
+
+
+def asked(spark, sf_dir):
+    """Benchmark items and questions to offices."""
+    return questions(spark, sf_dir).unionByName(office_questions(spark, sf_dir))
+
+
 def table_rows(spark, sf_dir):
     """Catalog of the star tables, in every data set."""
     from corpusloom.operators.tables import table_catalog
@@ -42,6 +67,10 @@ def _understood(spark, sf_dir):
     return Q.understand(talk(spark, sf_dir))
 
 
+def all_facts(spark, sf_dir):
+    return FA.extract_facts(mixed(spark, sf_dir))
+
+
 def _plan(spark, sf_dir):
     op, term = T.plan_question(F.col("question"))
     return talk(spark, sf_dir).select("question_id", op.alias("op"), term.alias("term"))
@@ -96,9 +125,11 @@ def characteristics(spark, sf_dir):
     return D.dataset_characteristics(*parts(spark, sf_dir))
 
 
-def profile(spark, sf_dir):
+def profile(spark, sf_dir, facts=None):
     c = characteristics(spark, sf_dir)
-    return c.select("dataset_id", "has_tables", F.col("has_unstructured_text").alias("has_chunks"), (F.col("entity_count") > 0).alias("has_nodes"), F.lit(True).alias("has_facts"), (F.col("hierarchical_segment_count") > 0).alias("has_long"))
+    known = (all_facts(spark, sf_dir) if facts is None else facts).select("dataset_id", F.lit(True).alias("has_facts")).distinct()
+    c = c.join(known, "dataset_id", "left")
+    return c.select("dataset_id", "has_tables", F.col("has_unstructured_text").alias("has_chunks"), (F.col("entity_count") > 0).alias("has_nodes"), F.coalesce("has_facts", F.lit(False)).alias("has_facts"), (F.col("hierarchical_segment_count") > 0).alias("has_long"))
 
 
 def _flat(df):
@@ -126,12 +157,12 @@ def _profile(spark, sf_dir):
 
 
 def _expanded(spark, sf_dir):
-    own = whole(spark, sf_dir)
-    return Q.expand_questions(_understood(spark, sf_dir), FA.dataset_vocabulary(own, FA.extract_facts(own))).select("question_id", "expanded")
+    words = FA.dataset_vocabulary(mixed(spark, sf_dir), all_facts(spark, sf_dir))
+    return Q.expand_questions(Q.understand(messages(spark, sf_dir)), words).select("question_id", "expanded")
 
 
 def _routed(spark, sf_dir):
-    df = Q.route_questions(Q.expand_questions(_understood(spark, sf_dir)), profile(spark, sf_dir))
+    df = Q.route_questions(Q.expand_questions(Q.understand(messages(spark, sf_dir))), profile(spark, sf_dir))
     return df.select("question_id", "route", "route_confidence", "route_reason")
 
 
@@ -166,15 +197,16 @@ def answered(spark, sf_dir):
 
 
 def _sources(spark, sf_dir):
-    """Keyword hits of the benchmark questions as sources."""
-    chunks, asked = C.chunks_from_documents(corpus(spark, sf_dir)), questions(spark, sf_dir)
-    hits = R.keyword_search(asked, chunks, 18).join(chunks.select(*R.CHUNK, "title", "text"), R.CHUNK)
-    return Q.expand_questions(Q.understand(asked)), hits.withColumn("source_id", F.concat_ws(":", "input_id", "seg_ord", "chunk_ord")).withColumn("ord", F.col("rank")).drop("rank")
+    """Keyword hits of all questions as sources."""
+    chunks, own = C.chunks_from_documents(corpus(spark, sf_dir)), asked(spark, sf_dir)
+    hits = R.keyword_search(own, chunks, 18).join(chunks.select(*R.CHUNK, "title", "text"), R.CHUNK)
+    return Q.expand_questions(Q.understand(own)), hits.withColumn("source_id", F.concat_ws(":", "input_id", "seg_ord", "chunk_ord")).withColumn("ord", F.col("rank")).drop("rank")
 
 
 def _reranked(spark, sf_dir):
+    """With facts in front."""
     q, hits = _sources(spark, sf_dir)
-    return N.rerank(q, hits).select("question_id", "source_id", "score", "match_reason", "rank")
+    return N.rerank(q, hits, N.match_facts(q, all_facts(spark, sf_dir))).select("question_id", "source_id", "score", "match_reason", "rank")
 
 
 def _extracts(variant):
@@ -186,8 +218,8 @@ def _extracts(variant):
 
 
 def _fact_matches(spark, sf_dir):
-    own = whole(spark, sf_dir)
-    return N.match_facts(Q.expand_questions(_understood(spark, sf_dir)), FA.extract_facts(own)).select("question_id", "fact_input", "subject", "object", F.round("fact_score", 4).alias("fact_score"))
+    found = N.match_facts(Q.expand_questions(Q.understand(messages(spark, sf_dir))), all_facts(spark, sf_dir))
+    return found.select("question_id", "fact_input", "subject", "object", F.round("fact_score", 4).alias("fact_score"))
 
 
 def _budget(spark, sf_dir):
@@ -199,14 +231,15 @@ def _budget(spark, sf_dir):
 
 def _synthesized(spark, sf_dir):
     q, hits = _sources(spark, sf_dir)
-    best = N.match_facts(q, FA.extract_facts(whole(spark, sf_dir)))
+    best = N.match_facts(q, all_facts(spark, sf_dir))
     return N.synthesize(q, N.rerank(q, hits, best), best).select("question_id", "direct_answer", "answer", "confidence", "has_fact")
 
 
 def _validated(spark, sf_dir):
-    """Answers of the keyword sources alone, with their status."""
+    """Answers of the keyword sources and facts, with their status."""
     q, hits = _sources(spark, sf_dir)
-    sources, best = N.rerank(q, hits).persist(), N.match_facts(q, FA.extract_facts(whole(spark, sf_dir)))
+    best = N.match_facts(q, all_facts(spark, sf_dir))
+    sources = N.rerank(q, hits, best)
     evidence = sources.where("rank <= 5").groupBy(*R.QUESTION).agg(F.array_join(F.collect_list("text"), " ").alias("evidence"))
     return N.validate(N.synthesize(q, sources, best).join(evidence, R.QUESTION, "left")).select("question_id", "status", "confidence")
 
@@ -283,10 +316,79 @@ ch AS (SELECT dataset_id, (SELECT count(*) FROM documents d WHERE d.source = dat
  LEFT JOIN (SELECT dataset_id, count(*) AS ec FROM nodes GROUP BY 1) n USING (dataset_id) LEFT JOIN (SELECT dataset_id, count(*) AS rc FROM edges GROUP BY 1) e USING (dataset_id))"""
 _CHARS = _CHARS.replace("s.*, c.*", "s.* EXCLUDE (dataset_id), c.* EXCLUDE (dataset_id)")
 
-# the benchmark questions, understood and expanded without a vocabulary
-_BN = _NORM
-_WITH = "array_to_string(list_filter([n, " + ", ".join(rf"CASE WHEN regexp_matches(low, '\b{w}\b') THEN '{more}' END" for w, more in Q.EXPANSIONS) + "], lambda x: x IS NOT NULL), ' ')"
-_ASKED = f"u AS (SELECT *, {P.word_safe('lower(n)')} AS low FROM (SELECT *, {_BN} AS n FROM questions)), ax AS (SELECT question_id, {_WITH} AS expanded, {_TARGET} AS target FROM u), aq AS (SELECT question_id, list_distinct({P.keyword_tokens('expanded')}) AS qt, list_distinct({P.keyword_tokens('target')}) AS tt FROM ax)"
+_OFFQ = f"""offq AS (SELECT 'src' || (s_suppkey % 20) AS dataset_id, s_suppkey * 10 + k + {OFFICE_QUESTIONS} AS question_id,
+  ['Who is the secretary?', 'Who is the head of department of Section ' || (s_suppkey % 7) || '?', 'Where is the venue?', 'When is the date?', 'Who is the treasurer?', 'List the people of Hall ' || (s_suppkey % 9)][k + 1] AS question FROM supplier, range(0, 6) t(k))"""
+_MESSAGES = f"{_OFFQ}, {_TALK.replace('FROM conversations)', 'FROM conversations UNION ALL SELECT * FROM offq)')}"
+_ALL_ASKED = f"{_OFFQ}, {P.QUESTIONS.replace('FROM benchmark)', 'FROM benchmark UNION ALL SELECT * FROM offq)')}"
+
+
+def _expansion(more: str = "''") -> str:
+    """The words of the question and of its expansions, each once, in order."""
+    parts = ", ".join(rf"CASE WHEN regexp_matches(low, '\b{w}\b') THEN '{said}' ELSE '' END" for w, said in Q.EXPANSIONS)
+    words = rf"list_filter(string_split_regex(concat_ws(' ', n, {parts}, {more}), '\s+'), lambda x: x <> '')"
+    return f"CASE WHEN {_CASUAL} THEN n ELSE array_to_string(list_filter({words}, lambda x, i: list_position({words}, x) = i), ' ') END"
+
+
+_EXPANDED = f"ex AS (SELECT *, {_INTENT} AS intent, {_TARGET} AS target, {_ROLE} AS role_target, {_QUAL} AS qualifier, {_expansion()} AS expanded FROM u)"
+_ASKED = f"u AS (SELECT *, {P.word_safe('lower(n)')} AS low FROM (SELECT *, {_NORM} AS n FROM questions)), {_EXPANDED}, aq AS (SELECT question_id, intent, target, role_target, list_distinct({P.keyword_tokens('expanded')}) AS qt, list_distinct({P.keyword_tokens('target')}) AS tt FROM ex)"
+_MATCHED = f"""mq AS (SELECT dataset_id, question_id, intent, role_target, list_distinct({P.keyword_tokens("coalesce(nullif(role_target, ''), nullif(target, ''), n)")}) AS tt, list_distinct({P.keyword_tokens('qualifier')}) AS ql, list_distinct({P.keyword_tokens('expanded')}) AS qt FROM ex WHERE intent IN ({quoted(N.LOOKUPS)})),
+mf AS (SELECT dataset_id, input_id AS fact_input, seg_ord AS fact_seg, rule, n, fact_type, subject, predicate, object, qualifier AS fact_qualifier, confidence AS fact_confidence, fact_text, list_distinct({P.keyword_tokens("concat_ws(' ', fact_type, subject, predicate, object, qualifier, fact_text)")}) AS ft, list_distinct({P.keyword_tokens('subject')}) AS st,
+  lower(array_to_string(list_transform(list_filter(regexp_extract_all(concat_ws(' ', qualifier, object, fact_text), '[A-Za-z]+'), lambda w: length(w) > 2 AND lower(w) NOT IN ({quoted(N.ACRONYM_SKIPS)})), lambda w: w[1]), '')) AS initials FROM facts),
+mj AS (SELECT mf.*, question_id, len(list_filter(qt, lambda x: list_contains(ft, x))) + 2 * len(list_filter(tt, lambda x: list_contains(ft, x))) + fact_confidence + 2 * len(list_filter(ql, lambda x: list_contains(ft, x))) + CASE WHEN fact_type IN ('role', 'contact', 'event') THEN 1.2 ELSE 0.0 END::DOUBLE
+  + CASE WHEN intent = 'location' AND subject IN ('venue', 'location', 'address') THEN 3 WHEN intent = 'time' AND subject IN ('date', 'time') THEN 3 ELSE 0 END AS fact_score FROM mq JOIN mf USING (dataset_id)
+  WHERE CASE intent WHEN 'location' THEN subject IN ({quoted(N.SUBJECT_OF['location'])}) WHEN 'time' THEN subject IN ({quoted(N.SUBJECT_OF['time'])})
+    ELSE len(tt) = 0 OR (list_has_any(tt, st) AND (role_target = '' OR role_target = subject) AND (len(ql) = 0 OR list_has_any(ql, ft) OR len(list_filter(ql, lambda x: length(x) BETWEEN 2 AND 6 AND contains(initials, x))) > 0)) END),
+bf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, question_id ORDER BY fact_score DESC, fact_input, fact_seg, rule, n) AS k FROM mj WHERE fact_score >= {N.FACT_FROM}) WHERE k = 1)"""
+
+
+def _ranked(facts: bool) -> str:
+    """Everything up to ``ranked``, with matched facts in front or not."""
+    own = "" if not facts else " UNION ALL SELECT question_id, fact_input || ':' || fact_seg, coalesce(nullif(fact_text, ''), concat_ws(' ', subject, predicate, object)), -1, 999.0::DOUBLE, 'matched extracted structured fact' FROM bf"
+    return f"""WITH RECURSIVE {_KEYWORD.replace(P.QUESTIONS, _ALL_ASKED)}, {_ASKED}{f', {FACTS}, {_MATCHED}' if facts else ''}, h AS (SELECT kh.*, q.qt, q.tt, c.text, 'document ' || kh.input_id AS title, concat_ws(':', kh.input_id, kh.seg_ord, kh.chunk_ord) AS source_id FROM khits kh JOIN aq q USING (question_id) JOIN chunks c ON c.dataset_id = kh.dataset_id AND c.input_id = kh.input_id AND c.chunk_ord = kh.chunk_ord),
+t AS (SELECT *, list_distinct({P.keyword_tokens("title || ' ' || text")}) AS st FROM h),
+r AS (SELECT *, list_sort(list_filter(qt, lambda x: list_contains(st, x))) AS qs, list_sort(list_filter(tt, lambda x: list_contains(st, x))) AS ts, len(list_filter(tt, lambda w: instr(lower(text), w) > 0 AND len(list_filter([{quoted(N.CUES)}], lambda cue: contains(substr(lower(text), greatest(instr(lower(text), w) - 120, 1), least(instr(lower(text), w) - 1, 120) + 180), cue))) > 0)) > 0 AS near FROM t),
+s AS (SELECT question_id, source_id, text, rank AS ord, round(score + len(qs) * 1.2::DOUBLE + len(ts) * 2.4::DOUBLE + CASE WHEN near THEN 4.0 ELSE 0.0 END::DOUBLE, 4) AS score,
+  concat_ws('; ', CASE WHEN len(ts) > 0 THEN 'matched target terms: ' || array_to_string(ts[:4], ', ') END, CASE WHEN len(qs) > 0 THEN 'matched query terms: ' || array_to_string(qs[:5], ', ') END, CASE WHEN near THEN 'role/entity terms appear near each other' END) AS match_reason FROM r{own}),
+fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, source_id, substr(text, 1, 120) ORDER BY score DESC, ord) AS first FROM s) WHERE first = 1),
+ranked AS (SELECT * FROM (SELECT question_id, source_id, text, score, match_reason, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ord, source_id) AS rank FROM fr) WHERE rank <= 8)"""
+
+
+def _extracted(router: bool) -> str:
+    """CTEs up to ``extract`` (``question_id, answer``)."""
+    sentence, least = (P.clean_evidence("raw"), 25) if router else (P.strip("raw"), 30)
+    said, many = "sentence || ' [' || rank || ']'", "CASE WHEN intent = 'list' THEN 6 ELSE 4 END" if router else "4"
+    row, listed = f"string_agg({said}, ' ' ORDER BY k)", f"'Here is what I found:' || chr(10) || string_agg('- ' || {said}, chr(10) ORDER BY k)"
+    closest = f"'I found related evidence, but not a direct answer: ' || substr({P.clean_evidence('text')}, 1, 450) || ' [1]'" if router else "'Closest exact-match source: ' || substr(text, 1, 500) || ' [1]'"
+    none = "NULL" if router else "'I could not find a strong exact-match source for that question.'"
+    return f"""se AS (SELECT question_id, rank, unnest(range(0, len(ss))) AS pos, unnest(ss) AS raw FROM (SELECT question_id, rank, {P.sentences('text')} AS ss FROM ranked {'WHERE rank <= 6' if router else ''})),
+sc AS (SELECT question_id, rank, pos, {sentence} AS sentence FROM se), sj AS (SELECT sc.*, intent, len(list_filter(qt, lambda x: list_contains({P.keyword_tokens('sentence')}, x))) AS shared FROM sc JOIN aq USING (question_id) WHERE length(sentence) >= {least}),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, rank, pos) AS k FROM sj WHERE shared > 0) WHERE k <= {many}),
+an AS (SELECT question_id, {f"CASE WHEN any_value(intent) = 'list' THEN {listed} ELSE {row} END" if router else row} AS said FROM pk GROUP BY 1),
+extract AS (SELECT question_id, CASE WHEN said IS NOT NULL THEN said WHEN text IS NOT NULL THEN {closest} ELSE {none} END AS answer FROM aq LEFT JOIN an USING (question_id) LEFT JOIN (SELECT question_id, text FROM ranked WHERE rank = 1) USING (question_id))"""
+
+
+_SYNTH = f"""cl AS (SELECT question_id, substr({P.clean_evidence('text')}, 1, 360) AS closest FROM ranked WHERE rank = 1),
+sy AS (SELECT aq.question_id, intent, aq.tt, target, fact_type IS NOT NULL AS has_fact, closest IS NULL AS none, intent IN ({quoted(N.LOOKUPS)}) AS lookup, e.answer AS extract,
+  CASE WHEN fact_type IS NOT NULL THEN 'The ' || subject || ' is ' || object || '.' || CASE WHEN fact_qualifier <> '' THEN CASE WHEN fact_type = 'role' THEN ' This is in the context of ' ELSE ' This is listed under ' END || fact_qualifier || '.' ELSE '' END
+    WHEN closest IS NULL THEN '{N.NOT_FOUND}' WHEN intent IN ({quoted(N.LOOKUPS)}) THEN 'I could not find a confirmed answer for ' || chr(39) || coalesce(nullif(aq.role_target, ''), nullif(target, ''), 'that fact') || chr(39) || ' in the uploaded data. The closest evidence I found says: ' || closest || ' [1]' ELSE e.answer END AS answer,
+  CASE WHEN fact_type IS NOT NULL THEN greatest(0.82::DOUBLE, fact_confidence) WHEN closest IS NULL THEN 0.0 WHEN intent IN ({quoted(N.LOOKUPS)}) THEN 0.28 WHEN coalesce(e.answer, '') <> '' THEN 0.62 ELSE 0.0 END::DOUBLE AS confidence
+  FROM aq LEFT JOIN bf USING (question_id) LEFT JOIN cl USING (question_id) LEFT JOIN extract e USING (question_id))"""
+_STATUS = f"""ev AS (SELECT question_id, string_agg(text, ' ') AS evidence FROM ranked WHERE rank <= 5 GROUP BY 1),
+vl AS (SELECT *, len(tt) > 0 AND NOT list_has_any(tt, {P.keyword_tokens("lower(concat_ws(' ', evidence, answer))")}) AS lost, lookup AND NOT has_fact AS open FROM sy LEFT JOIN ev USING (question_id)),
+status AS (SELECT question_id, CASE WHEN intent = 'casual_chat' THEN 'casual_chat' WHEN confidence >= 0.8 AND answer <> '' THEN 'grounded' WHEN coalesce(answer, '') = '' OR contains(lower(answer), 'could not find') THEN 'not_found'
+  WHEN open AND (lost OR confidence < 0.55) THEN 'weak_evidence' WHEN NOT open AND confidence < 0.45 THEN 'weak_evidence' ELSE 'grounded' END AS status, confidence FROM vl)"""
+_RE = P.word_safe("expanded")
+_REASONS = [
+    "Question has analytical language and may need narrative context.", "Relationship-style phrasing matched extracted graph entities.", "Question has relationship wording plus structured table evidence.",
+    "Numeric or aggregation phrasing matched available structured tables.", "Exact lookup and relationship signals matched keyword, semantic, and graph evidence.", "Exact lookup phrasing matched keyword/name retrieval.",
+    "Relationship-style phrasing matched extracted entity graph.", "Broad factual question can use section-level parent context.", "Factual long-form phrasing is best served by semantic retrieval.", "Factual long-form phrasing is best served by semantic retrieval.",
+]
+_ROUTE = f"""pf AS (SELECT dataset_id, entity_count > 0 AS has_nodes, hierarchical_segment_count > 0 AS has_long, dataset_id IN (SELECT dataset_id FROM facts) AS has_facts, true AS has_data FROM ch),
+r0 AS (SELECT question_id, n, intent, coalesce(has_nodes, false) AS has_nodes, coalesce(has_long, false) AS has_long, coalesce(has_facts, false) AS has_facts, coalesce(has_data, false) AS has_data, intent = 'relationship' OR regexp_matches({_RE}, '{Q.GRAPH_HINTS}') AS linked, regexp_matches({_RE}, '{Q.TABLE_HINTS}') AS tabular, regexp_matches({_RE}, '{Q.SQL_HINTS}') AS counted,
+  regexp_matches({_RE}, '{Q.KEYWORD_HINTS}') AS named FROM ex LEFT JOIN pf USING (dataset_id)),
+r1 AS (SELECT *, (counted OR intent IN ('aggregate', 'list', 'location', 'time') OR (linked AND tabular)) AND has_data AS sql, linked AND has_nodes AS graph, (intent IN ('point_lookup', 'location', 'time') OR named) AND (has_data OR has_facts) AS keyword FROM r0),
+r2 AS (SELECT *, CASE WHEN sql AND has_data AND regexp_matches(lower(n), 'why|explain|compare') THEN 1 WHEN graph AND NOT tabular THEN 2 WHEN graph AND sql THEN 3 WHEN sql THEN 4 WHEN keyword AND graph THEN 5 WHEN keyword THEN 6 WHEN graph THEN 7 WHEN has_long THEN 8 WHEN has_data THEN 9 ELSE 10 END AS c FROM r1)
+SELECT question_id, ['hybrid', 'graph', 'hybrid', 'sql', 'hybrid', 'keyword', 'graph', 'hierarchical', 'semantic', 'semantic'][c] AS route, [0.82, 0.82, 0.84, 0.9, 0.82, 0.88, 0.74, 0.79, 0.84, 0.35][c]::DOUBLE AS route_confidence, [{quoted(_REASONS)}][c] AS route_reason FROM r2"""
 
 SQL = {
     "normalize_questions": _Q + "n AS normalized FROM u",
@@ -329,12 +431,23 @@ s AS (SELECT dataset_id, list_filter([CASE WHEN {any_of('c', ['ceo', 'cto', 'hea
 SELECT dataset_id, array_to_string(qs[:6], '; ') AS questions FROM s""",
     "architecture": f"""{_CHARS} SELECT dataset_id, 'Hybrid Multi-RAG Architecture' AS name, concat_ws('; ', 'Semantic RAG', 'SQL RAG', CASE WHEN entity_count > 0 THEN 'Graph Layer' END, CASE WHEN keyword_segment_count > 0 THEN 'Keyword/BM25 RAG' END, CASE WHEN hierarchical_segment_count > 0 THEN 'Hierarchical RAG' END) AS modules,
   concat_ws('; ', 'analyze_dataset; segment_dataset; select_strategy; build_pipeline; semantic_index; table_loader', CASE WHEN entity_count >= 3 THEN 'graph_layer' END, CASE WHEN keyword_segment_count > 0 THEN 'keyword_rag' END, CASE WHEN hierarchical_segment_count > 0 THEN 'hierarchical_rag' END, 'classify_query; route_query; synthesize_answer') AS workflow FROM ch""",
-    "rerank": f"""WITH RECURSIVE {_KEYWORD}, {_ASKED}, h AS (SELECT k.*, q.qt, q.tt, c.text, 'document ' || k.input_id AS title, concat_ws(':', k.input_id, k.seg_ord, k.chunk_ord) AS source_id FROM khits k JOIN aq q USING (question_id) JOIN chunks c ON c.dataset_id = k.dataset_id AND c.input_id = k.input_id AND c.chunk_ord = k.chunk_ord),
-t AS (SELECT *, list_distinct({P.keyword_tokens("title || ' ' || text")}) AS st FROM h),
-r AS (SELECT *, list_sort(list_filter(qt, lambda x: list_contains(st, x))) AS qs, list_sort(list_filter(tt, lambda x: list_contains(st, x))) AS ts, len(list_filter(tt, lambda w: instr(lower(text), w) > 0 AND len(list_filter([{quoted(N.CUES)}], lambda cue: contains(substr(lower(text), greatest(instr(lower(text), w) - 120, 1), least(instr(lower(text), w) - 1, 120) + 180), cue))) > 0)) > 0 AS near FROM t),
-s AS (SELECT question_id, source_id, text, rank AS ord, round(score + len(qs) * 1.2::DOUBLE + len(ts) * 2.4::DOUBLE + CASE WHEN near THEN 4.0 ELSE 0.0 END::DOUBLE, 4) AS score,
-  concat_ws('; ', CASE WHEN len(ts) > 0 THEN 'matched target terms: ' || array_to_string(ts[:4], ', ') END, CASE WHEN len(qs) > 0 THEN 'matched query terms: ' || array_to_string(qs[:5], ', ') END, CASE WHEN near THEN 'role/entity terms appear near each other' END) AS match_reason FROM r),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, source_id, substr(text, 1, 120) ORDER BY score DESC, ord) AS first FROM s) WHERE first = 1)
-SELECT question_id, source_id, score, match_reason, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ord, source_id) AS rank FROM f) WHERE rank <= 8""",
+    "rerank": f"{_ranked(True)} SELECT question_id, source_id, score, match_reason, rank FROM ranked",
+    "extractive_answer": f"{_ranked(False)}, {_extracted(True)} SELECT * FROM extract",
+    "extractive_answer_keyword": f"{_ranked(False)}, {_extracted(False)} SELECT * FROM extract",
+    "synthesize": f"{_ranked(True)}, {_extracted(True)}, {_SYNTH} SELECT question_id, CASE WHEN has_fact OR NOT (none OR lookup) THEN answer ELSE '' END AS direct_answer, answer, confidence, has_fact FROM sy",
+    "validate": f"{_ranked(True)}, {_extracted(True)}, {_SYNTH}, {_STATUS} SELECT * FROM status",
+    "match_facts": f"WITH {FACTS}, {_MESSAGES}, {_UND}, {_EXPANDED}, {_MATCHED} SELECT question_id, fact_input, subject, object, round(fact_score, 4) AS fact_score FROM bf",
+    "expand_questions": f"""WITH {FACTS}, {VOCABULARY}, {_MESSAGES}, {_UND}, vh AS (SELECT question_id, term, row_number() OVER (PARTITION BY dataset_id, question_id ORDER BY ord, term) AS k FROM u JOIN vocab USING (dataset_id) WHERE contains(lower(n), lower(term))),
+va AS (SELECT question_id, string_agg(term, ' ' ORDER BY k) AS more FROM vh WHERE k <= {Q.VOCABULARY} GROUP BY 1) SELECT question_id, {_expansion("coalesce(more, '')")} AS expanded FROM u LEFT JOIN va USING (question_id)""",
+    "route_questions": f"{_CHARS}, {FACTS.replace('seg AS (', 'mseg AS (').replace('FROM seg', 'FROM mseg')}, {_MESSAGES}, {_UND}, {_EXPANDED}, {_ROUTE}",
+    "context_budget": f"""{_ranked(False)}, {_CHARS.removeprefix('WITH RECURSIVE ').replace(P.DOC_CHUNKS + ', ', '')},
+sp AS (SELECT questions.dataset_id, question_id, sum(length(text)) AS ec FROM ranked JOIN questions USING (question_id) GROUP BY 1, 2), bt AS (SELECT question_id, (greatest(chunk_chars, segment_chars) + table_chars + 3) // 4 AS d, (ec + 3) // 4 AS e FROM sp JOIN ch USING (dataset_id))
+SELECT question_id, d::BIGINT AS dataset_tokens, e::BIGINT AS evidence_tokens, greatest(0, d - e)::BIGINT AS saved_tokens, CASE WHEN d > 0 THEN round(greatest(0, d - e) / d * 100, 1) ELSE 0.0 END::DOUBLE AS reduction_percent FROM bt""",
+    "dataset_profile": f"""WITH RECURSIVE {CLASSIFIED}, {GRAPH}, {_CATALOG},
+i AS (SELECT dataset_id, list({{'name': title, 'kind': 'text'}} ORDER BY input_id) AS v FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY input_id) AS k FROM seg) WHERE k <= 6 GROUP BY 1),
+t AS (SELECT dataset_id, list({{'source_name': table_name, 'columns': columns, 'row_count': row_count}} ORDER BY table_name) AS v FROM cat GROUP BY 1),
+g AS (SELECT dataset_id, list({{'title': title, 'method': method, 'preview': substr(text, 1, 260)}} ORDER BY input_id) AS v FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY input_id) AS k FROM cls) WHERE k <= 12 GROUP BY 1),
+n AS (SELECT dataset_id, list({{'entity': entity, 'type': type}} ORDER BY rank) AS v FROM nodes WHERE rank <= 12 GROUP BY 1)
+SELECT i.dataset_id, to_json(i.v)::VARCHAR AS inputs, to_json(t.v)::VARCHAR AS tables, to_json(g.v)::VARCHAR AS segments, to_json(n.v)::VARCHAR AS entities FROM i JOIN t USING (dataset_id) JOIN g USING (dataset_id) LEFT JOIN n USING (dataset_id)""",
     "classifier_sources": "SELECT source AS dataset_id, 'heuristic' AS classifier, count(*) AS n FROM documents GROUP BY 1",
 }

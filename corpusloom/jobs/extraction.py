@@ -15,11 +15,39 @@ from corpusloom.operators import segments as S
 from corpusloom.operators import tables as X
 
 
+#: Ids of offices lie above those of documents.
+OFFICE_IDS = 1_000_000_000_000
+
+
 def whole(spark, sf_dir):
     """Every document as one segment."""
     return corpus(spark, sf_dir).withColumn("seg_ord", F.lit(0)).withColumn("source_name", F.col("title"))
 
 
+def _letters(number):
+    return F.translate(number.cast("string"), "0123456789", "abcdefghij")
+
+
+def offices(spark, sf_dir):
+    """Every customer as a directory text: two records of ``key: value`` lines, a role line, a role in a sentence, and a date."""
+    of = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key = F.col("c_custkey")
+    one, two = F.concat(F.initcap("c_mktsegment"), F.lit(" K"), _letters(key)), F.concat(F.lit("Ola N"), _letters(F.col("c_nationkey")))
+    section, hall = F.concat(F.lit("Section "), key % 7), F.concat(F.lit("Hall "), key % 9)
+
+    def record(name, role, mail):
+        return [F.concat(F.lit(k), v) for k, v in (("Name: ", name), ("Role: ", F.lit(role)), ("Department: ", section), (f"Email: {mail}", F.concat(key, F.lit("@example.org"))), ("Venue: ", hall))]
+
+    rest = [F.lit("These are the people of the office."), F.concat(F.lit("Director: "), one), F.concat(F.lit("The secretary is "), two, F.lit(".")), F.lit("12 March 2019 was the first day.")]
+    text = F.concat_ws("\n", *record(one, "HOD", "c"), F.lit(""), *record(two, "Chairperson", "d"), F.lit(""), *rest)
+    return of.select(F.concat(F.lit("src"), key % 20).alias("dataset_id"), (key + OFFICE_IDS).alias("input_id"), F.concat(F.lit("office "), key).alias("title"), text.alias("text"))
+
+
+def mixed(spark, sf_dir):
+    """Documents and offices, each as one segment."""
+    return whole(spark, sf_dir).unionByName(offices(spark, sf_dir).withColumn("seg_ord", F.lit(0)).withColumn("source_name", F.col("title")))
+
+
 def decisions(spark, sf_dir):
     """Outside decisions made from the labels: good texts by keyword, others as tables; toxic ones are called unreliable."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "doc_id")
@@ -87,12 +115,12 @@ def _csv(spark, sf_dir):
 
 
 def _catalog(spark, sf_dir):
-    catalog, _, _ = X.extract_tables(segmented(spark, sf_dir))
+    catalog, _, _ = X.extract_tables(S.classify_segments(mixed(spark, sf_dir)))
     return catalog.select("dataset_id", "input_id", "seg_ord", "table_name", F.array_join("columns", ",").alias("columns"), "row_count")
 
 
 def _records(spark, sf_dir):
-    return X.key_value_records(whole(spark, sf_dir))
+    return X.key_value_records(mixed(spark, sf_dir))
 
 
 def _header(spark, sf_dir):
@@ -107,13 +135,13 @@ def _segment_chunks(spark, sf_dir):
 
 def _facts(rule):
     def run(spark, sf_dir):
-        return rule(whole(spark, sf_dir)).select("input_id", "n", "fact_type", "subject", "predicate", "object", "qualifier", "confidence", "fact_text")
+        return rule(mixed(spark, sf_dir)).select("input_id", "n", "fact_type", "subject", "predicate", "object", "qualifier", "confidence", "fact_text")
 
     return run
 
 
 def _all_facts(spark, sf_dir):
-    return FA.extract_facts(whole(spark, sf_dir))
+    return FA.extract_facts(mixed(spark, sf_dir))
 
 
 def _names(spark, sf_dir):
@@ -135,8 +163,8 @@ def _roles(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    own = whole(spark, sf_dir)
-    words = FA.dataset_vocabulary(own, FA.contact_facts(own))
+    own = mixed(spark, sf_dir)
+    words = FA.dataset_vocabulary(own, FA.extract_facts(own))
     return words.select("dataset_id", "term", F.col("ord.g").alias("g"), F.col("ord.input_id").alias("first_input"))
 
 
@@ -201,6 +229,16 @@ def any_of(col: str, words) -> str:
 
 
 SEG = "seg AS (SELECT source AS dataset_id, doc_id AS input_id, 0 AS seg_ord, 'document ' || doc_id AS title, text FROM documents)"
+_LETTERS = "translate({}::VARCHAR, '0123456789', 'abcdefghij')"
+_MAIL = "{}' || id || '@example.org"
+#: What the offices' texts say, straight from the table: names, section, hall, and the records as lines.
+OFFICES = f"""off0 AS (SELECT 'src' || (c_custkey % 20) AS dataset_id, c_custkey + {OFFICE_IDS} AS input_id, 0 AS seg_ord, 'office ' || c_custkey AS title, c_custkey AS id, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' K' || {_LETTERS.format('c_custkey')} AS one,
+  'Ola N' || {_LETTERS.format('c_nationkey')} AS two, 'Section ' || (c_custkey % 7) AS section, 'Hall ' || (c_custkey % 9) AS hall FROM customer),
+off AS (SELECT *, 'name: ' || one || chr(10) || 'role: HOD' || chr(10) || 'department: ' || section || chr(10) || 'email: {_MAIL.format("c")}' || chr(10) || 'venue: ' || hall AS r1,
+  'name: ' || two || chr(10) || 'role: Chairperson' || chr(10) || 'department: ' || section || chr(10) || 'email: {_MAIL.format("d")}' || chr(10) || 'venue: ' || hall AS r2 FROM off0),
+seg AS (SELECT source AS dataset_id, doc_id AS input_id, 0 AS seg_ord, 'document ' || doc_id AS title, text FROM documents UNION ALL
+  SELECT dataset_id, input_id, seg_ord, title, array_to_string(['Name: ' || one, 'Role: HOD', 'Department: ' || section, 'Email: {_MAIL.format("c")}', 'Venue: ' || hall, '', 'Name: ' || two, 'Role: Chairperson', 'Department: ' || section, 'Email: {_MAIL.format("d")}', 'Venue: ' || hall, '',
+    'These are the people of the office.', 'Director: ' || one, 'The secretary is ' || two || '.', '12 March 2019 was the first day.'], chr(10)) FROM off)"""
 _FILLED = f"list_filter({P.lines('text')}, lambda x: {P.strip('x')} <> '')"
 
 
@@ -277,10 +315,27 @@ def _sentence(text: str, pos: str) -> str:
     return P.strip(f"substr({text}, {start} + 2, greatest({end} - {start}, 0))")
 
 
-def _found_sql(pattern: str, kind: str, subject: str, confidence: float, safe: bool) -> str:
+def _found_sql(rule: int, pattern: str, kind: str, subject: str, confidence: float, safe: bool) -> str:
     text = P.word_safe("text") if safe else "text"
-    return f"""WITH {SEG}, m AS (SELECT *, regexp_extract_all({text}, '{pattern}') AS ms FROM seg), e AS (SELECT input_id, title, text, unnest(range(0, len(ms))) AS n, unnest(ms) AS v FROM m)
-SELECT input_id, n, '{kind}' AS fact_type, '{subject}' AS subject, 'value' AS predicate, {P.strip('v')} AS object, title AS qualifier, {confidence}::DOUBLE AS confidence, substr({_sentence('text', '(instr(text, v) - 1)')}, 1, 1200) AS fact_text FROM e"""
+    return f"""m{rule} AS (SELECT *, regexp_extract_all({text}, '{pattern}') AS ms FROM seg), e{rule} AS (SELECT dataset_id, input_id, seg_ord, title, text, unnest(range(0, len(ms))) AS n, unnest(ms) AS v FROM m{rule}),
+f{rule} AS (SELECT dataset_id, input_id, seg_ord, {rule} AS rule, n, '{kind}' AS fact_type, '{subject}' AS subject, 'value' AS predicate, {P.strip('v')} AS object, title AS qualifier, {confidence}::DOUBLE AS confidence, substr({_sentence('text', '(instr(text, v) - 1)')}, 1, 1200) AS fact_text FROM e{rule})"""
+
+
+_FACT_COLUMNS = "input_id, n, fact_type, subject, predicate, object, qualifier, confidence, fact_text"
+_KV_FACTS = """k AS (SELECT *, unnest(range(0, 6)) AS n FROM off), f1 AS (SELECT dataset_id, input_id, seg_ord, 1 AS rule, n, ['role', 'contact', 'event'][n % 3 + 1] AS fact_type, CASE n % 3 WHEN 0 THEN ['head of department', 'chairman'][n // 3 + 1] WHEN 1 THEN 'email' ELSE 'venue' END AS subject,
+  CASE n % 3 WHEN 0 THEN 'held_by' ELSE 'value' END AS predicate, CASE n % 3 WHEN 0 THEN [one, two][n // 3 + 1] WHEN 1 THEN ['c', 'd'][n // 3 + 1] || id || '@example.org' ELSE hall END AS object, CASE n % 3 WHEN 0 THEN section ELSE [one, two][n // 3 + 1] END AS qualifier,
+  [0.9, 0.86, 0.8][n % 3 + 1]::DOUBLE AS confidence, [r1, r2][n // 3 + 1] AS fact_text FROM k)"""
+_ROLE_LINES = rf"""l2 AS (SELECT dataset_id, input_id, seg_ord, title, unnest(range(0, len(ls))) AS n, {P.strip('unnest(ls)')} AS line FROM (SELECT *, {P.lines('text')} AS ls FROM seg)),
+m2 AS (SELECT *, regexp_extract(line, '(?i)^(?:current\s+)?({'|'.join(FA.ROLES)})\s*[:\-]\s*(.+)$', 1) AS role, regexp_extract(line, '(?i)^(?:current\s+)?({'|'.join(FA.ROLES)})\s*[:\-]\s*(.+)$', 2) AS v FROM l2 WHERE regexp_matches(line, '(?i)^(?:current\s+)?({'|'.join(FA.ROLES)})\s*[:\-]\s*(.+)$')),
+f2 AS (SELECT dataset_id, input_id, seg_ord, 2 AS rule, n, 'role' AS fact_type, CASE lower(role) WHEN 'hod' THEN 'head of department' WHEN 'chairperson' THEN 'chairman' ELSE lower(role) END AS subject, 'held_by' AS predicate, {P.strip('v')} AS object, title AS qualifier, 0.92::DOUBLE AS confidence, substr(line, 1, 1200) AS fact_text FROM m2 WHERE {_is_name('v')})"""
+_ROLE_SENTENCES = "f3 AS (SELECT dataset_id, input_id, seg_ord, 3 AS rule, 0 AS n, 'role' AS fact_type, 'secretary' AS subject, 'held_by' AS predicate, two AS object, title AS qualifier, 0.82::DOUBLE AS confidence, 'The secretary is ' || two || '.' AS fact_text FROM off)"
+FACTS = f"""{OFFICES}, {_KV_FACTS}, {_ROLE_LINES}, {_ROLE_SENTENCES}, {_found_sql(4, FA.CONTACT, 'contact', 'contact', 0.72, False)}, {_found_sql(5, FA.DATE, 'event', 'date', 0.68, True)},
+allf AS ({' UNION ALL '.join(f'SELECT * FROM f{i}' for i in range(1, 6))}),
+facts AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, fact_type, lower(subject), lower(predicate), lower(object), lower(qualifier) ORDER BY input_id, seg_ord, rule, n) AS k FROM allf) WHERE k = 1)"""
+_ORD = "{{'g': {g}::INTEGER, 'input_id': input_id, 'seg_ord': seg_ord, 'rule': {rule}, 'n': {n}, 'k': k}}"
+VOCABULARY = f"""vall AS (SELECT dataset_id, {P.strip('t')} AS term, {_ORD.format(g=0, rule=0, n=0)} AS ord FROM (SELECT dataset_id, input_id, seg_ord, title AS t, 0 AS k FROM seg)
+UNION ALL SELECT dataset_id, {P.strip('t')}, {_ORD.format(g=1, rule='rule', n='n')} FROM (SELECT *, unnest([subject, object, qualifier]) AS t, unnest([0, 1, 2]) AS k FROM facts)),
+vocab AS (SELECT dataset_id, term, min(ord) AS ord FROM vall WHERE length(term) > 2 GROUP BY 1, 2)"""
 
 
 _ENTS = f"gents AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({P.word_safe('text')}, '{G.ENTITY}'), lambda e: {P.strip('e')}), lambda e: length(e) > 2))) AS es FROM chunks)"
@@ -291,6 +346,10 @@ edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id OR
   WHERE (dataset_id, source) IN (SELECT (dataset_id, entity) FROM nodes) AND (dataset_id, target) IN (SELECT (dataset_id, entity) FROM nodes)) WHERE rank <= 60)"""
 GRAPH = f"{P.DOC_CHUNKS}, {_ENTS}, {_NODES}, {_EDGES}"
 
+_PIPE_SQL = _cells_sql("|", rf"list_transform(string_split(regexp_replace({P.strip('x')}, '^\|+|\|+$', '', 'g'), '|'), lambda y: {_cell('y')})", 2, "len(r) >= 2 AND len(list_filter(r, lambda y: NOT regexp_matches(y, '^[-: ]+$'))) > 0")
+_CSV_SQL = _cells_sql(",", f"list_transform(string_split(x, ','), lambda y: {_cell('y')})", 3, "true")
+_CELL_TABLES = ", ".join(f"{name} AS (SELECT input_id, row_no, col_no, col_name FROM ({sql.replace('WITH ' + SEG, 'WITH ' + OFFICES)}))" for name, sql in (("pipe_t", _PIPE_SQL), ("csv_t", _CSV_SQL)))
+
 SQL = {
     "table_scores": f"WITH {SEG}, {_SCORES} SELECT input_id, round(pipe_score, 6) AS pipe_score, round(csv_score, 6) AS csv_score, round(kv_score, 6) AS kv_score FROM scores",
     "entity_score": f"WITH {CLASSIFIED} SELECT input_id, entity_count, round(entity_score, 6) AS entity_score FROM cls",
@@ -306,22 +365,27 @@ qt AS (SELECT DISTINCT dataset_id, question_id, unnest({P.keyword_tokens('questi
 sc AS (SELECT dataset_id, question_id, input_id, seg_ord, count(*) + CASE WHEN any_value(method) = 'hierarchical' THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM st JOIN qt USING (dataset_id, term) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, question_id ORDER BY score DESC, input_id, seg_ord) AS rank FROM sc) WHERE rank <= 8""",
     "chunks_from_segments": f"WITH RECURSIVE {CLASSIFIED}, {P.chunks_of('(SELECT * FROM cls WHERE method <> {0}sql{0})'.format(chr(39)), 'input_id, segment_type, method').replace('body AS', 'sbody AS').replace('FROM body', 'FROM sbody')} SELECT input_id, chunk_ord, segment_type, method, text FROM chunks",
-    "pipe_tables": _cells_sql("|", rf"list_transform(string_split(regexp_replace({P.strip('x')}, '^\|+|\|+$', '', 'g'), '|'), lambda y: {_cell('y')})", 2, "len(r) >= 2 AND len(list_filter(r, lambda y: NOT regexp_matches(y, '^[-: ]+$'))) > 0"),
-    "csv_tables": _cells_sql(",", f"list_transform(string_split(x, ','), lambda y: {_cell('y')})", 3, "true"),
+    "pipe_tables": _PIPE_SQL,
+    "csv_tables": _CSV_SQL,
     "dedupe_columns": rf"""WITH h0 AS (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS ws FROM documents), h1 AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS v FROM h0),
 h2 AS (SELECT doc_id, i, regexp_replace(regexp_replace(lower({P.strip('v')}), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS b FROM h1), h3 AS (SELECT doc_id, i, CASE WHEN b = '' THEN 'column_' || i ELSE b END AS b FROM h2),
 h4 AS (SELECT doc_id, i, b, count(*) OVER (PARTITION BY doc_id, b ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM h3) SELECT doc_id, string_agg(CASE WHEN k = 1 THEN b ELSE b || '_' || k END, ' ' ORDER BY i) AS columns FROM h4 GROUP BY 1""",
-    "role_line_facts": rf"""WITH {SEG}, l AS (SELECT input_id, title, unnest(range(0, len(ls))) AS n, {P.strip('unnest(ls)')} AS line FROM (SELECT *, {P.lines('text')} AS ls FROM seg)),
-m AS (SELECT *, regexp_extract(line, '(?i)^(?:current\s+)?({'|'.join(FA.ROLES)})\s*[:\-]\s*(.+)$', 1) AS role, regexp_extract(line, '(?i)^(?:current\s+)?({'|'.join(FA.ROLES)})\s*[:\-]\s*(.+)$', 2) AS v FROM l WHERE regexp_matches(line, '(?i)^(?:current\s+)?({'|'.join(FA.ROLES)})\s*[:\-]\s*(.+)$'))
-SELECT input_id, n, 'role' AS fact_type, CASE lower(role) WHEN 'hod' THEN 'head of department' WHEN 'chairperson' THEN 'chairman' ELSE lower(role) END AS subject, 'held_by' AS predicate, {P.strip('v')} AS object, title AS qualifier, 0.92::DOUBLE AS confidence, substr(line, 1, 1200) AS fact_text FROM m WHERE {_is_name('v')}""",
-    "contact_facts": _found_sql(FA.CONTACT, "contact", "contact", 0.72, False),
-    "date_facts": _found_sql(FA.DATE, "event", "date", 0.68, True),
+    "key_value_records": f"""WITH {OFFICES}, r AS (SELECT *, unnest([0, 1]) AS row_no FROM off), c AS (SELECT *, unnest(range(0, 5)) AS col_no FROM r)
+SELECT dataset_id, input_id, seg_ord, row_no, col_no, ['name', 'role', 'department', 'email', 'venue'][col_no + 1] AS col_name, CASE col_no WHEN 0 THEN [one, two][row_no + 1] WHEN 1 THEN ['HOD', 'Chairperson'][row_no + 1] WHEN 2 THEN section WHEN 3 THEN ['c', 'd'][row_no + 1] || id || '@example.org' ELSE hall END AS value FROM c""",
+    "extract_tables": f"""WITH {CLASSIFIED.replace(SEG, OFFICES)}, {_CELL_TABLES}, sure AS (SELECT dataset_id, input_id FROM cls WHERE segment_type = 'sql_candidate' AND confidence >= {S.TABLE_FROM}),
+every AS (SELECT 0 AS kind, * FROM pipe_t UNION ALL SELECT 1, * FROM csv_t UNION ALL SELECT 2, input_id, unnest([0, 1]), unnest(range(0, 5)), unnest(['name', 'role', 'department', 'email', 'venue']) FROM off UNION ALL SELECT 2, input_id, 1, i, ['name', 'role', 'department', 'email', 'venue'][i + 1] FROM off, range(0, 5) t(i)),
+sizes AS (SELECT kind, input_id, max(row_no) + 1 AS row_count, count(DISTINCT col_no) AS width, array_to_string(list_transform(list_sort(list(DISTINCT [lpad(col_no::VARCHAR, 6, '0'), col_name])), lambda x: x[2]), ',') AS columns FROM every GROUP BY 1, 2)
+SELECT dataset_id, input_id, 0 AS seg_ord, concat_ws('_', 'text_table', dataset_id, input_id, 0) AS table_name, columns, row_count FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY kind) AS k FROM sizes JOIN sure USING (input_id) WHERE width >= 2) WHERE k = 1""",
+    "kv_facts": f"WITH {OFFICES}, {_KV_FACTS} SELECT {_FACT_COLUMNS} FROM f1",
+    "role_sentence_facts": f"WITH {OFFICES}, {_ROLE_SENTENCES} SELECT {_FACT_COLUMNS} FROM f3",
+    "role_line_facts": f"WITH {OFFICES}, {_ROLE_LINES} SELECT {_FACT_COLUMNS} FROM f2",
+    "contact_facts": f"WITH {OFFICES}, {_found_sql(4, FA.CONTACT, 'contact', 'contact', 0.72, False)} SELECT {_FACT_COLUMNS} FROM f4",
+    "date_facts": f"WITH {OFFICES}, {_found_sql(5, FA.DATE, 'event', 'date', 0.68, True)} SELECT {_FACT_COLUMNS} FROM f5",
+    "extract_facts": f"WITH {FACTS} SELECT * FROM facts",
     "looks_like_name": f"WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS v FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) SELECT doc_id, n, {_is_name('v')} AS is_name FROM l",
     "sentence_around": f"SELECT doc_id, {_sentence('text', '(length(text) // 2)')} AS sentence FROM documents",
     "normalize_role": rf"SELECT word, CASE lower(word) WHEN 'hod' THEN 'head of department' WHEN 'chairperson' THEN 'chairman' ELSE lower(word) END AS role FROM (SELECT DISTINCT unnest(string_split_regex({P.strip('text')}, '\s+')) AS word FROM conversations)",
-    "dataset_vocabulary": f"""WITH {SEG}, m AS (SELECT *, regexp_extract_all(text, '{FA.CONTACT}') AS ms FROM seg), every AS (SELECT dataset_id, 0 AS g, input_id, title AS t FROM seg
-UNION ALL SELECT dataset_id, 1, input_id, unnest(list_concat(ms, ['contact', title])) FROM m WHERE len(ms) > 0)
-SELECT dataset_id, {P.strip('t')} AS term, (min([g, input_id]))[1]::INTEGER AS g, (min([g, input_id]))[2] AS first_input FROM every WHERE length({P.strip('t')}) > 2 GROUP BY ALL""",
+    "dataset_vocabulary": f"WITH {FACTS}, {VOCABULARY} SELECT dataset_id, term, ord.g AS g, ord.input_id AS first_input FROM vocab",
     "chunk_entities": f"WITH RECURSIVE {P.DOC_CHUNKS}, {_ENTS} SELECT input_id, chunk_ord, len(es) AS n, array_to_string(es, '|') AS entities FROM gents",
     "entity_nodes": f"WITH RECURSIVE {GRAPH} SELECT * FROM nodes",
     "cooccurrence_edges": f"WITH RECURSIVE {GRAPH} SELECT * FROM edges",

@@ -40,18 +40,23 @@ def acronym_match(words: Column, text: Column) -> Column:
 
 
 def match_facts(questions: DataFrame, facts: DataFrame) -> DataFrame:
-    """The best fact for each lookup question, if one scores enough; facts are dealt over all tasks, with their data set's questions sent to each."""
-    n = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The best fact for each lookup question, if one scores enough.
+
+    A question meets the facts of its data set that share what it asks for: the subject of a place or a time, else a term of
+    the fact's subject; only one without any term meets all.
+    """
     name = F.coalesce(F.nullif("role_target", F.lit("")), F.nullif("target", F.lit("")), F.col("normalized"))
-    q = questions.where(F.col("intent").isin(LOOKUPS)).select(
-        *QUESTION, "intent", "role_target", terms(name).alias("tt"), terms(F.col("qualifier")).alias("ql"), terms(F.col("expanded")).alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt")
-    )
+    q = questions.where(F.col("intent").isin(LOOKUPS)).select(*QUESTION, "intent", "role_target", terms(name).alias("tt"), terms(F.col("qualifier")).alias("ql"), terms(F.col("expanded")).alias("qt"))
+    asks = F.when(F.col("intent").isin(*SUBJECT_OF), F.array(F.concat(F.lit("="), F.col("intent")))).when(F.size("tt") == 0, F.array(F.lit("*"))).otherwise(F.col("tt"))
+    q = q.withColumn("meets", F.explode(asks))
     whole = F.concat_ws(" ", "fact_type", "subject", "predicate", "object", "qualifier", "fact_text")
     f = facts.select(
         "dataset_id", F.col("input_id").alias("fact_input"), F.col("seg_ord").alias("fact_seg"), "rule", "n", "fact_type", "subject", "predicate", "object", "qualifier", "confidence", "fact_text",
-        terms(whole).alias("ft"), terms(F.col("subject")).alias("st"), F.pmod(F.xxhash64("input_id", "seg_ord", "rule", "n"), F.lit(n)).cast("int").alias("salt"),
+        terms(whole).alias("ft"), terms(F.col("subject")).alias("st"),
     )
-    df = q.join(f, ["dataset_id", "salt"])
+    kinds = [F.when(F.col("subject").isin(subjects), F.array(F.lit(f"={kind}"))).otherwise(F.array().cast("array<string>")) for kind, subjects in SUBJECT_OF.items()]
+    f = f.withColumn("meets", F.explode(F.concat("st", F.array(F.lit("*")), *kinds)))
+    df = q.join(f, ["dataset_id", "meets"]).drop("meets")
     intent, subject = F.col("intent"), F.col("subject")
     fits = F.when(intent == "location", subject.isin(SUBJECT_OF["location"])).when(intent == "time", subject.isin(SUBJECT_OF["time"]))
     about = F.arrays_overlap("tt", "st") & ((F.col("role_target") == "") | (F.col("role_target") == subject))

@@ -88,8 +88,8 @@ def understand(questions: DataFrame) -> DataFrame:
 def expand_questions(understood: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """``expanded``: the question, other words for its roles, and the first eight vocabulary terms that stand in it; each word once.
 
-    ``vocabulary`` (``dataset_id, term, ord``) is dealt over all tasks, with every question of its data set sent to each;
-    a task keeps its first eight, so hot data sets neither fill one task nor move many rows.
+    A term of ``vocabulary`` (``dataset_id, term, ord``; three characters at least) meets the questions of its data set that hold its first three
+    characters anywhere; a task keeps the first eight of each question.
     """
     low = F.lower("normalized")
     parts = [F.col("normalized")] + [F.when(low.rlike(rf"\b{w}\b"), more).otherwise("") for w, more in EXPANSIONS]
@@ -97,13 +97,14 @@ def expand_questions(understood: DataFrame, vocabulary: DataFrame | None = None)
     if vocabulary is None:
         df = df.withColumn("vocabulary", F.array().cast("array<string>"))
     else:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        q = df.select("dataset_id", "question_id", low.alias("low"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt"))
-        v = vocabulary.select("dataset_id", "term", "ord", F.pmod(F.xxhash64("term"), F.lit(n)).cast("int").alias("salt"))
+        places = F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1)))
+        q = df.select("dataset_id", "question_id", low.alias("low"))
+        q = q.select("*", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("low", i, F.lit(3))))).alias("three"))
+        v = vocabulary.select("dataset_id", "term", "ord", F.substring(F.lower("term"), 1, 3).alias("three"))
         from pyspark.sql import Window as W
 
         rank = F.row_number().over(W.partitionBy("dataset_id", "question_id").orderBy("ord", "term"))
-        hits = q.join(v, ["dataset_id", "salt"]).where(F.contains("low", F.lower("term"))).withColumn("r", rank).where(F.col("r") <= VOCABULARY)
+        hits = q.join(v, ["dataset_id", "three"]).where(F.contains("low", F.lower("term"))).withColumn("r", rank).where(F.col("r") <= VOCABULARY)
         found = hits.groupBy("dataset_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("ts"))
         df = df.join(found.select("dataset_id", "question_id", F.col("ts.term").alias("vocabulary")), ["dataset_id", "question_id"], "left").withColumn("vocabulary", F.coalesce("vocabulary", F.array().cast("array<string>")))
     words = F.array_distinct(F.filter(F.split(F.concat_ws(" ", *parts, F.array_join("vocabulary", " ")), r"\s+"), lambda w: w != ""))
