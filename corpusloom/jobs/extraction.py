@@ -213,7 +213,7 @@ QUERIES = {
     "entity_nodes": lambda s, d: nodes_and_edges(s, d)[0],
     "cooccurrence_edges": lambda s, d: nodes_and_edges(s, d)[1],
     "entity_type_counts": lambda s, d: G.entity_type_counts(nodes_and_edges(s, d)[0]),
-    "graph_hint": lambda s, d: G.graph_hint(nodes_and_edges(s, d)[0]),
+    "graph_hint": lambda s, d: G.graph_hint(nodes_and_edges(s, d)[0], s.read.parquet(f"{d}/conversations.parquet").select(F.concat(F.lit("src"), F.col("conv_id") % 23).alias("dataset_id"))),
     "graph_view": lambda s, d: G.graph_view(*nodes_and_edges(s, d)),
 }
 
@@ -390,7 +390,8 @@ SELECT dataset_id, input_id, 0 AS seg_ord, concat_ws('_', 'text_table', dataset_
     "entity_nodes": f"WITH RECURSIVE {GRAPH} SELECT * FROM nodes",
     "cooccurrence_edges": f"WITH RECURSIVE {GRAPH} SELECT * FROM edges",
     "entity_type_counts": f"WITH RECURSIVE {GRAPH} SELECT dataset_id, type, count(*) AS n FROM nodes GROUP BY ALL",
-    "graph_hint": f"WITH RECURSIVE {GRAPH} SELECT dataset_id, 'The lightweight graph layer found these prominent entities for relationship-style reasoning: ' || string_agg(entity, ', ' ORDER BY rank) || '.' AS hint FROM nodes WHERE rank <= 8 GROUP BY 1",
+    "graph_hint": f"""WITH RECURSIVE {GRAPH}, hints AS (SELECT dataset_id, 'The lightweight graph layer found these prominent entities for relationship-style reasoning: ' || string_agg(entity, ', ' ORDER BY rank) || '.' AS hint FROM nodes WHERE rank <= 8 GROUP BY 1)
+SELECT dataset_id, coalesce(hint, 'No strong entity relationships were extracted yet.') AS hint FROM (SELECT DISTINCT 'src' || (conv_id % 23) AS dataset_id FROM conversations) LEFT JOIN hints USING (dataset_id)""",
     "graph_view": f"""WITH RECURSIVE {GRAPH}, shown AS (SELECT dataset_id, entity FROM nodes WHERE rank <= 18)
 SELECT dataset_id, source, target, weight, view_rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY rank) AS view_rank FROM edges WHERE (dataset_id, source) IN (SELECT (dataset_id, entity) FROM shown) AND (dataset_id, target) IN (SELECT (dataset_id, entity) FROM shown)) WHERE view_rank <= 32""",
 }

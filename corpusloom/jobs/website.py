@@ -39,6 +39,10 @@ def _report(spark, sf_dir):
     return W.crawl_report(_crawled(spark, sf_dir), W.page_text(pages(spark, sf_dir)), W.page_links(pages(spark, sf_dir)), 8)
 
 
+def _report_pages(spark, sf_dir):
+    return W.crawled_pages(_crawled(spark, sf_dir), W.page_text(pages(spark, sf_dir)), W.page_links(pages(spark, sf_dir)))
+
+
 def _catalog(spark, sf_dir):
     """Addresses as file paths."""
     return IO.catalog_inputs(pages(spark, sf_dir).select(F.concat(F.regexp_replace("url", "/$", ""), F.when(F.col("page_id") % 3 == 0, ".PDF").when(F.col("page_id") % 3 == 1, ".csv").otherwise(".bin")).alias("path")))
@@ -58,6 +62,7 @@ QUERIES = {
     "expand_sitemaps": _sitemaps,
     "crawl": _crawled,
     "crawl_report": _report,
+    "crawled_pages": _report_pages,
     "catalog_inputs": _catalog,
     "document_line_text": _document_lines,
 }

@@ -59,11 +59,14 @@ def entity_type_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("dataset_id", "type").agg(F.count("*").alias("n"))
 
 
-def graph_hint(nodes: DataFrame) -> DataFrame:
-    """A sentence that names the first eight nodes of each data set."""
+def graph_hint(nodes: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+    """A sentence that names the first eight nodes of each data set; those of ``datasets`` without any get one that says so."""
     first = nodes.where(F.col("rank") <= HINT_NODES).groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity"))).alias("ns"))
     said = F.concat(F.lit("The lightweight graph layer found these prominent entities for relationship-style reasoning: "), F.array_join(F.col("ns.entity"), ", "), F.lit("."))
-    return first.select("dataset_id", said.alias("hint"))
+    hints = first.select("dataset_id", said.alias("hint"))
+    if datasets is None:
+        return hints
+    return datasets.select("dataset_id").distinct().join(hints, "dataset_id", "left").withColumn("hint", F.coalesce("hint", F.lit("No strong entity relationships were extracted yet.")))
 
 
 def graph_view(nodes: DataFrame, edges: DataFrame) -> DataFrame:

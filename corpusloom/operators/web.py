@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -87,14 +88,36 @@ def resolve(base, href):
     return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).otherwise(F.concat(origin, path, query))
 
 
+class _Links(HTMLParser):
+    """Addresses that a page's elements name, entities resolved."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        self.found += [v for k, v in attrs if v and (k == "data-href" or (k == "href" and tag in ("a", "area", "link")))]
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """``src, dst, kind``: documents of any site and pages of the same site that a page's tags and scripts name; each once."""
-    html = F.col("html")
-    tags = F.regexp_extract_all(html, F.lit(r"""(?i)<(?:a|area|link)\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    data = F.regexp_extract_all(html, F.lit(r"""(?i)<[^>]*?\sdata-href\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    """``src, dst, kind``: documents of any site and pages of the same site that a page's elements and scripts name; each once."""
+
+    @F.arrow_udf("array<string>")
+    def named(html: pa.Array) -> pa.Array:
+        out = []
+        for text in html.to_pylist():
+            page = _Links()
+            page.feed(text or "")
+            page.close()
+            out.append(page.found)
+        return pa.array(out, pa.list_(pa.string()))
+
+    html = F.coalesce("html", F.lit(""))
     code = F.regexp_extract_all(html, F.lit(r"""(?:href|url|to)\s*[:=]\s*["']([^"']+)["']"""), F.lit(1))
-    roots = F.regexp_extract_all(html, F.lit(rf"""(?i)["'](/(?:{ROOT_WORDS})[^"'\s<]*)["']"""), F.lit(1))
-    each = pages.select(F.col("url").alias("src"), F.explode(F.array_distinct(F.concat(tags, data, code, roots))).alias("href"))
+    # what scripts name; the elements' own attributes are read above, with their entities
+    code = F.filter(code, lambda x: ~F.contains(x, F.lit("&")))
+    roots = F.regexp_extract_all(html, F.lit(rf"""(?i)["'](/(?:{ROOT_WORDS})[^"'\s<&]*)["']"""), F.lit(1))
+    each = pages.select(F.col("url").alias("src"), F.explode(F.array_distinct(F.concat(named(F.col("html")), code, roots))).alias("href"))
     each = each.withColumn("dst", normalize_url(resolve(F.col("src"), F.trim("href"))))
     kind = F.when(is_document(F.col("dst")), "document").when(is_crawlable(F.col("dst"), part(F.col("src"), 2)), "page")
     return each.withColumn("kind", kind).where("kind IS NOT NULL").select("src", "dst", "kind").distinct()
@@ -109,10 +132,11 @@ def discovery_candidates(sites: DataFrame) -> DataFrame:
     return hosts.select("site", "scheme", "host", paths.alias("path")).select("site", normalize_url(F.concat("scheme", F.lit("://"), "host", "path")).alias("url")).distinct()
 
 
-def expand_sitemaps(roots: DataFrame, docs: DataFrame, max_pages: int, rounds: int = 8) -> DataFrame:
-    """``site, url``: pages that site maps name, from ``roots`` (``site``) over stored ``docs`` (``url, body``); per site the first ``max_pages``.
+def expand_sitemaps(roots: DataFrame, docs: DataFrame, max_pages: int) -> DataFrame:
+    """``site, url``: pages that site maps name, from ``roots`` (``site``) over stored ``docs`` (``url, body``); per site the first ``max_pages`` by name
+    (not by the order in which they were found, which tasks do not keep).
 
-    Each round joins the frontier of site maps with the stored bodies; nested ``.xml`` entries make the next frontier.
+    Each round joins the frontier of site maps with the stored bodies; nested ``.xml`` entries that are new make the next frontier, until there is none.
     """
     scheme, host = part(F.col("site"), 1), part(F.col("site"), 2)
     origin = F.concat(scheme, F.lit("://"), host)
@@ -120,7 +144,7 @@ def expand_sitemaps(roots: DataFrame, docs: DataFrame, max_pages: int, rounds: i
     default = roots.select("site", F.explode(F.array(F.concat(origin, F.lit("/sitemap.xml")), F.concat(origin, F.lit("/sitemap_index.xml")))).alias("url"))
     frontier = default.unionByName(robots).select("site", normalize_url(F.col("url")).alias("url")).distinct()
     seen, found = frontier, None
-    for _ in range(rounds):
+    while True:
         loc = F.explode(F.regexp_extract_all("body", F.lit(r"(?i)<loc>\s*([^<]*?)\s*</loc>"), F.lit(1)))
         named = frontier.join(docs, "url").select("site", loc.alias("u")).select("site", normalize_url(F.col("u")).alias("url")).distinct()
         pages = named.where(is_crawlable(F.col("url"), host) & ~is_document(F.col("url")))
@@ -155,13 +179,22 @@ def crawl(seeds: DataFrame, pages: DataFrame, links: DataFrame, sitemap: DataFra
             fresh = fresh.join(visited.select("site", "url"), ["site", "url"], "left_anti")
         first = fresh.groupBy("site", "url").agg(F.min(F.struct("g", "parent", "url")).alias("o")).withColumn("depth", F.lit(depth))
         ranked = first.withColumn("k", F.row_number().over(W.partitionBy("site").orderBy("o"))).select("site", "url", "depth", "k")
-        ranked = cut_lineage(ranked)
+        # ranks beyond the cap stay out of the result, and so does what only they lead to
+        ranked = cut_lineage(ranked.where(F.col("k") <= max_pages))
         visited = ranked if visited is None else visited.unionByName(ranked)
         level = ranked.join(links, "url").select("site", F.col("dst").alias("url"), F.lit(depth + 1).alias("depth"), F.lit(2).alias("g"), F.col("k").alias("parent"))
     rank = F.row_number().over(W.partitionBy("site").orderBy("depth", "k"))
     return visited.withColumn("rank", rank).where(F.col("rank") <= max_pages).select("site", "url", "depth", "rank")
 
 
+def crawled_pages(crawled: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """``site, rank, url, title, description, text_chars, document_links`` of each visited page."""
+    documents = links.where("kind = 'document'").groupBy(F.col("src").alias("url")).agg(F.count("*").alias("document_links"))
+    own = texts.select("url", "title", "description", F.length("text").cast("long").alias("text_chars"))
+    df = crawled.join(own, "url", "left").join(documents, "url", "left")
+    return df.select("site", "rank", "url", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("text_chars", F.lit(0)).alias("text_chars"), F.coalesce("document_links", F.lit(0)).alias("document_links"))
+
+
 def crawl_report(crawled: DataFrame, texts: DataFrame, links: DataFrame, requested: int) -> DataFrame:
     """Per site: pages, requested pages, status, recursion, characters and document links."""
     documents = links.where("kind = 'document'").groupBy(F.col("src").alias("url")).agg(F.count("*").alias("document_links"))

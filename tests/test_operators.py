@@ -180,3 +180,18 @@ def test_index_stream_adds_once(spark, tmp_path):
         stream = spark.readStream.schema(docs.schema).parquet(source)
         index_stream(stream, index, str(tmp_path / f"c{run}")).awaitTermination()
         assert spark.read.parquet(index).count() == 5
+
+
+def test_links_of_plain_attributes_and_entities(spark):
+    html = """<a href=/one>x</a> <a href="/two?a=1&amp;b=2">y</a> <area href='/three.pdf'> <div data-href="/four"></div> <script>go({url: "/five"})</script>"""
+    got = {(r.dst, r.kind) for r in W.page_links(spark.createDataFrame([("https://site.org/", html)], "url string, html string")).collect()}
+    assert got == {("https://site.org/one", "page"), ("https://site.org/two?a=1&b=2", "page"), ("https://site.org/three.pdf", "document"), ("https://site.org/four", "page"), ("https://site.org/five", "page")}
+
+
+def test_site_maps_of_any_depth(spark):
+    """Ten maps below each other, and one that names itself."""
+    roots = spark.createDataFrame([("https://site.org/",)], "site string")
+    rows = [("https://site.org/sitemap.xml", "<loc>https://site.org/m1.xml</loc><loc>https://site.org/sitemap.xml</loc>")]
+    rows += [(f"https://site.org/m{k}.xml", f"<loc>https://site.org/m{k + 1}.xml</loc><loc>https://site.org/p{k}</loc>") for k in range(1, 11)]
+    got = {r.url for r in W.expand_sitemaps(roots, spark.createDataFrame(rows, "url string, body string"), 50).collect()}
+    assert got == {f"https://site.org/p{k}" for k in range(1, 11)}
