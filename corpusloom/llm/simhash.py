@@ -172,7 +172,7 @@ def _traverse(group: np.ndarray, value: np.ndarray, forest: _Forest | _Across, b
         of = np.repeat(np.arange(len(count)), count)
         k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         i, j = x0[of] + k // width[of], y0[of] + k % width[of]
-        some = (i != j) & (np.bitwise_count((value[i] ^ value[j]) & mask) <= budget)
+        some = (forest.label[i] != forest.label[j]) & (np.bitwise_count((value[i] ^ value[j]) & mask) <= budget)
         i, j = i[some], j[some]
         if near is not None and len(i):
             some = near(i, j)
@@ -317,22 +317,38 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
 #: Similar texts: words in a shingle, and the Jaccard similarity of their sets that links.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Candidates among fingerprints of so many words of 64 bits: a byte in front is equal and at most so many of the other bits of its 32-bit block differ (two
-#: bytes of each block take the front in turn), and at most so many of the first 128 bits; at a similarity of 0.8 about 15 of 100 bits differ.
-WIDE_WORDS, BLOCK_BUDGET, CHECK_BYTES, CHECK_BUDGET = 8, 3, 16, 34
+#: bytes of each block take the front in turn), and at most so many of all 512 bits.  At a similarity of 0.8 about 76 of them differ, 92 in one case of a hundred;
+#: at 0.85 about 63.
+WIDE_WORDS, BLOCK_BUDGET, CLOSE, LOOSE = 8, 3, 78, 108
+#: Bits of a map of a text's shingles, which bounds the similarity of two texts from above.
+MAP_BITS = 4096
 
 
-def wide_candidates(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """Pairs (``a``, ``b``) of rows ``node, wide`` that may be similar: enough to span every group of such pairs, or, if rows
-    have a ``root``, all pairs of different roots.
+def shingle_map(h: np.ndarray) -> bytes:
+    """A bit for each of the distinct hashes, after their number (32 bits)."""
+    bits = np.zeros(MAP_BITS, bool)
+    bits[((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)).astype(np.int64)] = True
+    return np.array([len(h)], "<u4").tobytes() + np.packbits(bits).tobytes()
 
+
+def may_be_similar(n: np.ndarray, held: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether two texts can have a similarity of 0.8: a shared shingle sets a shared bit, or one that another shingle of both has set."""
+    shared = np.bitwise_count(maps[i] & maps[j]).sum(1, dtype=np.int64) + np.minimum(n[i] - held[i], n[j] - held[j])
+    return (1 + SIMILARITY) * shared >= SIMILARITY * (n[i] + n[j]) - 1e-6
+
+
+def wide_candidates(prints: DataFrame, limit: int = LOOSE, heavy: int = HEAVY) -> DataFrame:
+    """Pairs (``a``, ``b``) of rows ``node, wide`` whose fingerprints differ in at most ``limit`` bits: enough to span every group of such pairs.
+
+    If rows have a ``root`` and a ``map``, all pairs of different roots that their maps allow.
     A pair at a similarity of 0.8 meets the block condition in one of 16 blocks in 98 of 100 cases.
     """
     blocks = 2 * WIDE_WORDS
-    roots = ["root"] if "root" in prints.columns else []
-    dealt = prints.select("node", "wide", *roots, F.explode(F.sequence(F.lit(0), F.lit(2 * blocks - 1))).alias("k"))
+    extra = [c for c in ("root", "map") if c in prints.columns]
+    dealt = prints.select("node", "wide", *extra, F.explode(F.sequence(F.lit(0), F.lit(2 * blocks - 1))).alias("k"))
     own = F.substring(F.col("wide"), (F.floor(F.col("k") / 2) * 4 + 1).cast("int"), F.lit(4))
     # byte 0 or 2 of a block of four bytes in front
-    dealt = dealt.select("node", *roots, "k", own.alias("own"), F.substring(own, (2 * (F.col("k") % 2) + 1).cast("int"), F.lit(1)).alias("front"), F.substring("wide", 1, CHECK_BYTES).alias("check"))
+    dealt = dealt.select("node", *extra, "k", "wide", F.substring(own, (2 * (F.col("k") % 2) + 1).cast("int"), F.lit(1)).alias("front"))
     dealt = _deal(dealt, ["k", "front"], "node", heavy)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -343,19 +359,27 @@ def wide_candidates(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
             return
         t = pa.Table.from_batches(got)
         node, k = t["node"].to_numpy(), t["k"].to_numpy().astype(np.int64)
-        check = np.frombuffer(b"".join(t["check"].to_pylist()), np.uint64).reshape(len(node), -1)
-        block = np.frombuffer(b"".join(t["own"].to_pylist()), np.uint8).reshape(-1, 4)
-        first, row = 2 * (k % 2), np.arange(len(node))
+        wide = np.frombuffer(b"".join(t["wide"].to_pylist()), np.uint64).reshape(len(node), -1)
+        row = np.arange(len(node))
+        block = wide.view(np.uint8).reshape(len(node), blocks, 4)[row, k // 2]
+        first = 2 * (k % 2)
         key = (block[row, first].astype(np.int64) | k << 8) << 40 ^ (t["p"].to_numpy().astype(np.int64) << 20 | t["q"].to_numpy())
         b = [block[row, (first + i) % 4].astype(np.uint64) for i in (1, 2, 3)]
-        value = b[0] << np.uint64(56) | b[1] << np.uint64(48) | b[2] << np.uint64(40) | check[:, 0] >> np.uint64(24)
+        value = b[0] << np.uint64(56) | b[1] << np.uint64(48) | b[2] << np.uint64(40) | wide[:, 0] >> np.uint64(24)
         order = np.lexsort((value, key))
-        check, node = check[order], node[order]
+        wide, node = wide[order], node[order]
+        if "map" in extra:
+            raw = np.frombuffer(b"".join(t["map"].take(pa.array(order)).to_pylist()), np.uint8).reshape(len(node), -1)
+            size, maps = raw[:, :4].copy().view("<u4")[:, 0].astype(np.int64), raw[:, 4:].copy().view(np.uint64)
+            held = np.bitwise_count(maps).sum(1, dtype=np.int64)
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return np.bitwise_count(check[i] ^ check[j]).sum(1, dtype=np.int64) <= CHECK_BUDGET
+            some = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= limit
+            if "map" in extra and some.any():
+                some[some] = may_be_similar(size, held, maps, i[some], j[some])
+            return some
 
-        if roots:
+        if "root" in extra:
             found = trie_pairs(key[order], value[order], t["root"].to_numpy()[order], BLOCK_BUDGET, 24, near)
         else:
             found = [trie_links(key[order], value[order], BLOCK_BUDGET, 24, near)]
@@ -389,7 +413,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, node, component_id`` (``node``: hash of the wide fingerprint) over links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
     Candidate pairs come from the trie self-join and are compared by their whole texts.  The first pairs only span the groups of
-    candidates; where some of them are not similar, all other candidate pairs between texts not yet joined by similar ones are compared too.
+    candidates.  Where some of them are not similar, pairs that span the groups of close fingerprints are compared next; after that, all candidate pairs between
+    texts not yet joined by similar ones are, but for those that maps of their shingles rule out.
     """
 
     @F.arrow_udf("boolean")
@@ -400,13 +425,24 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     prints = materialize(docs.select("doc_id", wide_node(F.col("text"))[0].alias("wide")).withColumn("node", F.xxhash64("wide")), "wide-prints")
     own = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"))
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """``a, b, alike`` by the text of one row for each node that has a pair."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own.select("node", "least"), "node")
+    @F.arrow_udf("binary")
+    def map_of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_map(np.unique(shingle_hashes(x.as_py(), WIDE_SHINGLE))) for x in texts], pa.binary())
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """``node, text`` of one row for each node."""
+        ends = nodes.select("node").distinct().join(own.select("node", "least"), "node")
         # an id may stand on several texts, so each row's own node decides
         rows = docs.join(ends.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
         rows = rows.select("text", wide_node(F.col("text"))[1].alias("node"))
-        texts = materialize(rows.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "wide-texts")
+        return rows.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+    def mapped_nodes(nodes: DataFrame) -> DataFrame:
+        return materialize(nodes.join(texts_of(nodes), "node").select("node", "wide", map_of("text").alias("map")), "wide-maps")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """``a, b, alike`` by their texts."""
+        texts = materialize(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "wide-texts")
         left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", similar("text_a", "text_b").alias("alike")), "wide-compared")
 
@@ -418,9 +454,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         loose = components(first.select("a", "b")).withColumnRenamed("root", "family")
         loose = loose.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = loose.groupBy("family").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("n > 2 AND x <> y")
-        left_open = materialize(loose.join(apart.select("family"), "family", "left_semi").join(own.select("node", "wide"), "node").select("node", "wide", "root"), "wide-open")
+        left_open = materialize(loose.join(apart.select("family"), "family", "left_semi").join(own.select("node", "wide"), "node").select("node", "wide"), "wide-open")
         if not left_open.isEmpty():
-            more = wide_candidates(left_open).join(first.select("a", "b"), ["a", "b"], "left_anti")
+            close = wide_candidates(left_open, CLOSE).join(first.select("a", "b"), ["a", "b"], "left_anti")
+            close = compared(materialize(close, "wide-pairs"))
+            links = links.unionByName(close.where("alike").select("a", "b"))
+            roots = components(links)
+            mapped = mapped_nodes(left_open).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            more = wide_candidates(mapped).join(first.select("a", "b").unionByName(close.select("a", "b")), ["a", "b"], "left_anti")
             roots = components(links.unionByName(compared(materialize(more, "wide-pairs")).where("alike").select("a", "b")))
     placed = own.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
