@@ -397,6 +397,55 @@ def test_lm(odd_docs, no_docs):
     assert lm.score_texts(no_docs.select("doc_id", "text", F.lit(True).alias("held_out")), no_docs).count() == 0
 
 
+def test_lm_score_by_hand(odd_docs, monkeypatch):
+    """The score is that of the classes found, with counts gathered here again; few words are frequent, so all kinds take part."""
+    monkeypatch.setattr(lm, "HEAD", 40)
+    monkeypatch.setattr(lm, "WORDS", 10)
+    docs = odd_docs.select("doc_id", "text", F.lit(False).alias("held_out"))
+    given = [lm.tokens(r.text) for r in docs.collect()]
+    counts = Counter(w for words in given for w in words)
+    frame = lm.word_counts(docs)
+    head, model = lm.fit(docs, frame, len(given))
+    assert 0 < len(head.at) <= 40 and all(counts[w] >= max((n for x, n in counts.items() if x not in head.at and len(x) <= 64), default=0) for w in head.at)
+    of = lambda w: int(model.of[-1] if w is None else model.of[head.at[w] if w in head.at else len(head.at) + lm.ending(w)])
+    steps, size, types = Counter(), Counter({of(None): len(given)}), Counter({of(None): 1})
+    for words in given:
+        for a, b in zip([None, *words], [*words, None]):
+            steps[of(a), of(b)] += 1
+    for w, n in counts.items():
+        size[of(w)] += n
+        types[of(w)] += 1
+    def score(words):
+        total = 0.0
+        for a, b in zip([None, *words], [*words, None]):
+            row = sum(steps[of(a), c] for c in range(lm.CLASSES))
+            own = len(given) if b is None else counts[b]
+            total += np.log10((steps[of(a), of(b)] + 0.5) / (row + 0.5 * lm.CLASSES) * (own + 0.5) / (size[of(b)] + 0.5 * (types[of(b)] + 1)))
+        return total
+
+    want = sorted(round(score(words), 3) for words in given)
+    assert np.allclose(sorted(r["score"] for r in rows(lm.score_texts(docs, docs))), want, atol=2e-3)
+
+
+def test_sweeps_raise_likelihood(spark):
+    """Words of two kinds that take turns end in classes of their own kind, though a quarter of them starts with the other."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'ab'[k % 2]}{rng.integers(60)}" for k in range(200)) for _ in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = lm.word_counts(docs)
+    top = lm.frequent(counts)
+    head = spark.sparkContext.broadcast(lm.Head([bytes(r["word"]) for r in top], [r["n"] for r in top]))
+    units = lm.encoded(docs, head)
+    kind = np.array([w.startswith(b"b") for w in head.value.at]).astype(np.int64)
+    of = np.r_[kind ^ (rng.random(len(top)) < 0.25), np.zeros(lm.ENDINGS, np.int64), lm.CLASSES - 1]
+    found, table = lm.swept(units, of, len(top), 6)
+    assert table.sum() == 40 * 201 and lm.likelihood(table) > lm.likelihood(lm.swept(units, of, len(top), 0)[1])
+    kinds = {}
+    for w, i in head.value.at.items():
+        kinds.setdefault(int(found[i]), set()).add(w[:1])
+    assert sum(len(x) == 1 for x in kinds.values()) >= 0.9 * len(kinds)
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(2)
     table = rng.poisson(np.kron(rng.random((4, 4)) * 8, np.ones((6, 6)))).astype(float)
