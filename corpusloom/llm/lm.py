@@ -206,11 +206,12 @@ def likelihood(table: np.ndarray) -> float:
 def better_classes(right: np.ndarray, left: np.ndarray, of: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The best class of each unit, given how often each class comes after and before it, with all other units where they are.
 
-    Classes but the last are free.  A unit's own bigrams with itself count as with its present class.
+    Classes but the last and empty ones are free.  A unit's own bigrams with itself count as with its present class.
     """
     free = CLASSES - 1
     best = of.copy()
     after, before = table.sum(1), table.sum(0)
+    empty = after[:free] + before[:free] == 0  # units that move at the same time would all meet there
     for u in range(len(of)):
         j, i = np.flatnonzero(right[u]), np.flatnonzero(left[u])
         a, r, c = of[u], right[u, j], left[u, i]
@@ -222,6 +223,7 @@ def better_classes(right: np.ndarray, left: np.ndarray, of: np.ndarray, table: n
         cols[a] -= c.sum()
         gain = (_log_sum(out + r) - _log_sum(out)).sum(1) + (_log_sum(into + c) - _log_sum(into)).sum(1)
         gain -= _log_sum(rows + r.sum()) - _log_sum(rows) + _log_sum(cols + c.sum()) - _log_sum(cols)
+        gain[empty] = -np.inf
         k = int(gain.argmax())
         if gain[k] > gain[a] + 1e-9:
             best[u] = k
