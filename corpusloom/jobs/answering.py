@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.lineage import cut_lineage
 from corpusloom.jobs import sql_parts as P
 from corpusloom.jobs.extraction import CLASSIFIED, FACTS, GRAPH, SEG, VOCABULARY, _ANN, any_of, mixed, nodes_and_edges, quoted, whole
 from corpusloom.jobs.retrieval import _KEYWORD, corpus, questions
@@ -11,6 +15,7 @@ from corpusloom.operators import analysis as D
 from corpusloom.operators import answers as N
 from corpusloom.operators import chunks as C
 from corpusloom.operators import facts as FA
+from corpusloom.operators import graph as G
 from corpusloom.operators import questions as Q
 from corpusloom.operators import retrieve as R
 from corpusloom.operators import segments as S
@@ -166,34 +171,68 @@ def _routed(spark, sf_dir):
     return df.select("question_id", "route", "route_confidence", "route_reason")
 
 
+#: Their keys, by which the rows of the star tables are in order.
+ORDER = {"customer": ["c_custkey"], "lineitem": ["l_orderkey", "l_linenumber"], "orders": ["o_orderkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"]}
+
+
+def star_rows(spark, sf_dir):
+    """``table_name, ord, cells``: all rows of the star tables as texts."""
+    each = []
+    for t, keys in ORDER.items():
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        each.append(df.select(F.lit(t).alias("table_name"), F.array(*[F.col(k).cast("long") for k in keys]).alias("ord"), F.array(*[F.col(c).cast("string") for c in df.columns]).alias("cells")))
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def table_questions(spark, sf_dir):
+    """Every message to the tables: best table, operation, rows, summary."""
+    got = T.summarize_rows(T.rows_for_questions(messages(spark, sf_dir), table_rows(spark, sf_dir), star_rows(spark, sf_dir), ("table_name",)))
+    return got.select("question_id", "table_name", "op", "term", "n_rows", "summary")
+
+
 def answered(spark, sf_dir):
-    """All benchmark items as questions to their data sets: understood, routed, searched by the methods of their routes, fused, reranked, answered, validated."""
-    segments, chunks = S.classify_segments(whole(spark, sf_dir)).persist(), C.chunks_from_documents(corpus(spark, sf_dir)).persist()
-    facts = FA.extract_facts(whole(spark, sf_dir)).persist()
-    q = Q.route_questions(Q.expand_questions(Q.understand(questions(spark, sf_dir)), FA.dataset_vocabulary(whole(spark, sf_dir), facts)), profile(spark, sf_dir)).persist()
+    """All benchmark items, messages and questions to offices as questions to their data sets: understood, routed, searched by the methods of their routes, fused, reranked, answered, validated.
+
+    Questions routed to tables get the rows of their best table, those routed to the graph its hint, casual messages a fixed reply.
+    Each step is written to the checkpoint folder once and read by the next ones, so no plan holds another one twice.
+    """
+    segments, chunks = cut_lineage(S.classify_segments(whole(spark, sf_dir))), cut_lineage(C.chunks_from_documents(corpus(spark, sf_dir)))
+    facts = cut_lineage(all_facts(spark, sf_dir))
+    said = talk(spark, sf_dir).withColumn("question_id", F.col("question_id") + 2 * OFFICE_QUESTIONS)
+    known = cut_lineage(profile(spark, sf_dir, facts))
+    words = FA.dataset_vocabulary(mixed(spark, sf_dir), facts)
+    q = cut_lineage(Q.route_questions(Q.expand_questions(Q.understand(asked(spark, sf_dir).unionByName(said)), words), known))
 
-    def asked(*routes):
-        return q.where(F.col("route").isin(*routes)).select("dataset_id", "question_id", F.col("expanded").alias("question"))
+    def routed(*routes):
+        return q.where(F.col("route").isin(*routes) & (F.col("intent") != "casual_chat")).select("dataset_id", "question_id", F.col("expanded").alias("question"))
 
     texts = chunks.select("dataset_id", "input_id", "seg_ord", "chunk_ord", "title", "text")
     sections = segments.select("dataset_id", "input_id", "seg_ord", "title", F.substring("text", 1, 1600).alias("text"))
     groups = []
     for name, hits, own in (
-        ("keyword", R.keyword_search(asked("keyword", "hybrid"), chunks, 18), texts),
-        ("hierarchical", R.section_search(asked("hierarchical", "hybrid"), segments, 8), sections),
-        ("semantic", R.tfidf_search(asked("semantic", "hybrid", "graph"), chunks, 12), texts),
+        ("keyword", R.keyword_search(routed("keyword", "hybrid"), chunks, 18), texts),
+        ("hierarchical", R.section_search(routed("hierarchical", "hybrid"), segments, 8), sections),
+        ("semantic", R.tfidf_search(routed("semantic", "hybrid", "graph"), chunks, 12), texts),
     ):
         key = [c for c in R.CHUNK if c in hits.columns and c in own.columns]
         hits = R.normalize_scores(hits.withColumn("retriever", F.lit(name))).join(own, key)
         groups.append(hits.select(*R.QUESTION, "retriever", "rank", "score", F.concat_ws(":", *key[1:]).alias("source_id"), "title", "text"))
-    merged = R.merge_hits(*groups).withColumn("ord", F.col("group_ord") * 100 + F.col("rank")).drop("rank")
-    best = N.match_facts(q, facts).persist()
-    sources = N.rerank(q, merged, best).persist()
+    merged = cut_lineage(R.merge_hits(*groups).withColumn("ord", F.col("group_ord") * 100 + F.col("rank")).drop("rank"))
+    best = cut_lineage(N.match_facts(q, facts))
+    sources = cut_lineage(N.rerank(q, merged, best))
     made = N.synthesize(q, sources, best)
     evidence = sources.where("rank <= 5").groupBy(*R.QUESTION).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("e"))
     made = made.join(evidence.select(*R.QUESTION, F.array_join(F.col("e.text"), " ").alias("evidence")), R.QUESTION, "left")
-    done = N.validate(made)
-    return done.select(*R.QUESTION, "intent", "route", "route_confidence", "status", F.when(F.col("status") == "not_found", N.NOT_FOUND).otherwise(F.col("answer")).alias("answer"), "confidence")
+    to_tables = q.where(F.col("route").isin("sql", "hybrid") & (F.col("intent") != "casual_chat")).select(*R.QUESTION, F.col("normalized").alias("question"))
+    tables = cut_lineage(T.summarize_rows(T.rows_for_questions(to_tables, table_rows(spark, sf_dir), star_rows(spark, sf_dir), ("table_name",))))
+    hints = cut_lineage(G.graph_hint(nodes_and_edges(spark, sf_dir)[0], q))
+    found = sources.groupBy(*R.QUESTION).agg(F.count("*").alias("sources"))
+    done = N.validate(N.compose(made, tables, hints)).join(found, R.QUESTION, "left")
+    text = F.when(F.col("status") == "not_found", N.NOT_FOUND).otherwise(F.col("answer"))
+    return done.select(
+        *R.QUESTION, "normalized", "expanded", "intent", "route", "route_confidence", "route_reason", "status", text.alias("answer"), "direct_answer", "confidence",
+        F.coalesce("sources", F.lit(0)).alias("sources"), F.array_join("retrievers_used", ", ").alias("retrievers_used"), F.array_join("retrievers_skipped.retriever", ", ").alias("retrievers_skipped"),
+    )
 
 
 def _sources(spark, sf_dir):
@@ -275,6 +314,7 @@ QUERIES = {
     "synthesize": _synthesized,
     "validate": _validated,
     "context_budget": _budget,
+    "table_questions": table_questions,
     "answer_questions": answered,
     "dataset_characteristics": characteristics,
     "select_strategy": _strategy,

@@ -15,6 +15,16 @@ ACRONYM_SKIPS = ["and", "of", "the", "for", "in", "at", "to"]
 LOOKUPS, SUBJECT_OF = ["point_lookup", "location", "time"], {"location": ["venue", "location", "address", "office"], "time": ["date", "time"]}
 FACT_FROM, FACT_SCORE = 2.4, 999.0
 NOT_FOUND = "I could not find that in the uploaded data."
+CASUAL_REPLY = "Hi, I am ready. Ask me something from the uploaded data and I will answer with the best RAG route."
+CASUAL_REASON = "Casual chat was detected, so retrieval was skipped."
+SKIPPED = {
+    "sql": "No reliable SQLite tables exist for this dataset.", "graph": "No graph entities were extracted.", "semantic": "No unstructured chunks are indexed.",
+    "keyword": "No text chunks are indexed.", "hierarchical": "No source segments are available.", "all": "Casual chat does not need retrieval.",
+}
+ROUTES_OF = {"semantic": ["semantic", "hybrid", "graph"], "keyword": ["keyword", "hybrid"], "hierarchical": ["hierarchical", "hybrid"], "sql": ["sql", "hybrid"], "graph": ["graph", "hybrid"]}
+TABLE_CONFIDENCE = 0.86
+#: Said when there is nothing to answer from (our own words).
+EMPTY = "Add a document, a table or a site before asking."
 
 
 def terms(col: Column) -> Column:
@@ -149,6 +159,36 @@ def validate(answers: DataFrame) -> DataFrame:
     return answers.withColumn("status", status)
 
 
+def compose(made: DataFrame, tables: DataFrame, hints: DataFrame) -> DataFrame:
+    """The whole answer of each row of ``synthesize``, with ``retrievers_used`` and ``retrievers_skipped``.
+
+    ``made`` has ``route`` and the flags of its data set (``has_tables, has_chunks, has_nodes``, null counts as false); ``tables``: ``summary, n_rows`` of
+    questions that went to a table; ``hints``: ``hint`` of each data set.  Parts stand in the order table, graph, evidence; rows of a
+    table lift the confidence, and their summary is the direct answer if there is none.  Casual messages get a fixed reply.
+    """
+    df = made.join(tables.select(*QUESTION, "summary", "n_rows"), QUESTION, "left").join(hints.select("dataset_id", "hint"), "dataset_id", "left")
+    route, casual, fact = F.col("route"), F.col("intent") == "casual_chat", F.coalesce("has_fact", F.lit(False))
+    has = {"sql": F.col("n_rows").isNotNull(), "graph": F.coalesce("has_nodes", F.lit(False)), **{r: F.coalesce("has_chunks", F.lit(False)) for r in ("semantic", "keyword", "hierarchical")}}
+    fact_by = F.when(fact & F.col("fact_type").isin("role", "contact", "event"), "sql").when(fact, "keyword")
+    used = [F.when(route.isin(ROUTES_OF[r]) & has[r], r) for r in ("semantic", "keyword", "hierarchical")] + [fact_by] + [F.when(route.isin(ROUTES_OF[r]) & has[r], r) for r in ("sql", "graph")]
+    missed = {r: route.isin(["sql"] if r == "sql" else ROUTES_OF[r]) & ~has[r] for r in ROUTES_OF}
+    skipped = [F.when(missed[r], F.struct(F.lit(r).alias("retriever"), F.lit(SKIPPED[r]).alias("reason"))) for r in ROUTES_OF]
+    parts = [F.when(route.isin(ROUTES_OF["sql"]), F.col("summary")), F.when(route.isin(ROUTES_OF["graph"]), F.col("hint")), F.when((route != "sql") | fact, F.col("answer"))]
+    text = F.trim(F.concat_ws("\n\n", *[F.nullif(p, F.lit("")) for p in parts]))
+    sure = F.when(F.coalesce("n_rows", F.lit(0)) > 0, F.greatest("confidence", F.lit(TABLE_CONFIDENCE))).otherwise(F.col("confidence"))
+    direct = F.when((F.coalesce("n_rows", F.lit(0)) > 0) & (F.coalesce("direct_answer", F.lit("")) == ""), F.col("summary")).otherwise(F.col("direct_answer"))
+    nothing = F.array(F.struct(F.lit("all").alias("retriever"), F.lit(SKIPPED["all"]).alias("reason")))
+    return df.select(
+        *[c for c in made.columns if c not in ("answer", "direct_answer", "confidence", "route", "route_confidence", "route_reason")],
+        F.when(casual, "semantic").otherwise(route).alias("route"), F.when(casual, 0.0).otherwise(F.col("route_confidence")).alias("route_confidence"),
+        F.when(casual, CASUAL_REASON).otherwise(F.col("route_reason")).alias("route_reason"),
+        F.when(casual, CASUAL_REPLY).when(text == "", EMPTY).otherwise(text).alias("answer"), F.when(casual, CASUAL_REPLY).otherwise(direct).alias("direct_answer"),
+        F.when(casual, 1.0).when(text == "", 0.0).otherwise(sure).alias("confidence"),
+        F.when(casual, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*used)))).alias("retrievers_used"),
+        F.when(casual, nothing).otherwise(F.array_compact(F.array(*skipped))).alias("retrievers_skipped"),
+    )
+
+
 def table_chars(catalog: DataFrame) -> DataFrame:
     """Characters of all tables of a data set: headers, and twelve to a cell."""
     size = F.length(F.array_join("columns", " ")) + F.col("row_count") * F.greatest(F.size("columns"), F.lit(1)) * 12

@@ -1,10 +1,13 @@
 """Small inputs of our own with values worked out by hand, and properties."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
+from corpusloom.operators import answers as N
 from corpusloom.operators import chunks as C
 from corpusloom.operators import facts as FA
 from corpusloom.operators import questions as Q
@@ -195,3 +198,60 @@ def test_site_maps_of_any_depth(spark):
     rows += [(f"https://site.org/m{k}.xml", f"<loc>https://site.org/m{k + 1}.xml</loc><loc>https://site.org/p{k}</loc>") for k in range(1, 11)]
     got = {r.url for r in W.expand_sitemaps(roots, spark.createDataFrame(rows, "url string, body string"), 50).collect()}
     assert got == {f"https://site.org/p{k}" for k in range(1, 11)}
+
+
+def sales(spark):
+    cells = [("d", "sales", i, [f"Item{i}", str(i * 10), "North" if i % 2 else "South"]) for i in range(1, 31)]
+    rows = spark.createDataFrame(cells, "dataset_id string, table_name string, ord int, cells array<string>")
+    tables = [("d", "sales", ["item", "amount", "Region"], "sales.csv"), ("d", "zz", ["Place", "place"], "zz")]
+    return rows, spark.createDataFrame(tables, "dataset_id string, table_name string, columns array<string>, source_name string")
+
+
+def test_batch_of_questions_to_tables(spark):
+    rows, catalog = sales(spark)
+    asked = ["how many amount", "average amount", "total amount", "top amount", "Item2 amount", "I_em3 amount", "amount nowhere", "count a place", "the sum of a place"]
+    q = spark.createDataFrame([("d", i, t) for i, t in enumerate(asked)], "dataset_id string, question_id int, question string")
+    got = {r.question_id: r for r in ST.summarize_rows(ST.rows_for_questions(q, catalog, rows)).collect()}
+    assert len(got) == len(asked)
+    said = "The answer from the structured data is "
+    assert [got[i].summary for i in range(3)] == [f"{said}30.", f"{said}155.", f"{said}4650."]
+    assert [r["item"] for r in got[3].found] == [f"Item{i}" for i in range(30, 20, -1)]
+    assert [r["item"] for r in got[4].found] == ["Item2"] + [f"Item{i}" for i in range(20, 30)]
+    assert [r["item"] for r in got[5].found] == ["Item3", "Item30"]
+    assert got[6].n_rows == 0 and "did not return" in got[6].summary
+    assert (got[7].table_name, got[7].summary, got[8].summary) == ("zz", f"{said}0.", f"{said}None.")
+
+
+def test_batch_search_as_one_by_one(spark):
+    """The first rows of each searched word, against every row and word."""
+    rows, catalog = sales(spark)
+    words = ["item1", "north", "item_", "_tem2", "outh", "2900", "item30"]
+    q = spark.createDataFrame([("d", i, f"{w} amount") for i, w in enumerate(words)], "dataset_id string, question_id int, question string")
+    got = {r.question_id: [x["item"] for x in r.found] for r in ST.rows_for_questions(q, catalog, rows).collect()}
+    for i, w in enumerate(words):
+        own = rows.orderBy("ord").select("cells").collect()
+        pattern = w.replace("_", ".")
+        assert got[i] == [r.cells[0] for r in own if any(re.search(pattern, c, re.I) for c in r.cells)][:20], w
+
+
+def test_answers_are_composed_by_route(spark):
+    kinds = "dataset_id string, question_id int, intent string, route string, answer string, direct_answer string, confidence double, has_fact boolean, fact_type string, has_tables boolean, has_chunks boolean, has_nodes boolean"
+    made = [
+        ("d", 1, "aggregate", "sql", "extract", "", 0.62, False, None, True, True, True),
+        ("d", 2, "list", "hybrid", "extract", "direct", 0.62, False, None, True, True, True),
+        ("d", 3, "casual_chat", "keyword", "x", "", 0.0, False, None, True, True, True),
+        ("e", 4, "relationship", "graph", N.NOT_FOUND, "", 0.0, False, None, False, False, None),
+        ("d", 5, "point_lookup", "sql", "The CEO is Maya.", "The CEO is Maya.", 0.9, True, "role", True, True, True),
+        ("e", 6, "aggregate", "sql", "", "", 0.0, False, None, False, False, False),
+    ]
+    made = spark.createDataFrame(made, kinds).withColumns({"route_confidence": F.lit(0.9), "route_reason": F.lit("r")})
+    tables = spark.createDataFrame([("d", 1, "Sum.", 1), ("d", 2, "Rows.", 3), ("d", 5, "None.", 0)], "dataset_id string, question_id int, summary string, n_rows int")
+    hints = spark.createDataFrame([("d", "Hint."), ("e", "No hint.")], "dataset_id string, hint string")
+    got = {r.question_id: r for r in N.compose(made, tables, hints).collect()}
+    assert (got[1].answer, got[1].direct_answer, got[1].confidence, got[1].retrievers_used) == ("Sum.", "Sum.", 0.86, ["sql"])
+    assert (got[2].answer, got[2].direct_answer) == ("Rows.\n\nHint.\n\nextract", "direct")
+    assert got[2].retrievers_used == ["semantic", "keyword", "hierarchical", "sql", "graph"]
+    assert (got[3].answer, got[3].route, got[3].confidence, got[3].retrievers_skipped[0].retriever) == (N.CASUAL_REPLY, "semantic", 1.0, "all")
+    assert got[4].answer == f"No hint.\n\n{N.NOT_FOUND}" and {s.retriever for s in got[4].retrievers_skipped} == {"semantic", "graph"}
+    assert (got[5].answer, got[5].confidence, got[5].retrievers_used) == ("None.\n\nThe CEO is Maya.", 0.9, ["sql"])
+    assert (got[6].answer, got[6].confidence, [s.retriever for s in got[6].retrievers_skipped]) == (N.EMPTY, 0.0, ["sql"])

@@ -19,6 +19,11 @@ def test_runs(spark, name):
     assert len(df.collect()) >= 0 and len(set(df.columns)) == len(df.columns)
 
 
+def test_answers_reach_tables_facts_and_sections(spark):
+    got = {(r.route, r.status) for r in catalog.queries()["answer_questions"](spark, SF).select("route", "status").distinct().collect()}
+    assert {("hierarchical", "grounded"), ("sql", "grounded"), ("keyword", "grounded"), ("keyword", "not_found")} <= got
+
+
 def test_questions_meet_all_kinds_of_facts(spark, tmp_path):
     """Not contacts alone: roles and dates answer, and give terms."""
     text = "OFFICE DIRECTORY\nCEO: Maya Raman\nVenue: Hall Seven\nContact: desk@example.org\n"
