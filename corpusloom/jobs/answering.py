@@ -184,9 +184,18 @@ def star_rows(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, each)
 
 
+def figure_questions(spark, sf_dir):
+    """Five questions of each supplier to the star tables: a count, an average, a sum, the largest, and a search."""
+    key = F.col("s_suppkey")
+    said = [F.lit("How many c_name entries"), F.lit("What is the average o_totalprice"), F.lit("Sum of l_extendedprice"), F.lit("Highest p_retailprice"), F.concat("s_name", F.lit(" as s_name"))]
+    each = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key, F.posexplode(F.array(*said)).alias("k", "question"))
+    return each.select(F.concat(F.lit("src"), key % 20).alias("dataset_id"), (key * 10 + F.col("k") + 3 * OFFICE_QUESTIONS).alias("question_id"), "question")
+
+
 def table_questions(spark, sf_dir):
-    """Every message to the tables: best table, operation, rows, summary."""
-    got = T.summarize_rows(T.rows_for_questions(messages(spark, sf_dir), table_rows(spark, sf_dir), star_rows(spark, sf_dir), ("table_name",)))
+    """Every message and question on figures to the tables: best table, operation, rows, summary."""
+    asked_all = messages(spark, sf_dir).unionByName(figure_questions(spark, sf_dir))
+    got = T.summarize_rows(T.rows_for_questions(asked_all, table_rows(spark, sf_dir), star_rows(spark, sf_dir), ("table_name",)))
     return got.select("question_id", "table_name", "op", "term", "n_rows", "summary")
 
 

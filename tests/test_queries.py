@@ -28,6 +28,8 @@ def test_questions_meet_all_kinds_of_facts(spark, tmp_path):
     """Not contacts alone: roles and dates answer, and give terms."""
     text = "OFFICE DIRECTORY\nCEO: Maya Raman\nVenue: Hall Seven\nContact: desk@example.org\n"
     spark.createDataFrame([(1, text, "en", "src0", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("customer", "supplier"):  # no offices, and no questions to them
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     asked = [(0, 1, "user", "Who is the CEO?"), (0, 2, "user", "Where is the venue?")]
     spark.createDataFrame(asked, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.question_id: r.object for r in catalog.queries()["match_facts"](spark, str(tmp_path)).collect()}
