@@ -36,16 +36,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, collect: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
 
     Spark deletes the shuffle files of a finished job when the driver's JVM collects its garbage, which may not come before
     the next step has filled the disk with its own; so it is asked to, twice, as the first time only frees what holds them.
+    Small tables of a loop go without (``collect``).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    for _ in range(2):
+    for _ in range(2 if collect else 0):
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
     return spark.read.schema(df.schema).parquet(path)
