@@ -92,9 +92,9 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def doc_fold(doc_id: Column) -> Column:
-    """``crc32`` of the id as text, modulo 5 (a null id counts as the empty text)."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
+def doc_fold(doc_id: Column, folds: int = 5) -> Column:
+    """``crc32`` of the id as text, modulo ``folds`` (a null id counts as the empty text)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, filter_audit, hard_negatives, language, licenses, lm, packing, pieces, quality, sharding, simhash, suffix_dedup
+from corpusloom.llm import exact_dedup, filter_audit, hard_negatives, language, licenses, lm, packing, pieces, quality, sharding, simhash, suffix_dedup, toxicity
 from corpusloom.llm.common import documents
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_lm": lm.op8_query,
         "op9_quality": quality.op9_query,
         "op10_exact_dedup": exact_dedup.op10_query,
+        "op11_toxicity": toxicity.op11_query,
         "op12_hard_negatives": hard_negatives.op12_query,
         "op13_filter_audit": filter_audit.op13_query,
     }
