@@ -17,11 +17,14 @@ from corpusloom.llm.common import documents, materialize, own_name, scratch_path
 SPACES = "\t\n\x0b\x0c\r "
 #: Rows of a group that meet the text that stays in one part.
 MEET = 1000
-#: State on disk; it writes changes only, and takes no disk in advance, as each partition has a store of its own.
+#: State on disk; it writes changes only, and takes no disk in advance, as each partition has a store of its own.  What all stores of an executor hold in
+#: memory outside its heap is bounded, however many partitions there are.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "160",
 }
 
 
