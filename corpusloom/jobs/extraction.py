@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import strip
 from corpusloom.jobs import sql_parts as P
 from corpusloom.jobs.retrieval import corpus
+from corpusloom.jobs.stored import Corpus
 from corpusloom.operators import chunks as C
 from corpusloom.operators import facts as FA
 from corpusloom.operators import graph as G
@@ -103,7 +104,7 @@ def _site(spark, sf_dir):
 def _found_sections(spark, sf_dir):
     from corpusloom.jobs.retrieval import questions
 
-    return R.section_search(questions(spark, sf_dir), S.classify_segments(whole(spark, sf_dir)), 8)
+    return R.section_search(questions(spark, sf_dir), Corpus(spark, sf_dir).section_index(), 8)
 
 
 def _pipe(spark, sf_dir):

@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.lineage import spread
 from corpusloom.jobs import sql_parts as P
+from corpusloom.jobs.stored import Corpus, corpus
 from corpusloom.operators import chunks as C
 from corpusloom.operators import retrieve as R
-
-
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as one data set for each source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("input_id"), F.concat(F.lit("document "), F.col("doc_id")).alias("title"), "text")
+from corpusloom.operators import vectors as V
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,31 +48,40 @@ def tokens_estimate(spark, sf_dir):
 
 
 def term_stats(spark, sf_dir):
-    stats = R.term_stats(C.chunks_from_documents(corpus(spark, sf_dir)))
+    stats = R.term_stats(Corpus(spark, sf_dir).index())
     return stats.select("dataset_id", "term", "df", "n", F.round("idf", 6).alias("idf"))
 
 
 def keyword_hits(spark, sf_dir):
-    return R.keyword_search(questions(spark, sf_dir), C.chunks_from_documents(corpus(spark, sf_dir)), 18)
+    return R.keyword_search(questions(spark, sf_dir), Corpus(spark, sf_dir).index(), 18)
 
 
 def tfidf_hits(spark, sf_dir):
-    return R.tfidf_search(questions(spark, sf_dir), C.chunks_from_documents(corpus(spark, sf_dir)), 12)
+    return R.tfidf_search(questions(spark, sf_dir), Corpus(spark, sf_dir).index(), 12)
+
+
+def _vectors(spark, sf_dir):
+    """All vectors, and every twentieth as a query."""
+    vectors = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors
 
 
 def vector_hits(spark, sf_dir):
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.vector_search(queries, vectors, 10)
+    return V.vector_search(*_vectors(spark, sf_dir), 10)
+
+
+def indexed_vector_hits(spark, sf_dir):
+    asked, vectors = _vectors(spark, sf_dir)
+    return V.index_search(asked, V.index_vectors(vectors, 10), 10)
 
 
 def fused(spark, sf_dir):
     """Keyword and tf-idf hits, each set from 0 to 1, merged first-wins."""
-    chunks, asked = C.chunks_from_documents(corpus(spark, sf_dir)), questions(spark, sf_dir)
+    index, asked = Corpus(spark, sf_dir).index(), questions(spark, sf_dir)
     groups = []
-    for name, hits in (("keyword", R.keyword_search(asked, chunks, 18)), ("semantic", R.tfidf_search(asked, chunks, 12))):
+    for name, hits in (("keyword", R.keyword_search(asked, index, 18)), ("semantic", R.tfidf_search(asked, index, 12))):
         hits = R.normalize_scores(hits.withColumn("retriever", F.lit(name)))
-        hits = hits.join(chunks.select(*R.CHUNK, "text"), R.CHUNK)
+        hits = hits.join(index.chunks.select(*R.CHUNK, "text"), R.CHUNK)
         groups.append(hits.withColumn("source_id", F.concat_ws(":", "input_id", "seg_ord", "chunk_ord")))
     return R.merge_hits(*groups).select("question_id", "source_id", "retriever", "rank", "score")
 
@@ -102,6 +108,7 @@ QUERIES = {
     "keyword_search": keyword_hits,
     "tfidf_search": tfidf_hits,
     "vector_search": vector_hits,
+    "vector_index_search": indexed_vector_hits,
     "normalize_scores": normalized,
     "merge_hits": fused,
     "new_chunks": unseen,
