@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +16,8 @@ CUES = ["is", ":", "-", "held", "by", "serves", "as", "principal", "ceo", "venue
 ACRONYM_SKIPS = ["and", "of", "the", "for", "in", "at", "to"]
 LOOKUPS, SUBJECT_OF = ["point_lookup", "location", "time"], {"location": ["venue", "location", "address", "office"], "time": ["date", "time"]}
 FACT_FROM, FACT_SCORE = 2.4, 999.0
+#: Scores that are less apart may be equal.
+NEAR = 1e-6
 NOT_FOUND = "I could not find that in the uploaded data."
 CASUAL_REPLY = "Hi, I am ready. Ask me something from the uploaded data and I will answer with the best RAG route."
 CASUAL_REASON = "Casual chat was detected, so retrieval was skipped."
@@ -49,38 +53,98 @@ def acronym_match(words: Column, text: Column) -> Column:
     return F.exists(words, lambda t: F.length(t).between(2, 6) & F.contains(initials, t))
 
 
-def match_facts(questions: DataFrame, facts: DataFrame) -> DataFrame:
-    """The best fact for each lookup question, if one scores enough.
-
-    A question meets the facts of its data set that share what it asks for: the subject of a place or a time, else a term of
-    the fact's subject; only one without any term meets all.
-    """
-    name = F.coalesce(F.nullif("role_target", F.lit("")), F.nullif("target", F.lit("")), F.col("normalized"))
-    q = questions.where(F.col("intent").isin(LOOKUPS)).select(*QUESTION, "intent", "role_target", terms(name).alias("tt"), terms(F.col("qualifier")).alias("ql"), terms(F.col("expanded")).alias("qt"))
-    asks = F.when(F.col("intent").isin(*SUBJECT_OF), F.array(F.concat(F.lit("="), F.col("intent")))).when(F.size("tt") == 0, F.array(F.lit("*"))).otherwise(F.col("tt"))
-    q = q.withColumn("meets", F.explode(asks))
+def _facts_of(facts: DataFrame) -> DataFrame:
+    """Facts with their terms ``ft``, their subject's terms ``st``, and the kinds of questions that take any of them: of a place, of a time, without a term."""
     whole = F.concat_ws(" ", "fact_type", "subject", "predicate", "object", "qualifier", "fact_text")
-    f = facts.select(
+    kinds = [F.when(F.col("subject").isin(subjects), F.array(F.lit(kind))).otherwise(F.array().cast("array<string>")) for kind, subjects in SUBJECT_OF.items()]
+    return facts.select(
         "dataset_id", F.col("input_id").alias("fact_input"), F.col("seg_ord").alias("fact_seg"), "rule", "n", "fact_type", "subject", "predicate", "object", "qualifier", "confidence", "fact_text",
-        terms(whole).alias("ft"), terms(F.col("subject")).alias("st"),
+        terms(whole).alias("ft"), terms(F.col("subject")).alias("st"), F.concat(F.array(F.lit("any")), *kinds).alias("kinds"),
     )
-    kinds = [F.when(F.col("subject").isin(subjects), F.array(F.lit(f"={kind}"))).otherwise(F.array().cast("array<string>")) for kind, subjects in SUBJECT_OF.items()]
-    f = f.withColumn("meets", F.explode(F.concat("st", F.array(F.lit("*")), *kinds)))
-    df = q.join(f, ["dataset_id", "meets"]).drop("meets")
-    intent, subject = F.col("intent"), F.col("subject")
-    fits = F.when(intent == "location", subject.isin(SUBJECT_OF["location"])).when(intent == "time", subject.isin(SUBJECT_OF["time"]))
-    about = F.arrays_overlap("tt", "st") & ((F.col("role_target") == "") | (F.col("role_target") == subject))
-    about = about & ((F.size("ql") == 0) | F.arrays_overlap("ql", "ft") | acronym_match(F.col("ql"), F.concat_ws(" ", "qualifier", "object", "fact_text")))
-    fits = fits.otherwise((F.size("tt") == 0) | about)
+
+
+def _sure(intent: Column) -> list[Column]:
+    """What a fact is worth to a question of an intent by itself, in the order in which a score adds it."""
+    subject = F.col("subject")
+    place = F.when((intent == "location") & subject.isin("venue", "location", "address"), 3).when((intent == "time") & subject.isin("date", "time"), 3).otherwise(0)
+    return [F.col("confidence"), F.when(F.col("fact_type").isin("role", "contact", "event"), 1.2).otherwise(0.0), place]
+
+
+def _fact_score() -> Column:
+    """Of rows that hold a question's terms ``qt, tt, ql`` and ``intent``, and a fact."""
 
     def shared(a: str) -> Column:
         return F.size(F.array_intersect(a, "ft"))
 
-    score = shared("qt") + 2 * shared("tt") + F.col("confidence") + 2 * shared("ql") + F.when(F.col("fact_type").isin("role", "contact", "event"), 1.2).otherwise(0.0)
-    score = score + F.when((intent == "location") & subject.isin("venue", "location", "address"), 3).when((intent == "time") & subject.isin("date", "time"), 3).otherwise(0)
-    rank = F.row_number().over(W.partitionBy(*QUESTION).orderBy(F.desc("fact_score"), "fact_input", "fact_seg", "rule", "n"))
-    best = df.where(fits).withColumn("fact_score", score).where(F.col("fact_score") >= FACT_FROM).withColumn("r", rank).where("r = 1")
-    return best.select(*QUESTION, "fact_input", "fact_seg", "fact_type", "subject", "predicate", "object", F.col("qualifier").alias("fact_qualifier"), F.col("confidence").alias("fact_confidence"), "fact_text", "fact_score")
+    confidence, kind, place = _sure(F.col("intent"))
+    return shared("qt") + 2 * shared("tt") + confidence + 2 * shared("ql") + kind + place
+
+
+FACT_KEY = ["fact_input", "fact_seg", "rule", "n"]
+
+
+def _first_fact(scored: DataFrame) -> DataFrame:
+    """Of each ``asked`` the fact of the highest ``fact_score``, then of the smallest key."""
+    rank = F.row_number().over(W.partitionBy("dataset_id", "asked").orderBy(F.desc("fact_score"), *FACT_KEY))
+    return scored.withColumn("r", rank).where("r = 1").drop("r")
+
+
+def fact_candidates(asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """``dataset_id, asked, FACT_KEY``: the facts that can win for questions that take any fact of a ``kind``.
+
+    A fact is worth something by itself, and more for each term that it shares.  So it needs no look unless it is the best by itself of its kind, or the best by itself of those
+    that share some term (the heads), or shares a term of the question's rarer lists: what shares the commonest term alone cannot beat the head of that list.
+    The heads' scores bound the winner's from below; lists, from the commonest on, whose terms together cannot lift any fact above that are left out, and so are facts that fall short with all
+    terms, or that could only equal the best head behind it.
+    """
+    intent = F.col("intent")
+    own = facts.select("dataset_id", *FACT_KEY, "confidence", "fact_type", "subject", "ft", F.explode("kinds").alias("kind"))
+    kind_intent = F.when(F.col("kind") == "any", "point_lookup").otherwise(F.col("kind"))
+    own = own.withColumn("sure", functools.reduce(lambda a, b: a + b, _sure(kind_intent)))
+    head = F.min(F.struct((-F.col("sure")).alias("minus"), *FACT_KEY)).alias("head")
+    top = own.groupBy("dataset_id", "kind").agg(head)
+    weights = asked.select("dataset_id", "kind", "asked", *[F.explode(F.array_union(F.array_union("qt", "tt"), "ql")).alias("term")], "qt", "tt", "ql")
+    weights = weights.select("dataset_id", "kind", "asked", "term", sum((F.array_contains(c, F.col("term")).cast("int") * w for c, w in (("qt", 1), ("tt", 2), ("ql", 2))), F.lit(0)).alias("w"))
+    wanted = weights.select("dataset_id", "kind", "term").distinct()
+    lists = own.select("dataset_id", "kind", F.explode("ft").alias("term"), "sure", *FACT_KEY).join(wanted, ["dataset_id", "kind", "term"], "left_semi")
+    stats = lists.groupBy("dataset_id", "kind", "term").agg(F.count("*").alias("df"), head)
+    known = weights.join(stats, ["dataset_id", "kind", "term"])
+    heads = known.select("dataset_id", "asked", "head.*").unionByName(asked.join(top, ["dataset_id", "kind"]).select("dataset_id", "asked", "head.*")).drop("minus").distinct()
+    lead = _first_fact(heads.join(facts, ["dataset_id", *FACT_KEY]).join(asked, ["dataset_id", "asked"]).withColumn("fact_score", _fact_score()))
+    lead = lead.select("dataset_id", "asked", F.col("fact_score").alias("floor"), F.struct(*FACT_KEY).alias("first"))
+    # lists from the commonest on: the first always goes, the next as long as what they add up to falls short
+    by_size = W.partitionBy("dataset_id", "asked").orderBy(F.desc("df"), "term")
+    known = known.withColumns({"place": F.row_number().over(by_size), "sum": F.sum("w").over(by_size), "total": F.sum("w").over(W.partitionBy("dataset_id", "asked"))})
+    known = known.drop("head").join(top.select("dataset_id", "kind", (-F.col("head.minus")).alias("most")), ["dataset_id", "kind"]).join(lead, ["dataset_id", "asked"])
+    needed = known.where((F.col("place") > 1) & (F.col("sum") + F.col("most") >= F.col("floor") - NEAR))
+    bound = F.col("sure") + F.col("total")
+    may_win = (bound > F.col("floor") + NEAR) | ((bound >= F.col("floor") - NEAR) & (F.struct(*FACT_KEY) < F.col("first")))
+    more = needed.join(lists, ["dataset_id", "kind", "term"]).where(may_win).select("dataset_id", "asked", *FACT_KEY)
+    return heads.unionByName(more).distinct()
+
+
+def match_facts(questions: DataFrame, facts: DataFrame) -> DataFrame:
+    """The best fact for each lookup question, if one scores enough.
+
+    Questions that ask the same are looked up once.  One of a place or a time takes any fact of such a subject, one without any term takes any fact (:func:`fact_candidates`); the others meet
+    the facts whose subject shares a term that they ask for.
+    """
+    name = F.coalesce(F.nullif("role_target", F.lit("")), F.nullif("target", F.lit("")), F.col("normalized"))
+    q = questions.where(F.col("intent").isin(LOOKUPS)).select(*QUESTION, "intent", "role_target", F.sort_array(terms(name)).alias("tt"), F.sort_array(terms(F.col("qualifier"))).alias("ql"), F.sort_array(terms(F.col("expanded"))).alias("qt"))
+    same = ["intent", "role_target", "tt", "ql", "qt"]
+    q = q.withColumn("asked", F.sha2(F.to_json(F.struct(*same)), 256))
+    once = q.dropDuplicates(["dataset_id", "asked"]).drop("question_id")
+    once = once.withColumn("kind", F.when(F.col("intent").isin(*SUBJECT_OF), F.col("intent")).when(F.size("tt") == 0, "any"))
+    f = _facts_of(facts)
+    open_to_all = once.where("kind IS NOT NULL")
+    pairs = fact_candidates(open_to_all, f).join(open_to_all, ["dataset_id", "asked"]).join(f, ["dataset_id", *FACT_KEY])
+    about = (F.col("role_target") == "") | (F.col("role_target") == F.col("subject"))
+    about = about & ((F.size("ql") == 0) | F.arrays_overlap("ql", "ft") | acronym_match(F.col("ql"), F.concat_ws(" ", "qualifier", "object", "fact_text")))
+    named = once.where("kind IS NULL").withColumn("meets", F.explode("tt")).join(f.withColumn("meets", F.explode("st")), ["dataset_id", "meets"]).where(about)
+    cols = ["dataset_id", "asked", *FACT_KEY, "fact_type", "subject", "predicate", "object", "qualifier", "confidence", "fact_text", _fact_score().alias("fact_score")]
+    best = _first_fact(pairs.select(*cols).unionByName(named.select(*cols)).where(F.col("fact_score") >= FACT_FROM))
+    out = q.select(*QUESTION, "asked").join(best, ["dataset_id", "asked"])
+    return out.select(*QUESTION, "fact_input", "fact_seg", "fact_type", "subject", "predicate", "object", F.col("qualifier").alias("fact_qualifier"), F.col("confidence").alias("fact_confidence"), "fact_text", "fact_score")
 
 
 def rerank(questions: DataFrame, hits: DataFrame, facts: DataFrame | None = None, k: int = 8) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from corpusloom.functions.text import strip
 
@@ -32,6 +36,8 @@ GRAPH_HINTS = r"(?i)\b(relationship|related|connect(?:ed|ion|s)?|dependency|depe
 KEYWORD_HINTS = r"(?i)\b(who is|where is|contact|email|phone|faculty|hod|principal|department|acronym|full form)\b"
 TABLE_HINTS = r"(?i)\b(owner|owns|team|endpoint|venue|speaker|date|schedule|how many|count|list)\b"
 VOCABULARY = 8
+#: Terms of one automaton and questions that it reads at most.
+SHARD, SLOT = 50_000, 20_000
 
 
 def normalize_question(col: Column) -> Column:
@@ -85,11 +91,47 @@ def understand(questions: DataFrame) -> DataFrame:
     return df.withColumns({"intent": question_intent(F.col("normalized")), "target": question_target(F.col("normalized")), "role_target": role, "qualifier": qualifier})
 
 
+def vocabulary_hits(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``dataset_id, question_id, term, ord``: the terms of a data set (``dataset_id, term, ord``) that stand anywhere in a question's text ``low``, in any case.
+
+    The vocabulary of a data set is dealt into shards; each is one automaton, which finds all its terms in one reading of a question, however many
+    there are and however alike they begin.  Questions are dealt too, so neither side fills a task.
+    """
+    own = vocabulary.select("dataset_id", "term", "ord", F.lower("term").alias("form"))
+    shards = own.groupBy("dataset_id").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    slots = questions.groupBy("dataset_id").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("slots"))
+    # a row for each data set
+    sizes = shards.join(slots, "dataset_id")
+    v = own.join(sizes, "dataset_id").select("dataset_id", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "term", "ord", "form")
+    q = questions.join(sizes, "dataset_id").select("dataset_id", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("question_id"), F.col("slots")).cast("int").alias("slot"), "question_id", "low")
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, terms = [], []
+        if left.num_rows and right.num_rows:
+            # terms that differ in case alone are one form
+            rows: dict[str, list[int]] = {}
+            for i, form in enumerate(right["form"].to_pylist()):
+                rows.setdefault(form, []).append(i)
+            automaton = ahocorasick.Automaton()
+            for form, at in rows.items():
+                automaton.add_word(form, at)
+            automaton.make_automaton()
+            for j, low in enumerate(left["low"].to_pylist()):
+                found = {i for _, at in automaton.iter(low or "") for i in at}
+                asked += [j] * len(found)
+                terms += found
+        at, of = pa.array(asked, pa.int64()), pa.array(terms, pa.int64())
+        return pa.table({"dataset_id": left["dataset_id"].take(at), "question_id": left["question_id"].take(at), "term": right["term"].take(of), "ord": right["ord"].take(of)})
+
+    key = ["dataset_id", "shard", "slot"]
+    kinds = T.StructType([T.StructField("dataset_id", q.schema["dataset_id"].dataType), T.StructField("question_id", q.schema["question_id"].dataType), T.StructField("term", T.StringType()), T.StructField("ord", v.schema["ord"].dataType)])
+    return q.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(find, kinds)
+
+
 def expand_questions(understood: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """``expanded``: the question, other words for its roles, and the first eight vocabulary terms that stand in it; each word once.
 
-    A term of ``vocabulary`` (``dataset_id, term, ord``; three characters at least) meets the questions of its data set that hold its first three
-    characters anywhere; a task keeps the first eight of each question.
+    ``vocabulary``: ``dataset_id, term, ord``, three characters at least.
     """
     low = F.lower("normalized")
     parts = [F.col("normalized")] + [F.when(low.rlike(rf"\b{w}\b"), more).otherwise("") for w, more in EXPANSIONS]
@@ -97,14 +139,8 @@ def expand_questions(understood: DataFrame, vocabulary: DataFrame | None = None)
     if vocabulary is None:
         df = df.withColumn("vocabulary", F.array().cast("array<string>"))
     else:
-        places = F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1)))
-        q = df.select("dataset_id", "question_id", low.alias("low"))
-        q = q.select("*", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("low", i, F.lit(3))))).alias("three"))
-        v = vocabulary.select("dataset_id", "term", "ord", F.substring(F.lower("term"), 1, 3).alias("three"))
-        from pyspark.sql import Window as W
-
         rank = F.row_number().over(W.partitionBy("dataset_id", "question_id").orderBy("ord", "term"))
-        hits = q.join(v, ["dataset_id", "three"]).where(F.contains("low", F.lower("term"))).withColumn("r", rank).where(F.col("r") <= VOCABULARY)
+        hits = vocabulary_hits(df.select("dataset_id", "question_id", low.alias("low")), vocabulary).withColumn("r", rank).where(F.col("r") <= VOCABULARY)
         found = hits.groupBy("dataset_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("ts"))
         df = df.join(found.select("dataset_id", "question_id", F.col("ts.term").alias("vocabulary")), ["dataset_id", "question_id"], "left").withColumn("vocabulary", F.coalesce("vocabulary", F.array().cast("array<string>")))
     words = F.array_distinct(F.filter(F.split(F.concat_ws(" ", *parts, F.array_join("vocabulary", " ")), r"\s+"), lambda w: w != ""))
