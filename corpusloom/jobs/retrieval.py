@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.lineage import spread
+from corpusloom.functions.lineage import shared_root, spread
 from corpusloom.jobs import sql_parts as P
-from corpusloom.jobs.stored import Corpus, corpus
+from corpusloom.jobs.stored import Corpus, as_corpus, corpus
 from corpusloom.operators import chunks as C
 from corpusloom.operators import retrieve as R
 from corpusloom.operators import vectors as V
+from corpusloom.streaming import incremental as IN
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +94,16 @@ def normalized(spark, sf_dir):
     return R.normalize_scores(hits)
 
 
+def streamed_stats(spark, sf_dir):
+    """Term statistics of the documents as a stream leaves them: arrivals to chunks, chunks to counts."""
+    root, path = f"{shared_root(spark)}/streams/{uuid.uuid4().hex[:12]}", f"{sf_dir}/documents.parquet"
+    # a pattern, as a stream may not read a single file by its name
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 100).parquet(f"{path[:-1]}[t]")
+    IN.index_stream(as_corpus(docs), f"{root}/index", f"{root}/c1").awaitTermination()
+    IN.stats_stream(spark, f"{root}/index", f"{root}/stats", f"{root}/c2").awaitTermination()
+    return IN.current_stats(spark, f"{root}/stats").select("dataset_id", "term", "df", "n", F.round("idf", 6).alias("idf"))
+
+
 def unseen(spark, sf_dir):
     """Chunks of documents with odd ids, as if those of the others were indexed before."""
     chunks = C.chunks_from_documents(corpus(spark, sf_dir))
@@ -112,6 +125,7 @@ QUERIES = {
     "normalize_scores": normalized,
     "merge_hits": fused,
     "new_chunks": unseen,
+    "streamed_term_stats": streamed_stats,
 }
 
 _TF = "tf AS (SELECT dataset_id, input_id, seg_ord, chunk_ord, term, count(*) AS tf FROM (SELECT dataset_id, input_id, seg_ord, chunk_ord, unnest({tokens}) AS term FROM chunks) GROUP BY ALL)"
@@ -143,6 +157,7 @@ SQL = {
     "clean_evidence": f"SELECT doc_id, {P.clean_evidence('text')} AS evidence FROM documents",
     "estimate_tokens": "SELECT doc_id, (length(text) + 3) // 4 AS tokens FROM documents",
     "term_stats": f"WITH RECURSIVE {P.DOC_CHUNKS}, {_TF.format(tokens=P.keyword_tokens('text'))}, {_STATS} SELECT dataset_id, term, df, n, round(idf, 6) AS idf FROM stats",
+    "streamed_term_stats": f"WITH RECURSIVE {P.DOC_CHUNKS}, {_TF.format(tokens=P.keyword_tokens('text'))}, {_STATS} SELECT dataset_id, term, df, n, round(idf, 6) AS idf FROM stats",
     "keyword_search": f"WITH RECURSIVE {_KEYWORD} SELECT dataset_id, question_id, input_id, seg_ord, chunk_ord, score, rank FROM khits",
     "tfidf_search": f"WITH RECURSIVE {P.DOC_CHUNKS}, {P.QUESTIONS}, {_TFIDF} SELECT dataset_id, question_id, input_id, seg_ord, chunk_ord, score, rank FROM thits",
     "vector_search": """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),

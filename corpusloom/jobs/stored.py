@@ -14,7 +14,10 @@ from corpusloom.operators import segments as S
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as one data set for each source."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return as_corpus(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def as_corpus(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("input_id"), F.concat(F.lit("document "), F.col("doc_id")).alias("title"), "text")
 
 

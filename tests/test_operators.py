@@ -16,7 +16,6 @@ from corpusloom.operators import segments as S
 from corpusloom.operators import structured as ST
 from corpusloom.operators import tables as X
 from corpusloom.operators import web as W
-from corpusloom.streaming.incremental import index_stream
 
 OFFICE = """OFFICE DIRECTORY
 CEO: Maya Raman
@@ -175,16 +174,6 @@ def test_lines_and_evidence(spark):
     assert value(spark, T.clean_evidence(F.lit("=== URL: x\nTitle: y\n  one \n\n two  three"))) == "one two three"
 
 
-def test_index_stream_adds_once(spark, tmp_path):
-    docs = spark.createDataFrame([("d", i, "t", f"text number {i}") for i in range(5)], "dataset_id string, input_id long, title string, text string")
-    source, index = str(tmp_path / "in"), str(tmp_path / "index")
-    docs.write.parquet(source)
-    for run in range(2):
-        stream = spark.readStream.schema(docs.schema).parquet(source)
-        index_stream(stream, index, str(tmp_path / f"c{run}")).awaitTermination()
-        assert spark.read.parquet(index).count() == 5
-
-
 def test_links_of_plain_attributes_and_entities(spark):
     html = """<a href=/one>x</a> <a href="/two?a=1&amp;b=2">y</a> <area href='/three.pdf'> <div data-href="/four"></div> <script>go({url: "/five"})</script>"""
     got = {(r.dst, r.kind) for r in W.page_links(spark.createDataFrame([("https://site.org/", html)], "url string, html string")).collect()}
