@@ -11,6 +11,7 @@ from corpusloom.functions.lineage import cut_lineage
 from corpusloom.jobs import sql_parts as P
 from corpusloom.jobs.extraction import CLASSIFIED, FACTS, GRAPH, SEG, VOCABULARY, _ANN, any_of, mixed, nodes_and_edges, quoted, whole
 from corpusloom.jobs.retrieval import _KEYWORD, corpus, questions
+from corpusloom.jobs.stored import Corpus, Facts
 from corpusloom.operators import analysis as D
 from corpusloom.operators import answers as N
 from corpusloom.operators import chunks as C
@@ -72,8 +73,13 @@ def _understood(spark, sf_dir):
     return Q.understand(talk(spark, sf_dir))
 
 
+def known_facts(spark, sf_dir):
+    """The stored facts and vocabulary of documents and offices."""
+    return Facts(mixed(spark, sf_dir))
+
+
 def all_facts(spark, sf_dir):
-    return FA.extract_facts(mixed(spark, sf_dir))
+    return known_facts(spark, sf_dir).facts()
 
 
 def _plan(spark, sf_dir):
@@ -119,24 +125,26 @@ def _acronym(spark, sf_dir):
     return docs.select("doc_id", N.acronym_match(F.array(F.lit("tta"), F.lit("eo"), F.lit("long word")), F.col("text")).alias("matches"))
 
 
-def parts(spark, sf_dir):
-    chunks, segments = C.chunks_from_documents(corpus(spark, sf_dir)), S.annotate_segments(S.classify_segments(whole(spark, sf_dir)))
-    nodes, edges = nodes_and_edges(spark, sf_dir)
+def parts(spark, sf_dir, of=None):
+    """Inputs, segments, chunks, tables, nodes and edges of all data sets, from the stored steps."""
+    of = of or Corpus(spark, sf_dir)
     inputs = corpus(spark, sf_dir).select("dataset_id", "input_id", F.col("title").alias("name"), F.lit("text").alias("kind"))
-    return inputs, segments, chunks, table_rows(spark, sf_dir), nodes, edges
+    return inputs, S.annotate_segments(of.segments()), of.chunks(), table_rows(spark, sf_dir), of.nodes(), of.edges()
 
 
-def characteristics(spark, sf_dir):
-    return D.dataset_characteristics(*parts(spark, sf_dir))
+def characteristics(spark, sf_dir, of=None):
+    return D.dataset_characteristics(*parts(spark, sf_dir, of))
 
 
-def profile(spark, sf_dir, facts=None):
-    c = characteristics(spark, sf_dir)
-    known = (all_facts(spark, sf_dir) if facts is None else facts).select("dataset_id", F.lit(True).alias("has_facts")).distinct()
-    c = c.join(known, "dataset_id", "left")
+def profile_of(c, facts):
+    c = c.join(facts.select("dataset_id", F.lit(True).alias("has_facts")).distinct(), "dataset_id", "left")
     return c.select("dataset_id", "has_tables", F.col("has_unstructured_text").alias("has_chunks"), (F.col("entity_count") > 0).alias("has_nodes"), F.coalesce("has_facts", F.lit(False)).alias("has_facts"), (F.col("hierarchical_segment_count") > 0).alias("has_long"))
 
 
+def profile(spark, sf_dir):
+    return profile_of(characteristics(spark, sf_dir), all_facts(spark, sf_dir))
+
+
 def _flat(df):
     """Arrays as text, so that rows compare alike everywhere."""
     return df.select(*[F.array_join(c, "; ").alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes])
@@ -162,7 +170,7 @@ def _profile(spark, sf_dir):
 
 
 def _expanded(spark, sf_dir):
-    words = FA.dataset_vocabulary(mixed(spark, sf_dir), all_facts(spark, sf_dir))
+    words = known_facts(spark, sf_dir).vocabulary()
     return Q.expand_questions(Q.understand(messages(spark, sf_dir)), words).select("question_id", "expanded")
 
 
@@ -199,55 +207,74 @@ def table_questions(spark, sf_dir):
     return got.select("question_id", "table_name", "op", "term", "n_rows", "summary")
 
 
+def route_questions_of(spark, sf_dir):
+    """Eight questions of each supplier that reach the routes which messages and offices do not: relationships with and without tables, a total that asks why, small talk, and a broad one to a data set without long sections."""
+    key = F.col("s_suppkey")
+    said = [
+        F.lit("Which entities are connected?"), F.lit("How are the nodes associated with each other?"), F.lit("Explain the total l_extendedprice"), F.lit("Thanks!"), F.lit("hello"),
+        F.lit("What links the owner and the team?"), F.concat(F.lit("Describe Section "), key % 7), F.lit("compare the average o_totalprice"),
+    ]
+    each = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key, F.posexplode(F.array(*said)).alias("k", "question"))
+    return each.select(F.concat(F.lit("src"), key % 20).alias("dataset_id"), (key * 10 + F.col("k") + 4 * OFFICE_QUESTIONS).alias("question_id"), "question")
+
+
 def answered(spark, sf_dir):
-    """All benchmark items, messages and questions to offices as questions to their data sets: understood, routed, searched by the methods of their routes, fused, reranked, answered, validated.
+    """All benchmark items, messages and questions to offices, tables and the graph as questions to their data sets: understood, routed, searched by the methods of their routes, fused, reranked, answered, validated.
 
     Questions routed to tables get the rows of their best table, those routed to the graph its hint, casual messages a fixed reply.
-    Each step is written to the checkpoint folder once and read by the next ones, so no plan holds another one twice.
+    What belongs to the data sets (chunks, indexes, segments, facts, nodes) is read from the stored steps; what belongs to the questions is written to the checkpoint folder step by step.
     """
-    segments, chunks = cut_lineage(S.classify_segments(whole(spark, sf_dir))), cut_lineage(C.chunks_from_documents(corpus(spark, sf_dir)))
-    facts = cut_lineage(all_facts(spark, sf_dir))
+    of, own = Corpus(spark, sf_dir), known_facts(spark, sf_dir)
+    chunks, segments, facts = of.chunks(), of.segments(), own.facts()
     said = talk(spark, sf_dir).withColumn("question_id", F.col("question_id") + 2 * OFFICE_QUESTIONS)
-    known = cut_lineage(profile(spark, sf_dir, facts))
-    words = FA.dataset_vocabulary(mixed(spark, sf_dir), facts)
-    q = cut_lineage(Q.route_questions(Q.expand_questions(Q.understand(asked(spark, sf_dir).unionByName(said)), words), known))
+    about = cut_lineage(characteristics(spark, sf_dir, of))
+    all_asked = asked(spark, sf_dir).unionByName(said).unionByName(route_questions_of(spark, sf_dir))
+    q = cut_lineage(Q.route_questions(Q.expand_questions(Q.understand(all_asked), own.vocabulary()), profile_of(about, facts)))
 
     def routed(*routes):
         return q.where(F.col("route").isin(*routes) & (F.col("intent") != "casual_chat")).select("dataset_id", "question_id", F.col("expanded").alias("question"))
 
+    index = of.index()
     texts = chunks.select("dataset_id", "input_id", "seg_ord", "chunk_ord", "title", "text")
     sections = segments.select("dataset_id", "input_id", "seg_ord", "title", F.substring("text", 1, 1600).alias("text"))
     groups = []
-    for name, hits, own in (
-        ("keyword", R.keyword_search(routed("keyword", "hybrid"), chunks, 18), texts),
-        ("hierarchical", R.section_search(routed("hierarchical", "hybrid"), segments, 8), sections),
-        ("semantic", R.tfidf_search(routed("semantic", "hybrid", "graph"), chunks, 12), texts),
+    for name, hits, held in (
+        ("keyword", R.keyword_search(routed("keyword", "hybrid"), index, 18), texts),
+        ("hierarchical", R.section_search(routed("hierarchical", "hybrid"), of.section_index(), 8), sections),
+        ("semantic", R.tfidf_search(routed("semantic", "hybrid", "graph"), index, 12), texts),
     ):
-        key = [c for c in R.CHUNK if c in hits.columns and c in own.columns]
-        hits = R.normalize_scores(hits.withColumn("retriever", F.lit(name))).join(own, key)
+        key = [c for c in R.CHUNK if c in hits.columns and c in held.columns]
+        hits = R.normalize_scores(hits.withColumn("retriever", F.lit(name))).join(held, key)
         groups.append(hits.select(*R.QUESTION, "retriever", "rank", "score", F.concat_ws(":", *key[1:]).alias("source_id"), "title", "text"))
     merged = cut_lineage(R.merge_hits(*groups).withColumn("ord", F.col("group_ord") * 100 + F.col("rank")).drop("rank"))
     best = cut_lineage(N.match_facts(q, facts))
     sources = cut_lineage(N.rerank(q, merged, best))
     made = N.synthesize(q, sources, best)
-    evidence = sources.where("rank <= 5").groupBy(*R.QUESTION).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("e"))
+    e = F.struct("rank", "text")
+    evidence = sources.groupBy(*R.QUESTION).agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, e))).alias("e"), F.count("*").alias("sources"), F.sum(F.length("text")).alias("source_chars"))
     made = made.join(evidence.select(*R.QUESTION, F.array_join(F.col("e.text"), " ").alias("evidence")), R.QUESTION, "left")
     to_tables = q.where(F.col("route").isin("sql", "hybrid") & (F.col("intent") != "casual_chat")).select(*R.QUESTION, F.col("normalized").alias("question"))
     tables = cut_lineage(T.summarize_rows(T.rows_for_questions(to_tables, table_rows(spark, sf_dir), star_rows(spark, sf_dir), ("table_name",))))
-    hints = cut_lineage(G.graph_hint(nodes_and_edges(spark, sf_dir)[0], q))
-    found = sources.groupBy(*R.QUESTION).agg(F.count("*").alias("sources"))
-    done = N.validate(N.compose(made, tables, hints)).join(found, R.QUESTION, "left")
+    done = N.validate(N.compose(made, tables, G.graph_hint(of.nodes(), q)))
+    values = F.aggregate("found", F.lit(0), lambda n, row: n + F.length(F.array_join(F.map_values(row), " ")))
+    rows = tables.select(*R.QUESTION, "statement", F.when(F.col("n_rows") > 0, F.to_json("found")).alias("table_rows"), F.when(F.col("n_rows") > 0, values).otherwise(0).alias("row_chars"))
+    candidates = merged.groupBy(*R.QUESTION).agg(F.count("*").alias("hits"))
+    done = done.join(evidence.drop("e"), R.QUESTION, "left").join(candidates, R.QUESTION, "left").join(rows, R.QUESTION, "left").fillna(0, ["sources", "source_chars", "hits", "row_chars"])
+    done = done.withColumns({"evidence_chars": F.col("source_chars") + F.col("row_chars"), "candidates": F.col("hits") + F.coalesce("has_fact", F.lit(False)).cast("int")})
+    done = N.context_budget(about.select("dataset_id", "chunk_chars", "segment_chars", "table_chars"), done)
     text = F.when(F.col("status") == "not_found", N.NOT_FOUND).otherwise(F.col("answer"))
     return done.select(
-        *R.QUESTION, "normalized", "expanded", "intent", "route", "route_confidence", "route_reason", "status", text.alias("answer"), "direct_answer", "confidence",
-        F.coalesce("sources", F.lit(0)).alias("sources"), F.array_join("retrievers_used", ", ").alias("retrievers_used"), F.array_join("retrievers_skipped.retriever", ", ").alias("retrievers_skipped"),
+        *R.QUESTION, "normalized", "expanded", "intent", "route", "route_confidence", "route_reason", "status", F.array_join("reasons", "; ").alias("reasons"), text.alias("answer"), "direct_answer", "confidence",
+        "candidates", "sources", "statement", "table_rows", F.array_join("retrievers_used", ", ").alias("retrievers_used"), F.array_join("retrievers_skipped.retriever", ", ").alias("retrievers_skipped"),
+        "dataset_tokens", "evidence_tokens", "saved_tokens", "reduction_percent",
     )
 
 
 def _sources(spark, sf_dir):
     """Keyword hits of all questions as sources."""
-    chunks, own = C.chunks_from_documents(corpus(spark, sf_dir)), asked(spark, sf_dir)
-    hits = R.keyword_search(own, chunks, 18).join(chunks.select(*R.CHUNK, "title", "text"), R.CHUNK)
+    index, own = Corpus(spark, sf_dir).index(), asked(spark, sf_dir)
+    chunks = index.chunks
+    hits = R.keyword_search(own, index, 18).join(chunks.select(*R.CHUNK, "title", "text"), R.CHUNK)
     return Q.expand_questions(Q.understand(own)), hits.withColumn("source_id", F.concat_ws(":", "input_id", "seg_ord", "chunk_ord")).withColumn("ord", F.col("rank")).drop("rank")
 
 
@@ -457,7 +484,7 @@ SQL = {
     "read_only_filter": rf"WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'SELECT ' || text ELSE text END AS stmt FROM conversations) SELECT * FROM s WHERE starts_with(lower(regexp_replace(trim(stmt), '^;+|;+$', '', 'g')), 'select') AND NOT regexp_matches({P.word_safe('lower(stmt)')}, '\b({T.WRITES})\b')",
     "run_query": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
     "summarize_rows": """SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'I checked the structured data, but it did not return any matching rows.' WHEN o_orderkey % 3 = 0 THEN 'The date/time is ' || strftime(o_orderdate, '%Y-%m-%d') || '.'
-  WHEN o_orderkey % 3 = 1 THEN 'The owner/team is customer ' || o_custkey || '.' ELSE 'Matching structured rows: ' || (o_custkey % 4) || '.' END AS summary FROM orders""",
+  WHEN o_orderkey % 3 = 1 THEN 'The owner/team is customer ' || o_custkey || '.' ELSE 'Matching structured rows: ' || (o_custkey % 4) || '. The first: date: ' || strftime(o_orderdate, '%Y-%m-%d') || ', owner: customer ' || o_custkey || '.' END AS summary FROM orders""",
     "table_catalog": f"WITH {_CATALOG} SELECT dataset_id, table_name, array_to_string(columns, '; ') AS columns, row_count, table_name AS source_name FROM cat",
     "segment_tables": f"WITH {_CATALOG} SELECT dataset_id, table_name, 'structured_table' AS segment_type, 'sql' AS method, 0.96::DOUBLE AS confidence, row_count || ' rows with columns: ' || array_to_string(columns[:10], ', ') AS preview FROM cat",
     "proximity_bonus": "WITH d AS (SELECT doc_id, lower(text) AS low, unnest(['license', 'ci', 'nde']) AS t FROM documents), w AS (SELECT doc_id, instr(low, t) AS pos, substr(low, greatest(instr(low, t) - 120, 1), least(instr(low, t) - 1, 120) + 180) AS win FROM d) SELECT doc_id, CASE WHEN bool_or(pos > 0 AND " + any_of("win", N.CUES) + ") THEN 4.0 ELSE 0.0 END::DOUBLE AS bonus FROM w GROUP BY 1",

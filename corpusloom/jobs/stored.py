@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.lineage import spread
 from corpusloom.functions.store import DatasetBuild
 from corpusloom.operators import chunks as C
+from corpusloom.operators import facts as FA
+from corpusloom.operators import graph as G
 from corpusloom.operators import index as I
 from corpusloom.operators import segments as S
 
@@ -47,3 +49,30 @@ class Corpus:
         segments = self.segments()
         lists = self.build.step("section_lists", lambda own: I.index_sections(own).lists, I.LIST, of=segments)
         return I.TextIndex(lists, self.build.step("section_terms", I.terms_of, of=lists), self.build.step("section_sizes", lambda own: I.index_sections(own).sizes, of=segments))
+
+    def nodes(self) -> DataFrame:
+        return self.build.step("nodes", lambda own: G.entity_nodes(G.chunk_entities(own)), of=self.chunks())
+
+    def edges(self) -> DataFrame:
+        def pairs(own: DataFrame) -> DataFrame:
+            found = G.chunk_entities(own)
+            return G.cooccurrence_edges(found, G.entity_nodes(found))
+
+        return self.build.step("edges", pairs, of=self.chunks())
+
+
+class Facts:
+    """Stored facts of segments (documents and offices), and the vocabulary that they and the titles make."""
+
+    def __init__(self, segments: DataFrame):
+        self.build = DatasetBuild(segments, "facts")
+
+    def facts(self) -> DataFrame:
+        return self.build.step("facts", FA.extract_facts)
+
+    def vocabulary(self) -> DataFrame:
+        def words(own: DataFrame) -> DataFrame:
+            sets = own.select("dataset_id").distinct()
+            return FA.dataset_vocabulary(own, self.facts().join(sets, "dataset_id", "left_semi"))
+
+        return self.build.step("vocabulary", words)

@@ -27,6 +27,11 @@ SKIPPED = {
 }
 ROUTES_OF = {"semantic": ["semantic", "hybrid", "graph"], "keyword": ["keyword", "hybrid"], "hierarchical": ["hierarchical", "hybrid"], "sql": ["sql", "hybrid"], "graph": ["graph", "hybrid"]}
 TABLE_CONFIDENCE = 0.86
+#: Why an answer has its status (our own words).
+REASONS = {
+    "casual": "small talk", "sure": "sure result of a table or a fact", "fact": "a fact matches", "missing": "no evidence to answer from", "lost": "the asked name is not in the evidence",
+    "unsure": "too little confidence for a lookup", "weak": "weak evidence", "supported": "supported by the evidence",
+}
 #: Said when there is nothing to answer from (our own words).
 EMPTY = "Add a document, a table or a site before asking."
 
@@ -213,14 +218,20 @@ def synthesize(questions: DataFrame, sources: DataFrame, facts: DataFrame) -> Da
 
 
 def validate(answers: DataFrame) -> DataFrame:
-    """``status`` from ``intent, target, answer, confidence, has_fact, evidence`` (the first five sources joined)."""
+    """``status`` and ``reasons`` from ``intent, target, answer, confidence, has_fact, evidence`` (the first five sources joined)."""
     lookup = F.col("intent").isin(LOOKUPS) & ~F.col("has_fact")
     seen = terms(F.lower(F.concat_ws(" ", "evidence", "answer")))
     lost = (F.size(terms(F.col("target"))) > 0) & ~F.arrays_overlap(terms(F.col("target")), seen)
     missing = (F.coalesce("answer", F.lit("")) == "") | F.contains(F.lower("answer"), F.lit("could not find"))
-    status = F.when(F.col("intent") == "casual_chat", "casual_chat").when((F.col("confidence") >= 0.8) & (F.col("answer") != ""), "grounded").when(missing, "not_found")
+    casual, sure = F.col("intent") == "casual_chat", (F.col("confidence") >= 0.8) & (F.col("answer") != "")
+    status = F.when(casual, "casual_chat").when(sure, "grounded").when(missing, "not_found")
     status = status.when(lookup & (lost | (F.col("confidence") < 0.55)), "weak_evidence").when(~lookup & (F.col("confidence") < 0.45), "weak_evidence").otherwise("grounded")
-    return answers.withColumn("status", status)
+    why = F.array_compact(F.array(
+        F.when(F.col("has_fact"), REASONS["fact"]), F.when(missing, REASONS["missing"]), F.when(~missing & lookup & lost, REASONS["lost"]),
+        F.when(~missing & lookup & (F.col("confidence") < 0.55), REASONS["unsure"]), F.when(~missing & ~lookup & (F.col("confidence") < 0.45), REASONS["weak"]),
+    ))
+    reasons = F.when(casual, F.array(F.lit(REASONS["casual"]))).when(sure, F.array(F.lit(REASONS["sure"]))).when(F.size(why) > 0, why).otherwise(F.array(F.lit(REASONS["supported"])))
+    return answers.withColumns({"status": status, "reasons": reasons})
 
 
 def compose(made: DataFrame, tables: DataFrame, hints: DataFrame) -> DataFrame:
