@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.lineage import cut_lineage
+from corpusloom.functions.lineage import cut_at_once, cut_lineage
 from corpusloom.jobs import sql_parts as P
 from corpusloom.jobs.extraction import CLASSIFIED, FACTS, GRAPH, SEG, VOCABULARY, _ANN, any_of, mixed, nodes_and_edges, quoted, whole
 from corpusloom.jobs.retrieval import _KEYWORD, corpus, questions
@@ -246,19 +246,19 @@ def answered(spark, sf_dir):
         key = [c for c in R.CHUNK if c in hits.columns and c in held.columns]
         hits = R.normalize_scores(hits.withColumn("retriever", F.lit(name))).join(held, key)
         groups.append(hits.select(*R.QUESTION, "retriever", "rank", "score", F.concat_ws(":", *key[1:]).alias("source_id"), "title", "text"))
-    merged = cut_lineage(R.merge_hits(*groups).withColumn("ord", F.col("group_ord") * 100 + F.col("rank")).drop("rank"))
-    best = cut_lineage(N.match_facts(q, facts))
-    sources = cut_lineage(N.rerank(q, merged, best))
+    to_tables = q.where(F.col("route").isin("sql", "hybrid") & (F.col("intent") != "casual_chat")).select(*R.QUESTION, F.col("normalized").alias("question"))
+    tables = T.summarize_rows(T.rows_for_questions(to_tables, table_rows(spark, sf_dir), star_rows(spark, sf_dir), ("table_name",)))
+    best, tables, *groups = cut_at_once(N.match_facts(q, facts), tables, *groups)
+    merged = R.merge_hits(*groups).withColumn("ord", F.col("group_ord") * 100 + F.col("rank")).drop("rank")
+    candidates = merged.groupBy(*R.QUESTION).agg(F.count("*").alias("hits"))
+    sources, candidates = cut_at_once(N.rerank(q, merged, best), candidates)
     made = N.synthesize(q, sources, best)
     e = F.struct("rank", "text")
     evidence = sources.groupBy(*R.QUESTION).agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, e))).alias("e"), F.count("*").alias("sources"), F.sum(F.length("text")).alias("source_chars"))
     made = made.join(evidence.select(*R.QUESTION, F.array_join(F.col("e.text"), " ").alias("evidence")), R.QUESTION, "left")
-    to_tables = q.where(F.col("route").isin("sql", "hybrid") & (F.col("intent") != "casual_chat")).select(*R.QUESTION, F.col("normalized").alias("question"))
-    tables = cut_lineage(T.summarize_rows(T.rows_for_questions(to_tables, table_rows(spark, sf_dir), star_rows(spark, sf_dir), ("table_name",))))
     done = N.validate(N.compose(made, tables, G.graph_hint(of.nodes(), q)))
     values = F.aggregate("found", F.lit(0), lambda n, row: n + F.length(F.array_join(F.map_values(row), " ")))
     rows = tables.select(*R.QUESTION, "statement", F.when(F.col("n_rows") > 0, F.to_json("found")).alias("table_rows"), F.when(F.col("n_rows") > 0, values).otherwise(0).alias("row_chars"))
-    candidates = merged.groupBy(*R.QUESTION).agg(F.count("*").alias("hits"))
     done = done.join(evidence.drop("e"), R.QUESTION, "left").join(candidates, R.QUESTION, "left").join(rows, R.QUESTION, "left").fillna(0, ["sources", "source_chars", "hits", "row_chars"])
     done = done.withColumns({"evidence_chars": F.col("source_chars") + F.col("row_chars"), "candidates": F.col("hits") + F.coalesce("has_fact", F.lit(False)).cast("int")})
     done = N.context_budget(about.select("dataset_id", "chunk_chars", "segment_chars", "table_chars"), done)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls as U
+from corpusloom.functions.lineage import shared_root
 from corpusloom.jobs import sql_parts as P
 from corpusloom.operators import web as W
 from corpusloom.sources import files as IO
@@ -80,7 +83,32 @@ def _document_lines(spark, sf_dir):
     return IO.document_line_text(talk.select(F.col("conv_id").alias("input_id"), F.when(F.col("turn") < 2, "paragraph").otherwise("row").alias("kind"), F.col("turn").alias("ord"), F.array("role", "text").alias("cells")))
 
 
+def _scratch(spark, name):
+    return f"{shared_root(spark)}/files/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _table_file(spark, sf_dir):
+    """Every part written as a CSV file, read back with inferred types, swapped in as the current version of a table, and read from there."""
+    path, cols = _scratch(spark, "parts"), ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]
+    df = spark.read.parquet(f"{sf_dir}/part.parquet")
+    cols = [c for c in cols if c in df.columns]
+    df.select(*cols).write.option("header", True).csv(f"{path}/csv")
+    IO.swap_in(IO.read_table(spark, f"{path}/csv", malformed="_malformed").where("_malformed IS NULL").drop("_malformed"), f"{path}/table")
+    return IO.read_current(spark, f"{path}/table").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_name").alias("p_name"), F.round(F.col("p_retailprice").cast("double"), 4).alias("p_retailprice"))
+
+
+def _text_files(spark, sf_dir):
+    """A text file for each supplier, read as a corpus."""
+    path = _scratch(spark, "suppliers")
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.concat("s_name", F.lit("\nNation "), "s_nationkey").alias("value"))
+    df.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    got = IO.read_text_corpus(spark, path, "suppliers")
+    return got.select("dataset_id", F.regexp_extract("input_id", "s_suppkey=([0-9]+)", 1).cast("long").alias("s_suppkey"), "text")
+
+
 QUERIES = {
+    "table_file": _table_file,
+    "text_files": _text_files,
     "normalize_url": _urls,
     "page_text": lambda s, d: W.page_text(pages(s, d)),
     "page_links": lambda s, d: W.page_links(pages(s, d)),
@@ -174,6 +202,8 @@ _CRAWLED = f"WITH RECURSIVE {_SEEDS}, {_LINKED}, {_links('linked')}, {_MAPS}, {_
 _VISITED = f"""{_CRAWLED}, {_page_text('linked')}, dl AS (SELECT src AS url, count(*) AS document_links FROM links WHERE kind = 'document' GROUP BY 1),
 seen AS (SELECT c.site, c.rank, c.url, coalesce(title, '') AS title, coalesce(description, '') AS description, CAST(coalesce(length(text), 0) AS BIGINT) AS text_chars, coalesce(document_links, 0) AS document_links FROM crawled c LEFT JOIN texts USING (url) LEFT JOIN dl USING (url))"""
 SQL = {
+    "table_file": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, round(CAST(p_retailprice AS DOUBLE), 4) AS p_retailprice FROM part",
+    "text_files": "SELECT 'suppliers' AS dataset_id, CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name || chr(10) || 'Nation ' || s_nationkey || chr(10) AS text FROM supplier",
     "page_text": f"WITH {_page_text('pages')} SELECT * FROM texts",
     "page_links": f"WITH {_links('pages')} SELECT * FROM links",
     "expand_sitemaps": f"WITH RECURSIVE {_SEEDS}, {_MAPS} SELECT site, url FROM sitemap WHERE r <= 50",
