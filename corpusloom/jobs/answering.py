@@ -62,7 +62,7 @@ def table_rows(spark, sf_dir):
 
     catalog = table_catalog({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
     sets = corpus(spark, sf_dir).select("dataset_id").distinct()
-    return sets.withColumn("one", F.lit(1)).join(F.broadcast(catalog.withColumn("one", F.lit(1))), "one").drop("one").withColumn("derived_from", F.lit(None).cast("string"))
+    return sets.withColumn("one", F.lit(1)).join(catalog.withColumn("one", F.lit(1)), "one").drop("one").withColumn("derived_from", F.lit(None).cast("string"))
 
 
 def _read(name):
@@ -112,7 +112,9 @@ def _guard(spark, sf_dir):
 
 def _run(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders_asked")
-    return T.run_query(spark, "SELECT o_orderstatus, count(*) AS n FROM orders_asked GROUP BY o_orderstatus")
+    rows = T.run_query(spark, "SELECT o_orderstatus, count(*) AS n FROM orders_asked GROUP BY o_orderstatus")
+    spark.catalog.dropTempView("orders_asked")
+    return rows
 
 
 def _near(spark, sf_dir):

@@ -190,6 +190,7 @@ def extractive_answer(questions: DataFrame, sources: DataFrame, variant: str = "
     many = F.when(F.col("intent") == "list", 6).otherwise(4) if router else F.lit(4)
     k = F.row_number().over(W.partitionBy(*QUESTION).orderBy(F.desc("shared"), "rank", "pos"))
     picked = each.withColumn("k", k).where(F.col("k") <= many).groupBy(*QUESTION).agg(F.array_sort(F.collect_list(F.struct("k", "sentence", "rank"))).alias("ss"))
+    # fixed values: what is said around evidence
     listed = F.concat(F.lit("Here is what I found:\n"), F.array_join(F.transform("ss", lambda s: F.concat(F.lit("- "), s["sentence"], F.lit(" ["), s["rank"], F.lit("]"))), "\n"))
     row = F.array_join(F.transform("ss", lambda s: F.concat(s["sentence"], F.lit(" ["), s["rank"], F.lit("]"))), " ")
     best = sources.where("rank = 1").select(*QUESTION, F.col("text").alias("best"))
@@ -200,6 +201,7 @@ def extractive_answer(questions: DataFrame, sources: DataFrame, variant: str = "
 
 
 def fact_sentence() -> Column:
+    """The sentences of facts."""
     context = F.when(F.col("fact_type") == "role", " This is in the context of ").otherwise(" This is listed under ")
     tail = F.when(F.col("fact_qualifier") != "", F.concat(context, F.col("fact_qualifier"), F.lit("."))).otherwise("")
     return F.concat(F.lit("The "), F.col("subject"), F.lit(" is "), F.col("object"), F.lit("."), tail)

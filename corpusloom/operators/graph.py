@@ -46,11 +46,12 @@ def entity_nodes(entities: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
 
 def cooccurrence_edges(entities: DataFrame, nodes: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """Pairs among the first ten names of a chunk, both ends being nodes; the most frequent of each data set, ties by name."""
-    some = entities.select("dataset_id", F.slice("entities", 1, PAIRED).alias("es"))
+    # a data set's nodes are few: a chunk keeps those of its first names that are nodes, and pairs these alone
+    known = nodes.groupBy("dataset_id").agg(F.collect_set("entity").alias("known"))
+    some = entities.select("dataset_id", F.slice("entities", 1, PAIRED).alias("es")).join(known, "dataset_id")
+    some = some.select("dataset_id", F.filter("es", lambda e: F.array_contains("known", e)).alias("es"))
     pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.slice("es", i + 2, PAIRED), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    counts = some.select("dataset_id", F.explode(pairs).alias("p")).groupBy("dataset_id", "p.source", "p.target").agg(F.count("*").alias("weight"))
-    top = nodes.select("dataset_id", "entity")
-    both = counts.join(top.withColumnRenamed("entity", "source"), ["dataset_id", "source"], "left_semi").join(top.withColumnRenamed("entity", "target"), ["dataset_id", "target"], "left_semi")
+    both = some.select("dataset_id", F.explode(pairs).alias("p")).groupBy("dataset_id", "p.source", "p.target").agg(F.count("*").alias("weight"))
     rank = F.row_number().over(W.partitionBy("dataset_id").orderBy(F.desc("weight"), "source", "target"))
     return both.withColumn("rank", rank).where(F.col("rank") <= max_edges).select("dataset_id", "source", "target", "weight", "rank")
 

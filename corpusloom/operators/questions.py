@@ -157,6 +157,7 @@ def route_questions(expanded: DataFrame, profile: DataFrame, override: str = "au
     sql = (q.rlike(SQL_HINTS) | intent.isin("aggregate", "list", "location", "time") | (linked & tabular)) & F.col("has_tables")
     graph = linked & F.col("has_nodes")
     keyword = (intent.isin("point_lookup", "location", "time") | q.rlike(KEYWORD_HINTS)) & (F.col("has_chunks") | F.col("has_facts"))
+    # fixed values: confidences and reasons of the routes
     rules = [
         (sql & F.col("has_chunks") & F.lower("normalized").rlike("why|explain|compare"), "hybrid", 0.82, "Question has analytical language and may need narrative context."),
         (graph & ~tabular, "graph", 0.82, "Relationship-style phrasing matched extracted graph entities."),
