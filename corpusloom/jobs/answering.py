@@ -289,7 +289,7 @@ def _reranked(spark, sf_dir):
 def _extracts(variant):
     def run(spark, sf_dir):
         q, hits = _sources(spark, sf_dir)
-        return N.extractive_answer(q, N.rerank(q, hits), variant).select("question_id", "answer")
+        return N.extractive_answer(q, cut_lineage(N.rerank(q, hits)), variant).select("question_id", "answer")
 
     return run
 
@@ -308,15 +308,15 @@ def _budget(spark, sf_dir):
 
 def _synthesized(spark, sf_dir):
     q, hits = _sources(spark, sf_dir)
-    best = N.match_facts(q, all_facts(spark, sf_dir))
-    return N.synthesize(q, N.rerank(q, hits, best), best).select("question_id", "direct_answer", "answer", "confidence", "has_fact")
+    best = cut_lineage(N.match_facts(q, all_facts(spark, sf_dir)))
+    return N.synthesize(q, cut_lineage(N.rerank(q, hits, best)), best).select("question_id", "direct_answer", "answer", "confidence", "has_fact")
 
 
 def _validated(spark, sf_dir):
     """Answers of the keyword sources and facts, with their status."""
     q, hits = _sources(spark, sf_dir)
-    best = N.match_facts(q, all_facts(spark, sf_dir))
-    sources = N.rerank(q, hits, best)
+    best = cut_lineage(N.match_facts(q, all_facts(spark, sf_dir)))
+    sources = cut_lineage(N.rerank(q, hits, best))
     evidence = sources.where("rank <= 5").groupBy(*R.QUESTION).agg(F.array_join(F.collect_list("text"), " ").alias("evidence"))
     return N.validate(N.synthesize(q, sources, best).join(evidence, R.QUESTION, "left")).select("question_id", "status", "confidence")
 
