@@ -81,7 +81,7 @@ def test_gradients(monkeypatch):
     for k, held in model.p.items():
         for at in np.ndindex(held.shape):
             if k.startswith("in") and at[1] not in b"abc":
-                assert abs(found[k][at]) < 1e-20
+                assert abs(found[k][at]) < 1e-12  # exactly zero in the single precision that is trained in
                 continue
             was, ends = held[at], []
             for by in (1e-5, -1e-5):
