@@ -27,9 +27,9 @@ BLOCK, PAD = 2048, 255
 UNDEFINED = "und"
 
 
-def _soft(x: np.ndarray) -> np.ndarray:
-    """``x / (1 + |x|)`` in place: the squashing function of gates and candidates, whose slope is ``(1 - |y|) ** 2``."""
-    room = np.abs(x)
+def _soft(x: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """``x / (1 + |x|)`` in place, with room for as much again: the squashing function of gates and candidates, whose slope is ``(1 - |y|) ** 2``."""
+    np.abs(x, out=room)
     room += 1
     x /= room
     return x
@@ -57,17 +57,21 @@ class ByteGru:
         states = np.empty((steps, u, n), rec.dtype)
         if h is None:
             h = np.zeros((u, n), rec.dtype)
+        a, s, room, c = (np.empty((k * u, n), rec.dtype) for k in (3, 3, 2, 1))
         for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
-            a, s = table[:, codes[t]], rec @ h
+            if keep is not None:  # else the same arrays serve all positions
+                a, s, c = np.empty_like(a), np.empty_like(s), np.empty_like(c)
+            table.take(codes[t], 1, a, "clip")
+            np.matmul(rec, h, out=s)
             gates = a[: 2 * u]
             gates += s[: 2 * u]
-            _soft(gates)
+            _soft(gates, room)
             gates *= 0.5
             gates += 0.5
             z, r = gates[:u], gates[u:]
-            c = r * s[2 * u :]
+            np.multiply(r, s[2 * u :], out=c)
             c += a[2 * u :]
-            _soft(c)
+            _soft(c, room[:u])
             new = states[t]
             np.subtract(h, c, out=new)
             new *= z
