@@ -110,9 +110,12 @@ class _Forest:
             apart = x != y
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
             if len(a):
-                joins = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1, return_index=True)[1]
+                # each larger label is joined to the smallest that it meets, by one link: no round of links
+                high, low = np.maximum(x, y), np.minimum(x, y)
+                order = np.lexsort((low, high))
+                joins = order[np.unique(high[order], return_index=True)[1]]
                 self.links.append(np.stack([a[joins], b[joins]]))
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+                label[high[joins]] = low[joins]
             while not np.array_equal(up := label[label], label):
                 label = up
         self.label = label
@@ -282,7 +285,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(large.where("a <> b"), "links")
         # u and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         small = materialize(small.where("a <> b").distinct(), "links")
         discard(edges)
         discard(large)
@@ -293,6 +296,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def components_with(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots``, as :func:`components` gives them, once ``edges`` are added.
+
+    Only edges between different roots are contracted, so a group that is joined already costs one row a node, however many edges lie in it.
+    """
+    ends = edges.select("a", "b")
+    for c in "ab":
+        top = roots.select(F.col("node").alias(c), F.col("root").alias("top"))
+        ends = ends.join(top, c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
+    # roots have no row in ``roots``, so the nodes that move are others than those below them
+    moved = components(ends)
+    below = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return materialize(below.select("node", F.coalesce("top", "root").alias("root")).unionByName(moved), "links", False)
+
+
 def near_groups(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     """For rows (``doc_id``, ``fp``) the table ``fp, component_id``: the smallest id reachable over links, null if all are null."""
     own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
@@ -447,22 +465,22 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", similar("text_a", "text_b").alias("alike")), "wide-compared")
 
     first = compared(materialize(wide_candidates(own.select("node", "wide")), "wide-pairs"))
-    links = first.where("alike").select("a", "b")
-    roots = components(links)
-    if not first.where("NOT alike").isEmpty():
+    roots = components(first.where("alike"))
+    unlike = first.where("NOT alike")
+    if not unlike.isEmpty():
         # groups of candidates that similar pairs do not join into one; two nodes have no other pair
-        loose = components(first.select("a", "b")).withColumnRenamed("root", "family")
-        loose = loose.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        families = components_with(roots, unlike).select("node", F.col("root").alias("family"))
+        families = families.unionByName(families.select(F.col("family").alias("node"), "family").distinct())
+        loose = families.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = loose.groupBy("family").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("n > 2 AND x <> y")
         left_open = materialize(loose.join(apart.select("family"), "family", "left_semi").join(own.select("node", "wide"), "node").select("node", "wide"), "wide-open")
         if not left_open.isEmpty():
             close = wide_candidates(left_open, CLOSE).join(first.select("a", "b"), ["a", "b"], "left_anti")
             close = compared(materialize(close, "wide-pairs"))
-            links = links.unionByName(close.where("alike").select("a", "b"))
-            roots = components(links)
+            roots = components_with(roots, close.where("alike"))
             mapped = mapped_nodes(left_open).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             more = wide_candidates(mapped).join(first.select("a", "b").unionByName(close.select("a", "b")), ["a", "b"], "left_anti")
-            roots = components(links.unionByName(compared(materialize(more, "wide-pairs")).where("alike").select("a", "b")))
+            roots = components_with(roots, compared(materialize(more, "wide-pairs")).where("alike"))
     placed = own.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")

@@ -124,6 +124,66 @@ def test_trie_join_is_whole():
     assert label is not None
 
 
+def test_links_of_a_large_group_are_a_forest():
+    """A group in which all are linked gives one link less than it has members, whatever its size."""
+    rng = np.random.default_rng(4)
+    for n in (40, 400):
+        values = np.unique(np.uint64(5 << 40) ^ (np.uint64(1) << rng.integers(0, 32, (n, 2)).astype(np.uint64)).sum(1, dtype=np.uint64))
+        a, b = simhash.trie_links(np.zeros(len(values), np.int64), values, 4)
+        assert len(a) == len(values) - 1
+
+
+def test_components_with_more_edges(spark):
+    """As the components of all edges; of edges within a group nothing is left to contract."""
+    rng = np.random.default_rng(6)
+    one, two = ([(int(a), int(b)) for a, b in rng.integers(0, 120, (n, 2))] for n in (60, 30))
+    one, two, both = (spark.createDataFrame(e, "a long, b long") for e in (one, two, one + two))
+    roots = simhash.components(one)
+    assert sorted(simhash.components_with(roots, two).collect()) == sorted(simhash.components(both).collect())
+    assert sorted(simhash.components_with(roots, one).collect()) == sorted(roots.collect())
+
+
+def test_near_dedup_contracts_each_group_once(spark, monkeypatch):
+    """Edges that are contracted after the first similar pairs lie between groups, not within them."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for i in range(300):
+        words = [f"w{k}" for k in range(150)]
+        for at in rng.choice(150, 1 + i % 3, replace=False):
+            words[at] = f"x{i}y{at}"
+        texts.append((i, " ".join(words)))
+    edges, contract = [], simhash.components
+
+    def counted(e):
+        edges.append(e.where("a <> b").distinct().count())
+        return contract(e)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    assert [r.doc_id for r in simhash.near_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()] == [0]
+    assert len(edges) == 4 and sum(edges[1:]) < 300
+
+
+def test_near_dedup_in_a_family_of_three(spark, monkeypatch):
+    """A similar pair of three candidates is found where the pairs that span them hide it, also if it has the smallest node."""
+    words = [f"w{k}" for k in range(400)]
+    far = [f"x{k}" if k % 40 < 2 else w for k, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["end"]), " ".join(far)]
+    nodes = [int(np.int64(r.node)) for r in spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", simhash.wide_node(F.col("text"))[1].alias("node")).orderBy("doc_id").collect()]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    assert simhash.jaccard(sets[0], sets[1]) >= 0.8 > max(simhash.jaccard(sets[0], sets[2]), simhash.jaccard(sets[1], sets[2]))
+    found, calls = simhash.wide_candidates, []
+
+    def spanning(prints, *limit):
+        calls.append(limit)
+        if len(calls) > 1:
+            return found(prints, *limit)
+        pairs = [(max(n, nodes[2]), min(n, nodes[2])) for n in nodes[:2]]
+        return spark.createDataFrame(pairs, "a long, b long")
+
+    monkeypatch.setattr(simhash, "wide_candidates", spanning)
+    assert {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == {0, 2}
+
+
 def test_heavy_blocks_meet_in_parts(spark):
     """Groups above the limit are met part by part and lose no link."""
     values = [(5 << 40) ^ (1 << k) for k in range(40)]
