@@ -11,6 +11,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions.lineage import shared_root, spread
 from corpusloom.jobs import sql_parts as P
 from corpusloom.jobs.stored import Corpus, as_corpus, corpus
+from corpusloom.operators import batch as B
 from corpusloom.operators import chunks as C
 from corpusloom.operators import retrieve as R
 from corpusloom.operators import vectors as V
@@ -23,6 +24,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.concat(F.lit("src"), F.col("item_id") % 20).alias("dataset_id"), F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
+def cut_chunks(spark, sf_dir):
+    """Chunks of all documents, cut whenever they are read: a batch of questions reads them two or three times, which takes less than to store them."""
+    return C.chunks_from_documents(corpus(spark, sf_dir))
+
+
+def with_texts(spark, sf_dir, hits):
+    """Hits with ``title, text`` of their chunks; only the documents that are hit are cut again."""
+    docs = corpus(spark, sf_dir).join(F.broadcast(hits.select("dataset_id", "input_id").distinct()), ["dataset_id", "input_id"], "left_semi")
+    return hits.join(C.chunks_from_documents(docs), R.CHUNK)
+
+
 def chunk_text(spark, sf_dir):
     return C.chunks_from_documents(corpus(spark, sf_dir)).drop("title")
 
@@ -51,16 +63,16 @@ def tokens_estimate(spark, sf_dir):
 
 
 def term_stats(spark, sf_dir):
-    stats = R.term_stats(Corpus(spark, sf_dir).index())
+    stats = B.term_stats(cut_chunks(spark, sf_dir))
     return stats.select("dataset_id", "term", "df", "n", F.round("idf", 6).alias("idf"))
 
 
 def keyword_hits(spark, sf_dir):
-    return R.keyword_search(questions(spark, sf_dir), Corpus(spark, sf_dir).index(), 18)
+    return B.keyword_search(questions(spark, sf_dir), cut_chunks(spark, sf_dir), 18)
 
 
 def tfidf_hits(spark, sf_dir):
-    return R.tfidf_search(questions(spark, sf_dir), Corpus(spark, sf_dir).index(), 12)
+    return B.tfidf_search(questions(spark, sf_dir), cut_chunks(spark, sf_dir), 12)
 
 
 def _vectors(spark, sf_dir):
@@ -80,11 +92,9 @@ def indexed_vector_hits(spark, sf_dir):
 
 def fused(spark, sf_dir):
     """Keyword and tf-idf hits, each set from 0 to 1, merged first-wins."""
-    index, asked = Corpus(spark, sf_dir).index(), questions(spark, sf_dir)
     groups = []
-    for name, hits in (("keyword", R.keyword_search(asked, index, 18)), ("semantic", R.tfidf_search(asked, index, 12))):
-        hits = R.normalize_scores(hits.withColumn("retriever", F.lit(name)))
-        hits = hits.join(index.chunks.select(*R.CHUNK, "text"), R.CHUNK)
+    for name, hits in (("keyword", keyword_hits(spark, sf_dir)), ("semantic", tfidf_hits(spark, sf_dir))):
+        hits = with_texts(spark, sf_dir, R.normalize_scores(hits.withColumn("retriever", F.lit(name)))).drop("title")
         groups.append(hits.withColumn("source_id", F.concat_ws(":", "input_id", "seg_ord", "chunk_ord")))
     return R.merge_hits(*groups).select("question_id", "source_id", "retriever", "rank", "score")
 
