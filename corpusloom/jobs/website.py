@@ -101,7 +101,9 @@ def _text_files(spark, sf_dir):
     """A text file for each supplier, read as a corpus."""
     path = _scratch(spark, "suppliers")
     df = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.concat("s_name", F.lit("\nNation "), "s_nationkey").alias("value"))
-    df.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    # as many tasks as there are cores, each of which moves its own files: a fixed number is not made one by size, and the driver moves none
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    df.repartition(n, "s_suppkey").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("s_suppkey").text(path)
     got = IO.read_text_corpus(spark, path, "suppliers")
     return got.select("dataset_id", F.regexp_extract("input_id", "s_suppkey=([0-9]+)", 1).cast("long").alias("s_suppkey"), "text")
 
