@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions.lineage import shared_root, spread
 from corpusloom.jobs import sql_parts as P
-from corpusloom.jobs.stored import Corpus, as_corpus, corpus
+from corpusloom.jobs.stored import as_corpus, corpus
 from corpusloom.operators import batch as B
 from corpusloom.operators import chunks as C
 from corpusloom.operators import retrieve as R
